@@ -7,14 +7,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import line_dedup, minhash_dedup, packing, secret_scans, token_counts
 from .quality_rules import quality_rules
+from .url_filters import url_filter
+
+#: Rules of the url filter: host and path prefix, verdict.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "pipeline": corpus_pipeline.run}
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digest(secret_scans.secret_scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_secret_scans": op10_secret_scans,
+    "pipeline": corpus_pipeline.run,
+}
 
 ORACLE_SQL = {}
 if corpus_pipeline.ORACLE_SQL:
