@@ -18,9 +18,13 @@ SPACES = r"[ \t-\r]+"
 STEP_BYTES = 2 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this library where the driver has it, whatever folder they start in.
+def visible(spark: SparkSession) -> None:
+    """Python workers find this library where the driver has it, whatever folder they start in."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    visible(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

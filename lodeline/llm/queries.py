@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import line_dedup, minhash_dedup, packing, secret_scans, token_counts
+from . import line_dedup, minhash_dedup, packing, quality_classifier, secret_scans, sentencepieces, token_counts
+from .exact_topk import exact_topk
 from .quality_rules import quality_rules
 from .url_filters import url_filter
 
@@ -34,10 +35,28 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
+    whole = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return df.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), whole.alias("round_trip"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +72,10 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_exact_topk": op8_exact_topk,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
     "pipeline": corpus_pipeline.run,
