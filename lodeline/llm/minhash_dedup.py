@@ -2,12 +2,13 @@
 
 A pair with Jaccard similarity 0.8 shares about 51 of the 64 values that the bottom-64 sketch of its
 union retains (binomial; fewer than 36 has a chance of some 1e-6 at exactly 0.8 and vanishes above).
-So a pair must meet in lists of retained values often enough, and lists longer than LONG_LIST matter
-only to documents with that many values in long lists: mostly copies of one text. There, every
-member is first held against one centre of each list; members that the exact check links are one
-component, and only pairs whose components still differ are held against each other afterwards. No
-group is expanded into all its pairs, no list is cut, and every link that joins different components
-is tested.
+So a pair must meet in lists of retained values often enough. Pairs that share a value of a list up
+to LONG_LIST come from there. Others share only values of longer lists, which takes documents with
+that many of them: copies with many variants, or texts that are mostly one passage. For these alone
+the whole sets are filed under their rarest shingles, where passages don't count; one centre of each
+list at a time draws its copies into a component, and only pairs whose components still differ are
+held against each other in the end. No group is expanded into all its pairs, no list is cut, and
+every link that joins different components is tested.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lowered, mix, shingles, text_steps, written
@@ -27,13 +28,12 @@ SHARED = 36
 LONG_LIST = 16
 #: Ids up to which the documents of candidate pairs are found by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Rounds of centres at most, and pairs of different components a list's member may leave for the end.
+ROUNDS = 6
+PAIRS_EACH = 4
 _SIGN = np.uint64(1 << 63)
 
 
-def _column(name: str, kind: pa.DataType, values, offsets=None) -> pa.Array:
-    return pa.array(values, kind) if offsets is None else pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind.value_type))
-
-
 def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n (shingles), h1, h2 (hash of the whole set) and its bottom-k sketch, lowest first."""
 
@@ -56,7 +56,7 @@ def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id and all shingles, as sorted 64-bit values, of the documents in ``ids``."""
+    """doc_id and all shingles, as sorted 64-bit values, of the documents in ``ids``; written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,14 +66,13 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int, doc_id: str, text:
                 sets = [value[cuts[i] : cuts[i + 1]].tobytes() for i in range(rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(sets, pa.binary())], ["doc_id", "whole"])
 
-    ids = written(ids, "ids")
+    ids = written(ids.distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(few, "doc_id", "left_semi")
-    # An id may stand in several rows: the set of its first one is as good as any that has the same hash.
-    return own.mapInArrow(run, "doc_id long, whole binary")
+    return written(own.mapInArrow(run, "doc_id long, whole binary"), "sets")
 
 
-def _meet(pairs: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def _meet(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +85,38 @@ def _meet(pairs: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: s
                     out.append(i)
             yield batch.select([0, 1]).take(pa.array(out, pa.int64()))
 
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_whole_sets(docs, ids, words, doc_id, text), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("whole").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("whole").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _heads(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, rep, n, typical, m): the rarest shingles of each set, enough that a similar pair shares one; m: how many have it.
+
+    Of n shingles a pair within ``percent`` leaves out at most n - ceil(percent * n / 100), so it meets
+    among one more than that, rarest first. What everybody copies is never rare, unless it is nearly
+    all of a text. typical: mean frequency of a text's shingles, highest for what others vary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).slice(low, 256).to_pylist()]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                rep = np.repeat(np.asarray(batch.column(0).slice(low, 256)), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "n", "v"])
+
+    each = sets.mapInArrow(run, "rep long, n long, v long")
+    common = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("rep")
+    ranked = each.join(common, "v").select("rep", "n", "v", F.row_number().over(own.orderBy("df", "v")).alias("r"), F.count("*").over(own).alias("c"), F.avg("df").over(own).alias("typical"))
+    # A text's own shingles come first; r counts only those that others have too.
+    rare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("c"))
+    heads = written(ranked.where(F.col("r") <= rare).select("v", "rep", "n", "typical"), "heads")
+    many = heads.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+    return written(heads.join(many, "v"), "heads")
+
+
 def _alike(x: Column, y: Column, percent: int) -> Column:
     """Whether the union of two sketches allows the similarity: exact for whole sets, with a margin else."""
     union = F.slice(F.array_sort(F.array_union(x, y)), 1, RETAINED)
@@ -120,41 +143,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     shared = written(values.join(lists, "v"), "lists")
     hot = shared.groupBy("rep").agg(F.count_if(F.col("df") > LONG_LIST).alias("h"), F.count("*").alias("c"))
     # Values that no other text has can't be shared: what a document has left must still be enough.
-    shared = written(shared.join(hot.where("c > 0"), "rep").where(F.col("c") >= needs), "lists")
-    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    shared = written(shared.join(hot, "rep").where(F.col("c") >= needs), "lists")
+    similar = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
     short = shared.where(F.col("df") <= LONG_LIST).select("v", F.col("rep").alias("a"), "n", "h")
     met = short.join(short.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("h").alias("k")), "v").where(F.col("a") < F.col("b")).where(similar)
     enough = F.when(F.greatest("n", "m") <= RETAINED, F.ceil(F.greatest("n", "m") * percent / 100)).otherwise(F.lit(SHARED))
     pairs = met.groupBy("a", "b", "n", "m", "h", "k").agg(F.count("*").alias("c")).where(F.col("c") + F.least("h", "k") >= enough).select("a", "b")
 
-    long = shared.where((F.col("df") > LONG_LIST) & (F.col("h") >= needs)).select("v", "rep", "n", "h", "df")
-    centre = long.groupBy("v").agg(F.max_by(F.struct("rep", "n"), F.struct("h", -F.col("rep"))).alias("centre"))
-    star = long.join(centre, "v").select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"), "n", F.col("centre.n").alias("m")).where("a < b").where(similar).select("a", "b")
-
     own = reps.select("rep", "sketch")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         x = own.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
         y = own.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b")
-
-    tested = written(filtered(pairs.unionByName(star).distinct()), "pairs")
-    links = written(_meet(tested, docs, words, percent, doc_id, text), "links")
-    first = written(components(links), "components")
-
-    # Members of long lists whose components still differ. Rarest values first: a pair that shares
-    # enough of them shares one of the first h - need + 1 of each.
-    order = F.row_number().over(_by_rep())
-    head = long.withColumn("r", order).where(F.col("r") <= F.col("h") - needs + 1)
-    node = first.withColumnRenamed("node", "rep")
-    head = head.join(node, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = head.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
-    head = written(head.join(split, "v").select("v", "rep", "n", "h", "component"), "heads")
-    other = head.select("v", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("h").alias("k"), F.col("component").alias("other"))
-    cross = head.withColumnRenamed("rep", "a").join(other, (head.v == other.v) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & similar).select("a", "b").distinct()
-    more = filtered(cross.join(tested, ["a", "b"], "left_anti"))
-    links = links.unionByName(_meet(more, docs, words, percent, doc_id, text))
+        return written(pairs.join(x, "a").join(y, "b").where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b"), "pairs")
+
+    tested = filtered(pairs)
+    crowded = written(shared.where(F.col("h") >= needs).select(F.col("rep").alias("doc_id")).distinct(), "crowded")
+    ids = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded)
+    sets = _whole_sets(docs, ids, words, doc_id, text)
+    links = written(_meet(tested, sets, percent), "links")
+    if crowded.take(1):
+        links = _crowded_links(links, tested, sets.join(crowded, "doc_id", "left_semi"), sets, similar, percent, filtered)
     merged = components(links).withColumnRenamed("node", "rep")
 
     named = reps.select("n", "h1", "h2", "rep").join(merged, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
@@ -164,7 +174,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _by_rep():
-    from pyspark.sql import Window
+def _crowded_links(links: DataFrame, tested: DataFrame, crowded: DataFrame, sets: DataFrame, similar: Column, percent: int, filtered) -> DataFrame:
+    """The links and those among documents of long lists, as far as these join different components.
 
-    return Window.partitionBy("rep").orderBy("df", "v")
+    A round holds one centre of each list, the most typical of those that the last centre hasn't
+    drawn into its component, against all members of other components. Once few pairs of different
+    components are left, or a round links nothing more, all of these are held against each other.
+    """
+    heads = _heads(crowded, percent)
+    last = None
+    for _ in range(ROUNDS):
+        label = components(links).withColumnRenamed("node", "rep")
+        now = heads.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = written(now.where(F.col("m") > 1), "labelled")
+        each = now.groupBy("v", "component").agg(F.count("*").alias("x"))
+        open_lists = each.groupBy("v").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).where("s * s > q")
+        open_lists = written(open_lists.select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), "s"), "open")
+        left, members = open_lists.agg(F.sum("pairs"), F.sum("s")).first()
+        if not left or left <= PAIRS_EACH * members:
+            break
+        now = now.join(open_lists.select("v"), "v")
+        free = now if last is None else now.join(last.select("v", F.col("component").alias("old")), "v", "left").where("old IS NULL OR old <> component")
+        centre = free.groupBy("v").agg(F.max_by(F.struct("rep", "n", "component"), F.struct("typical", -F.col("rep"))).alias("c"))
+        centre = written(centre.select("v", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other")), "centres")
+        star = now.drop("m").join(centre, "v").where("component <> other").where(similar).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        fresh = filtered(star.join(tested, ["a", "b"], "left_anti"))
+        found = written(_meet(fresh, sets, percent), "links")
+        tested = tested.unionByName(fresh)
+        links = links.unionByName(found)
+        last = centre.select("v", F.col("centre").alias("rep")).join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("v", F.coalesce("component", "rep").alias("component"))
+        if not found.take(1):
+            break
+    label = components(links).withColumnRenamed("node", "rep")
+    now = heads.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = written(now.select("v", F.col("rep").alias("a"), "n", "component"), "labelled")
+    other = now.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    cross = now.join(other, "v").where("a < b AND component <> other").where(similar).select("a", "b").distinct()
+    return links.unionByName(_meet(filtered(cross.join(tested, ["a", "b"], "left_anti")), sets, percent))
