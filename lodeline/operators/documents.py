@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import value_path
+from ..functions.identity import encode_value_segment, value_path
 
 KEYS = "artifact_id string, keys array<string>, value string, kind string, line int, column int, duplicate boolean, status string"
 
@@ -86,7 +86,7 @@ def value_references(actions: DataFrame) -> DataFrame:
     calls = F.regexp_extract_all("action", F.lit(r'index\s+\$?\.Values((?:\s+(?:"[^"]*"|[\w.$]+))+)'), F.lit(1))
     args = actions.select("artifact_id", "line", F.explode(calls).alias("p")).select("artifact_id", "line", F.regexp_extract_all("p", F.lit(r'("[^"]*"|[\w.$]+)'), F.lit(1)).alias("a"))
     quoted = F.forall("a", lambda x: F.startswith(x, F.lit('"')))
-    path = value_path(F.transform("a", lambda x: F.when(F.startswith(x, F.lit('"')), F.regexp_replace(x, '"', "")).otherwise("[expr]")))
+    path = F.array_join(F.transform("a", lambda x: F.when(F.startswith(x, F.lit('"')), encode_value_segment(F.regexp_replace(x, '"', ""))).otherwise("[expr]")), ".")
     return direct.unionByName(args.select("artifact_id", "line", path.alias("path"), (~quoted).alias("dynamic")))
 
 

@@ -91,7 +91,7 @@ def secret_digests(t):
     return t("conversations").select("conv_id", "turn", "role", v.secret_digest(coded, F.lit(True)).alias("data_sha256"), v.secret_digest(F.concat(plain, F.lit("!")), F.lit(True)).alias("odd_sha256"))
 
 
-@query("""SELECT user_id, array_to_string(list_sort(list_distinct([trim(x) FOR x IN list(event_type || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END) IF x <> ''])), ',') AS roles FROM events GROUP BY user_id""")
+@query("""SELECT user_id, array_to_string(list_sort(list_distinct([trim(x) FOR x IN list(event_type || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END) IF trim(x) <> ''])), ',') AS roles FROM events GROUP BY user_id""")
 def normalised_roles(t):
     d = t("events").groupBy("user_id").agg(F.collect_list(F.concat("event_type", F.when(c("event_id") % 3 == 0, " ").otherwise(""))).alias("r"))
     return d.select("user_id", F.array_join(v.roles(c("r")), ",").alias("roles"))
