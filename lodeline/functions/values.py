@@ -52,7 +52,7 @@ def api_group(api_version: Column) -> Column:
 
 def roles(array: Column) -> Column:
     """Roles trimmed, without empty ones, each once, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(array, F.trim), lambda r: r != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(array, lambda r: F.trim(r)), lambda r: r != "")))
 
 
 def priority(array: Column) -> Column:
