@@ -64,3 +64,28 @@ def strongest_class(labels: Column, strength: dict[str, int]) -> Column:
     """The highest ownership class of a set of labels, 0 without one."""
     known = F.create_map(*(F.lit(x) for pair in strength.items() for x in pair))
     return F.coalesce(F.array_max(F.transform(labels, lambda x: F.coalesce(F.try_element_at(known, x), F.lit(0)))), F.lit(0))
+
+
+def project(tables: dict[str, DataFrame], app: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, labels, properties) and relationships (type, src, dst) of an analysis.
+
+    A file's facet lies on the file's own node; absent values are left out of the properties.
+    """
+
+    def node(df: DataFrame, id_: str, labels: Column, *names: str) -> DataFrame:
+        pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v")) for n in names)), lambda p: p["v"].isNotNull() & (p["v"] != ""))
+        return df.select(F.col(id_).alias("id"), labels.alias("labels"), F.map_from_entries(pairs).alias("properties"))
+
+    def edge(df: DataFrame, family: str, src: str, dst: str) -> DataFrame:
+        return df.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.lit(family).alias("family"), F.col(src).alias("src"), F.col(dst).alias("dst"))
+
+    d, keys = tables["detections"].withColumn("role_list", F.array_join("roles", ",")), tables["config_keys"].where(~F.col("duplicate"))
+    d = d.withColumn("application", F.lit(f"can://iac/{app}"))
+    nodes = node(d, "artifact_id", F.array(F.lit("Artifact"), F.lit("IaCArtifact"), F.lit("Helm")), "path", "kind", "role_list")
+    nodes = nodes.unionByName(node(keys, "key", F.array(F.lit("ConfigKey"), F.lit("HelmValue")), "path", "value", "kind"))
+    edges = edge(d, "has_artifact", "application", "artifact_id").unionByName(edge(d.where("chart <> artifact_id"), "iac_part_of_chart", "artifact_id", "chart")).unionByName(edge(keys, "has_config_key", "artifact_id", "key"))
+    if "value_targets" in tables:
+        edges = edges.unionByName(edge(tables["value_targets"], "iac_references_value", "artifact_id", "key"))
+        edges = edges.unionByName(edge(tables["dependencies"], "iac_resolves_to_chart", "dependency", "chart")).unionByName(edge(tables["dependencies"], "iac_identified_by_package", "dependency", "package"))
+        nodes = nodes.unionByName(node(tables["dependencies"], "dependency", F.array(F.lit("HelmChartReference")), "name", "status"))
+    return nodes, edge_rows(edges)

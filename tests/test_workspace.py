@@ -109,3 +109,26 @@ def test_graph_inventory_states(spark):
     rows = [("can://artifact/app/a.yaml", "a.yaml", "x: 1", True), ("can://artifact/app/b.yaml", "b.yaml", None, True), ("can://artifact/app/c.yaml", "c.yaml", "x", False), ("can://artifact/app/z.yaml", "d.yaml", "x", True), ("can://artifact/other/a", "a", "x", True)]
     df = spark.createDataFrame(rows, "id string, path string, source string, same boolean").withColumn("sha256", F.when(F.col("same"), F.sha2("source", 256)).otherwise("no"))
     assert {r.path: r.state for r in workspace.from_graph(df, "app").collect()} == {"a.yaml": "ok", "b.yaml": "missing", "c.yaml": "changed", "d.yaml": "foreign"}
+
+
+def test_graph_and_script(spark, root, tmp_path):
+    from lodeline.operators import graph
+    from lodeline.sources import sinks
+
+    out = pipeline.analyse(workspace.artifacts(workspace.files(spark, root), "app"), "app", level=2)
+    nodes, edges = graph.project(out, "app")
+    nodes, edges = nodes.cache(), edges.cache()
+    known = nodes.select("id").unionByName(spark.createDataFrame([("can://iac/app",)], "id string"))
+    inner = edges.where("type IN ('HAS_ARTIFACT', 'IAC_PART_OF_CHART', 'HAS_CONFIG_KEY')")
+    assert not facts.dangling(inner, known).take(1) and not facts.duplicates(nodes, ["id"]).take(1)
+    assert {r[0] for r in edges.select("type").distinct().collect()} == {"HAS_ARTIFACT", "IAC_PART_OF_CHART", "HAS_CONFIG_KEY", "IAC_REFERENCES_VALUE", "IAC_RESOLVES_TO_CHART", "IAC_IDENTIFIED_BY_PACKAGE"}
+    sinks.write_graph(nodes, edges, str(tmp_path / "g"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "g/script")).collect()]
+    assert len(lines) == nodes.count() + edges.count() and spark.read.parquet(str(tmp_path / "g/edges")).count() == edges.count()
+
+
+def test_literals(spark):
+    df = spark.createDataFrame([("a'b\\c\nd\te",)], "s string")
+    from lodeline.sources import sinks
+
+    assert df.select(sinks.literal(F.col("s"))).first()[0] == "'a\\'b\\\\c\\nd\\te'"
