@@ -40,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packing.packed(pieces)
+    # Pieces carry their ids here: smaller groups keep a task small.
+    return packing.packed(pieces, group=5_000)
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
 
     Candidates are all rows but those with the query's own id. Vectors that are null, hold null or
     non-finite components, or have no id, take no part; shorter ones end with zeros; repeated rows
-    are candidates each. Blocks of candidates meet blocks of queries; each pair of blocks is a task
+    are candidates each, but a query id is asked once, by its least vector. Blocks of candidates meet blocks of queries; each pair of blocks is a task
     of bounded size, and only k rows a query leave it.
     """
 
@@ -159,7 +159,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
         odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         return df.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(~odd)
 
-    candidates, asked = usable(vectors), usable(queries)
+    candidates = usable(vectors)
+    asked = usable(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
     n, m = max(1, -(-candidates.count() // BLOCK)), max(1, -(-asked.count() // QUERIES))
     left = candidates.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     right = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -116,6 +116,8 @@ N_WEIGHTS = BUCKETS + 8 * len(LABELLERS) + 1
 def accuracies(patterns: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """Probability of good for each pattern of votes, by expectation-maximisation over their counts."""
     keys = sorted(patterns)
+    if not keys:
+        return {}
     count = np.array([patterns[k] for k in keys], np.float64)
     votes = np.array([[k // 3**j % 3 for j in range(len(LABELLERS))] for k in keys]).reshape(-1, len(LABELLERS))
     # Begin with the majority; labellers are taken to be right more often than not.

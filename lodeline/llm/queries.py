@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import line_dedup, minhash_dedup, packing, quality_classifier, secret_scans, sentencepieces, token_counts
+from . import line_dedup, minhash_dedup, packing, quality_classifier, secret_scans, sentencepieces, sql, token_counts
 from .exact_topk import exact_topk
 from .quality_rules import quality_rules
 from .url_filters import url_filter
@@ -81,6 +81,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {}
+#: Edit joins, packing, tokenizers, the classifier and spans with their places are tested against brute force instead.
+ORACLE_SQL = {"op1_quality_rules": sql.QUALITY_RULES, "op2_url_filters": sql.URL_FILTERS, "op7_minhash_dedup": sql.MINHASH_DEDUP, "op8_exact_topk": sql.EXACT_TOPK}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
