@@ -73,3 +73,16 @@ def guarded(inventory: DataFrame, existing: DataFrame, key: str, digest: str, co
     e = existing.select(F.col(key), F.col(digest).alias("__known"))
     clash = F.coalesce(F.col(digest) != F.col("__known"), F.lit(False))
     return inventory.join(e, key, "left").withColumn("conflict", clash).withColumn(content, F.when(clash, F.lit("")).otherwise(F.col(content))).drop("__known")
+
+
+def span_violations(df: DataFrame, start: str = "start", end: str = "end", size: str = "size") -> DataFrame:
+    """Spans that begin before 0, end before they begin, or end beyond the content."""
+    return df.where((F.col(start) < 0) | (F.col(end) < F.col(start)) | (F.col(end) > F.col(size)))
+
+
+def alias_violations(aliases: DataFrame, nodes: DataFrame, alias: str, target: str, node: str) -> DataFrame:
+    """(alias, target, rule) of aliases whose target is another alias, or nothing."""
+    names = aliases.select(F.col(alias).alias(target)).distinct()
+    chains = aliases.join(names, target, "left_semi").select(alias, target, F.lit("chain").alias("rule"))
+    lost = aliases.join(names, target, "left_anti").join(nodes.select(F.col(node).alias(target)).distinct(), target, "left_anti")
+    return chains.unionByName(lost.select(alias, target, F.lit("missing").alias("rule")))

@@ -89,3 +89,16 @@ def project(tables: dict[str, DataFrame], app: str) -> tuple[DataFrame, DataFram
         edges = edges.unionByName(edge(tables["dependencies"], "iac_resolves_to_chart", "dependency", "chart")).unionByName(edge(tables["dependencies"], "iac_identified_by_package", "dependency", "package"))
         nodes = nodes.unionByName(node(tables["dependencies"], "dependency", F.array(F.lit("HelmChartReference")), "name", "status"))
     return nodes, edge_rows(edges)
+
+
+def existing_edges(edges: DataFrame, nodes: DataFrame, app: str) -> DataFrame:
+    """Relationships with an end that belongs to the application: two semi-joins, no comparison of pairs."""
+    ours = nodes.where(F.col("app") == app).select("id").distinct()
+    by_src = edges.join(ours.select(F.col("id").alias("src")), "src", "left_semi").select("type", "src", "dst")
+    return by_src.unionByName(edges.join(ours.select(F.col("id").alias("dst")), "dst", "left_semi").select("type", "src", "dst")).distinct()
+
+
+def disallowed(nodes: DataFrame, catalog: DataFrame, labels: str = "labels", label: str = "label") -> DataFrame:
+    """(id, label) of labels that the catalog doesn't know."""
+    each = nodes.select("id", F.explode(F.array_distinct(labels)).alias(label))
+    return each.join(catalog.select(label).distinct(), label, "left_anti").select("id", label)

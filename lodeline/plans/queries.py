@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as ids
 from ..functions import values as v
-from ..operators import detection, facts, graph, ownership, precedence, resolution
+from ..operators import detection, documents, facts, graph, ownership, precedence, resolution
+from ..sources import sinks, workspace
 from .catalog import query
 
 c = F.col
@@ -417,3 +418,66 @@ def profile_resources(t):
     r = t("lineitem").select(c("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     origin = t("part").where("p_size > 25").select(c("p_partkey").alias("l_partkey"), "p_name")
     return o.join(r, "o_orderkey").join(origin, "l_partkey", "left").select("o_orderkey", "l_linenumber", "p_name")
+
+
+# --- inventories, templates and integrity over the graph ------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'foreign' WHEN doc_id % 5 = 0 THEN 'missing' WHEN contains(text, chr(0)) THEN 'not text' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'ok' END AS state FROM documents""")
+def graph_inventory(t):
+    k = c("doc_id")
+    path = F.concat(F.lit("d/"), k.cast("string"), F.lit(".txt"))
+    known = F.when(k % 11 == 0, F.concat(path, F.lit("x"))).otherwise(path)
+    nodes = t("documents").select("doc_id", ids.artifact_id(F.lit("app"), known).alias("id"), path.alias("path"), F.when(k % 5 != 0, c("text")).alias("source"), F.when(k % 3 == 0, "old").otherwise(v.digest(c("text"))).alias("sha256"))
+    return workspace.from_graph(nodes, "app").select("doc_id", "state")
+
+
+@query("""SELECT DISTINCT 'LABEL' AS type, doc_id AS src, doc_id % 97 AS dst FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') OR doc_id % 97 IN (SELECT doc_id FROM documents WHERE lang = 'de')""")
+def existing_edges(t):
+    nodes = t("documents").select(c("doc_id").alias("id"), c("lang").alias("app"))
+    return graph.existing_edges(t("labels").select(F.lit("LABEL").alias("type"), c("doc_id").alias("src"), (c("doc_id") % 97).alias("dst")), nodes, "de")
+
+
+@query("SELECT DISTINCT user_id AS id, event_type AS label FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id % 997 < 2)")
+def node_allowlist(t):
+    nodes = t("events").groupBy(c("user_id").alias("id")).agg(F.collect_list("event_type").alias("labels"))
+    return graph.disallowed(nodes, t("events").where("event_id % 997 < 2").select(c("event_type").alias("label")))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity - 3 < 0 OR l_quantity - 3 + l_linenumber % 3 - 1 < l_quantity - 3 OR l_quantity - 4 + l_linenumber % 3 > 44")
+def span_violations(t):
+    d = t("lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") - 3).alias("start"), (c("l_quantity") - 4 + c("l_linenumber") % 3).alias("end"), F.lit(44).alias("size"))
+    return facts.span_violations(d).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS alias, o_custkey * 3 AS target FROM orders WHERE o_orderkey % 4 = 1)
+          SELECT alias, target, 'chain' AS rule FROM a WHERE target IN (SELECT alias FROM a)
+          UNION ALL SELECT alias, target, 'missing' FROM a WHERE target NOT IN (SELECT alias FROM a) AND target NOT IN (SELECT p_partkey FROM part)""")
+def alias_violations(t):
+    a = t("orders").where("o_orderkey % 4 = 1").select(c("o_orderkey").alias("alias"), (c("o_custkey") * 3).alias("target"))
+    return facts.alias_violations(a, t("part"), "alias", "target", "p_partkey")
+
+
+def _templates(t):
+    text = F.concat(F.lit("a: {{ .Values.x"), c("turn").cast("string"), F.lit(".tag }}\n{{/* .Values.no */}}b: {{- include \"n"), c("conv_id").cast("string"), F.lit("\" . -}}\n"), F.replace("text", F.lit("{{"), F.lit("")), F.lit("\n{{ index $.Values \"k.y\" }}"))
+    return t("conversations").select(F.concat_ws("/", c("conv_id").cast("string"), c("turn").cast("string"), "role", v.digest(c("text"))).alias("artifact_id"), text.alias("source"))
+
+
+_TEMPLATE = "conv_id || '/' || turn || '/' || role || '/' || sha256(text) AS artifact_id"
+
+
+@query(f"""SELECT {_TEMPLATE}, 1 AS line, 'x' || turn || '.tag' AS path, false AS dynamic FROM conversations UNION ALL
+           SELECT {_TEMPLATE}, 4 + length(text) - length(replace(text, chr(10), '')), 'k%2Ey', false FROM conversations""")
+def template_value_references(t):
+    return documents.value_references(documents.template_actions(_templates(t))).withColumn("line", c("line").cast("int"))
+
+
+@query(f"SELECT {_TEMPLATE}, 2 AS line, 'include' AS kind, 'n' || conv_id AS name FROM conversations")
+def template_calls(t):
+    return documents.template_calls(documents.template_actions(_templates(t)))
+
+
+@query("""SELECT 1 AS phase, 'd' || doc_id AS id, 'MERGE (n {id: ''d' || doc_id || '''}) SET n:' || upper(lang) || ':Text, n += {`head`: ''' || replace(replace(replace(left(text, 40), '\\', '\\\\'), '''', '\\'''), chr(10), '\\n') || '''};' AS statement FROM documents""")
+def upsert_statements(t):
+    nodes = t("documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"), F.array(F.upper("lang"), F.lit("Text")).alias("labels"), F.create_map(F.lit("head"), F.substring("text", 1, 40)).alias("properties"))
+    return sinks.statements(nodes, nodes.where("false").select(F.lit("x").alias("type"), c("id").alias("src"), c("id").alias("dst")))
