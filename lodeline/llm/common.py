@@ -56,8 +56,8 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
 
 # --- text as numpy arrays -------------------------------------------------------------------------
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.RandomState(20_240_229).randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,7 +102,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Start, end (bytes) and row of every word of the rows."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~_IS_SPACE[data]
+    solid = ~IS_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
@@ -159,6 +159,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 # --- components -----------------------------------------------------------------------------------
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node below another one has just that edge: each component is a star around its smallest node."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    return not twice.take(1) and not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").take(1)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the links; component: the smallest node reachable.
 
@@ -168,18 +174,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), F.col("u"), "m")
-        pairs = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(pairs.where("u <> v").distinct(), "edges")
-        # A star per component: every node has one edge, and no centre is itself a leaf.
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = written(small.where("u <> v").distinct(), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

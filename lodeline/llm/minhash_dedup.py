@@ -29,8 +29,8 @@ LONG_LIST = 16
 #: Ids up to which the documents of candidate pairs are found by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Rounds of centres at most, and pairs of different components a list's member may leave for the end.
-ROUNDS = 6
-PAIRS_EACH = 4
+ROUNDS = 4
+PAIRS_EACH = 8
 _SIGN = np.uint64(1 << 63)
 
 
@@ -122,7 +122,7 @@ def _alike(x: Column, y: Column, percent: int) -> Column:
     union = F.slice(F.array_sort(F.array_union(x, y)), 1, RETAINED)
     shared = F.size(F.array_intersect(F.array_intersect(x, y), union))
     whole = (F.size(x) < RETAINED) & (F.size(y) < RETAINED)
-    return F.when(whole, 100 * shared >= percent * F.size(F.array_union(x, y))).otherwise(shared >= F.least(F.lit(SHARED), F.size(union)))
+    return F.when(whole, 100 * F.size(F.array_intersect(x, y)) >= percent * F.size(F.array_union(x, y))).otherwise(shared >= F.least(F.lit(SHARED), F.size(union)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,7 +136,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     signed = written(sketches(docs, words, doc_id, text), "sketches")
     groups = signed.where("doc_id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     reps = written(groups, "texts")
-    needs = F.when(F.col("n") <= RETAINED, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED)).cast("int")
+    # Sketches are whole sets on both sides only if every similar text has one.
+    needs = F.when(100 * F.col("n") <= percent * RETAINED, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED)).cast("int")
 
     values = reps.select("rep", "n", F.explode("sketch").alias("v"))
     lists = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -160,7 +161,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     tested = filtered(pairs)
     crowded = written(shared.where(F.col("h") >= needs).select(F.col("rep").alias("doc_id")).distinct(), "crowded")
-    ids = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded)
+    ids = tested.select(F.col("a").alias("doc_id")).unionByName(tested.select(F.col("b").alias("doc_id"))).unionByName(crowded)
     sets = _whole_sets(docs, ids, words, doc_id, text)
     links = written(_meet(tested, sets, percent), "links")
     if crowded.take(1):
@@ -182,19 +183,18 @@ def _crowded_links(links: DataFrame, tested: DataFrame, crowded: DataFrame, sets
     components are left, or a round links nothing more, all of these are held against each other.
     """
     heads = _heads(crowded, percent)
-    last = None
+    label = components(links)
+    last, before = None, float("inf")
     for _ in range(ROUNDS):
-        label = components(links).withColumnRenamed("node", "rep")
-        now = heads.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        now = written(now.where(F.col("m") > 1), "labelled")
+        now = heads.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         each = now.groupBy("v", "component").agg(F.count("*").alias("x"))
         open_lists = each.groupBy("v").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).where("s * s > q")
-        open_lists = written(open_lists.select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), "s"), "open")
-        left, members = open_lists.agg(F.sum("pairs"), F.sum("s")).first()
-        if not left or left <= PAIRS_EACH * members:
+        now = written(now.join(open_lists.select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")), "v"), "labelled")
+        left, members = now.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
+        if not left or left <= PAIRS_EACH * members or left > 0.7 * before:
             break
-        now = now.join(open_lists.select("v"), "v")
-        free = now if last is None else now.join(last.select("v", F.col("component").alias("old")), "v", "left").where("old IS NULL OR old <> component")
+        before = left
+        free = now if last is None else now.join(last, "v", "left").where("old IS NULL OR old <> component")
         centre = free.groupBy("v").agg(F.max_by(F.struct("rep", "n", "component"), F.struct("typical", -F.col("rep"))).alias("c"))
         centre = written(centre.select("v", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other")), "centres")
         star = now.drop("m").join(centre, "v").where("component <> other").where(similar).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
@@ -202,12 +202,14 @@ def _crowded_links(links: DataFrame, tested: DataFrame, crowded: DataFrame, sets
         found = written(_meet(fresh, sets, percent), "links")
         tested = tested.unionByName(fresh)
         links = links.unionByName(found)
-        last = centre.select("v", F.col("centre").alias("rep")).join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("v", F.coalesce("component", "rep").alias("component"))
         if not found.take(1):
             break
-    label = components(links).withColumnRenamed("node", "rep")
-    now = heads.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    now = written(now.select("v", F.col("rep").alias("a"), "n", "component"), "labelled")
+        # Stars stand for the links so far.
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        last = centre.join(label.withColumnRenamed("node", "centre"), "centre", "left").select("v", F.coalesce("component", "centre").alias("old"))
+    now = heads.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("v", F.col("rep").alias("a"), "n", F.coalesce("component", "rep").alias("component"))
+    now = written(now, "labelled")
     other = now.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     cross = now.join(other, "v").where("a < b AND component <> other").where(similar).select("a", "b").distinct()
-    return links.unionByName(_meet(filtered(cross.join(tested, ["a", "b"], "left_anti")), sets, percent))
+    fresh = filtered(cross.join(tested, ["a", "b"], "left_anti"))
+    return links.unionByName(_meet(fresh, sets, percent)) if fresh.take(1) else links

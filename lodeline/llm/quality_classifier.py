@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, shingles, span_hashes, text_steps, word_spans
+from .common import IS_SPACE, lowered, mix, shingles, span_hashes, text_steps, word_spans
 from .quality_rules import STOP_WORDS
 
 #: Documents the scorer is fitted on, drawn at random with a fixed seed.
@@ -62,8 +62,10 @@ class Features:
         stop = _stop_hashes()
         at = np.minimum(np.searchsorted(stop, word), len(stop) - 1)
         known = np.bincount(row, stop[at] == word, rows)
-        pair = np.unique(np.stack([row.astype(np.uint64), word]), axis=1)[0].astype(np.int64) if len(word) else row
-        distinct = np.bincount(pair, minlength=rows)
+        order = np.lexsort((word, row))
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = (row[order][1:] != row[order][:-1]) | (word[order][1:] != word[order][:-1])
+        distinct = np.bincount(row[order][fresh], minlength=rows)
         windows = np.bincount(shingles(data, offsets, 3)[0], minlength=rows)
         last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
         odd = np.bincount(row, (last == ord("!")) | (last == ord("|")) | _SYMBOL[last], rows) if len(end) else np.zeros(rows)
@@ -81,15 +83,11 @@ class Features:
         # Few words say little: no vote.
         self.votes = np.where(n < 5, 1, votes)
         # Words and shapes, in halves of the buckets.
-        solid = np.zeros(len(data) + 1, np.int32)
-        np.add.at(solid, start, 1)
-        np.add.at(solid, end, -1)
-        inside = np.cumsum(solid[:-1]) > 0
         shape = _SHAPE[data]
         new = np.ones(len(data), bool)
         new[1:] = shape[1:] != shape[:-1]
         new[start] = True
-        new &= inside
+        new &= ~IS_SPACE[data]
         place = np.concatenate([[0], np.cumsum(new)])
         forms = span_hashes(shape[new], place[start], place[end])
         half = np.uint64(BUCKETS // 2 - 1)

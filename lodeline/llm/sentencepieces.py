@@ -22,7 +22,7 @@ from .token_counts import pre_tokens
 
 MARK = "▁"
 #: Pre-tokens and neighbours that a worker keeps; beyond, it starts again.
-CACHED = 300_000
+CACHED = 600_000
 PAIRS = 2_000_000
 
 
