@@ -16,11 +16,10 @@ def nearest_ancestor(df: DataFrame, path: str, anchors: DataFrame, directory: st
     Each path offers its folders to an equi-join; no prefix comparison, so nothing is nested-looped.
     Of several anchors in one folder the smallest counts.
     """
-    own = df.withColumn("__row", F.monotonically_increasing_id())
     at = anchors.groupBy(F.col(directory).alias("__dir")).agg(F.min(anchor).alias(anchor))
     above = df.select(path).distinct().select(path, F.posexplode(ancestors(F.col(path))).alias("__up", "__dir"))
     best = above.join(at, "__dir").groupBy(path).agg(F.min_by(anchor, "__up").alias(anchor))
-    return own.drop("__row").join(best, path, "left")
+    return df.join(best, path, "left")
 
 
 def vendored_children(charts: DataFrame, chart: str = "chart", directory: str = "directory") -> DataFrame:
