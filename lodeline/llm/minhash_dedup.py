@@ -14,6 +14,7 @@ every link that joins different components is tested.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ SHARED = 36
 LONG_LIST = 16
 #: Ids up to which the documents of candidate pairs are found by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Bits of a set's parities. Each shingle that only one of two sets has changes one bit at most, so
+#: similar sets differ in few; the comparison loses nothing.
+ODD = 1024
+_ODD = [f"o{i}" for i in range(ODD // 64)]
 #: Rounds of centres at most, and pairs of different components a list's member may leave for the end.
 ROUNDS = 4
 PAIRS_EACH = 8
@@ -175,6 +180,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _parities(sets: DataFrame) -> DataFrame:
+    """rep and ODD bits of its set: whether an odd number of its shingles falls on each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((len(batch), ODD), np.uint8)
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                bits[i] = np.bincount((np.frombuffer(x, np.uint64) & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w) for w in words.T)], ["rep", *_ODD])
+
+    return sets.mapInArrow(run, ", ".join(["rep long", *(f"{o} long" for o in _ODD)])).dropDuplicates(["rep"])
+
+
 def _crowded_links(links: DataFrame, tested: DataFrame, crowded: DataFrame, sets: DataFrame, similar: Column, percent: int, filtered) -> DataFrame:
     """The links and those among documents of long lists, as far as these join different components.
 
@@ -207,9 +226,13 @@ def _crowded_links(links: DataFrame, tested: DataFrame, crowded: DataFrame, sets
         # Stars stand for the links so far.
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
         last = centre.join(label.withColumnRenamed("node", "centre"), "centre", "left").select("v", F.coalesce("component", "centre").alias("old"))
-    now = heads.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("v", F.col("rep").alias("a"), "n", F.coalesce("component", "rep").alias("component"))
-    now = written(now, "labelled")
-    other = now.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    cross = now.join(other, "v").where("a < b AND component <> other").where(similar).select("a", "b").distinct()
+    now = heads.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = now.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
+    now = now.join(split, "v").join(_parities(crowded), "rep")
+    now = written(now.select("v", F.col("rep").alias("a"), "n", "component", *_ODD), "labelled")
+    other = now.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *(F.col(o).alias(f"y{o}") for o in _ODD))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(o).bitwiseXOR(F.col(f"y{o}"))) for o in _ODD))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))
+    cross = now.join(other, "v").where("a < b AND component <> other").where(similar).where(near).select("a", "b").distinct()
     fresh = filtered(cross.join(tested, ["a", "b"], "left_anti"))
     return links.unionByName(_meet(fresh, sets, percent)) if fresh.take(1) else links
