@@ -9,19 +9,22 @@ line of equal or smaller length. What meets is verified by banded bit-parallel e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, mix, span_hashes, text_steps, written
 
-EDITS = 1
+#: Edits at most, and characters of the shorter line for each of them.
+EDITS, EACH = 4, 20
 #: Shorter lines are never duplicates: single words, numbers, brackets.
 LEAST_CHARACTERS = 20
-#: Letters whose counts' parities are compared before a pair is made; any will do, frequent ones tell most.
-LETTERS = "etaoinsrhlducm"
+#: Bits of parities that are compared before a pair is made: one for each small letter, the other
+#: ASCII characters share the rest. Bytes of longer characters don't count.
+PARITIES = 40
+_BITS = np.array([1 << (c - 97 if 97 <= c <= 122 else 26 + c % 14) if c < 128 else 0 for c in range(256)], np.int64)
 #: Lines of candidate pairs up to which their texts are found by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -66,52 +69,77 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     return df.where(F.length("line") >= least).withColumn("id", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment i (from 0) of lines of this length; later segments take what is over."""
-    size, over = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
-    extra = F.greatest(F.lit(0), over - (edits + 1 - i))
-    return i * size + extra + 1, size + (over >= edits + 1 - i).cast("int")
+def _bounds(edits: int | None) -> list[tuple[int, int, int]]:
+    """(edits, least and most length of the shorter line): one flat bound, or for None one edit for every EACH characters, EDITS at most."""
+    if edits is not None:
+        return [(edits, 1, 1 << 40)]
+    return [(k, k * EACH, (k + 1) * EACH - 1 if k < EDITS else 1 << 40) for k in range(1, EDITS + 1)]
 
 
-def _keys(line: Column, edits: int) -> list[tuple[Column, bool]]:
-    """Keys of the substrings that a line asks for, null where there is none, and whether each is its own segment."""
-    n = F.length(line)
-    keys = []
-    for less in range(edits + 1):
-        length = n - less
-        for i in range(edits + 1):
-            first, size = _segment(length, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = first + shift
-                inside = (at >= 1) & (at + size - 1 <= n) & (size > 0)
-                keys.append((F.when(inside, F.xxhash64(length, F.lit(i), F.substring(line, at, size))), less == 0 and shift == 0))
-    return keys
+def allowed(x: str, y: str, edits: int | None) -> int:
+    """The edits that two lines may be apart; the shorter one decides."""
+    return min(EDITS, min(len(x), len(y)) // EACH) if edits is None else edits
 
 
-def _parities(line: Column) -> Column:
-    """A bit for each of LETTERS: whether the line has it an odd number of times. One edit changes two bits at most."""
-    bits = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("int").bitwiseAND(F.lit(1)), i) for i, x in enumerate(LETTERS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def _signs(lines: DataFrame, edits: int | None) -> DataFrame:
+    """id, sign and keys of (id, line).
 
+    A key is a hash of a segment with its number and its line's length; the lowest bit tells whether it
+    is the line's own or one that it asks for. sign has the parities of its characters in the low PARITIES bits (one
+    edit changes two at most) and the edits allowed to the line above.
+    """
+    bounds = _bounds(edits)
 
-def line_links(docs: DataFrame, edits: int = EDITS, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARACTERS) -> DataFrame:
-    """(a, b) ids of distinct lines within ``edits`` edits, a < b.
-
-    Lines travel as their id and keys, equal ones once; texts are fetched for lines of candidate pairs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, rows, data, offsets in text_steps(batch.column(1)):
+                begin = np.flatnonzero((data & 0xC0) != 0x80)
+                first = np.searchsorted(begin, offsets)
+                n, begin = np.diff(first), np.append(begin, len(data))
+                odd = np.concatenate([[np.int64(0)], np.bitwise_xor.accumulate(_BITS[data])])
+                sign = odd[offsets[1:]] ^ odd[offsets[:-1]]
+                spans = []
+                for k, least, most in bounds:
+                    sign += np.int64(k << PARITIES) * ((n >= least) & (n <= most))
+                    for less in range(k + 1):
+                        use = np.flatnonzero((n - less >= least) & (n - less <= most))
+                        length = n[use] - less
+                        size, over = length // (k + 1), length % (k + 1)
+                        for i in range(k + 1):
+                            # Later segments take what is over.
+                            low = i * size + np.maximum(0, over - (k + 1 - i))
+                            wide = size + (over >= k + 1 - i)
+                            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
+                                ok = (low + shift >= 0) & (low + shift + wide <= n[use]) & (wide > 0)
+                                head = first[use][ok] + low[ok] + shift
+                                own = int(less == 0 and shift == 0)
+                                spans.append((use[ok], begin[head], begin[head + wide[ok]], length[ok] << 6 | i << 1 | own))
+                row, start, end, tag = (np.concatenate(x) for x in zip(*spans))
+                value = mix(span_hashes(data, start, end) ^ mix((tag >> 1).astype(np.uint64))) & ~np.uint64(1) | (tag & 1).astype(np.uint64)
+                order = np.argsort(row, kind="stable")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+                keys = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(value[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(sign), keys], ["id", "sign", "keys"])
+
+    return lines.select("id", "line").mapInArrow(run, "id binary, sign long, keys array<long>")
+
+
+def line_links(docs: DataFrame, edits: int | None = None, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARACTERS) -> DataFrame:
+    """(a, b) ids of distinct lines within ``edits`` edits, a < b; None: within one edit for every EACH characters, EDITS at most.
+
+    Lines meet by their id and keys, equal ones once; texts are fetched for lines of candidate pairs
     only. Sides of a hot segment are ones that adaptive execution splits, and lines whose letters
     differ too much make no pair.
     """
     lines = lines_of(docs, doc_id, text, least)
-    keys = _keys(F.col("line"), edits)
-    signed = lines.select("id", F.array(*(k for k, _ in keys)).alias("keys"), _parities(F.col("line")).alias("odd"))
-    distinct = signed.groupBy("id").agg(F.first("keys").alias("keys"), F.first("odd").alias("odd"))
-    roles = F.array(*(F.lit(int(own)) for _, own in keys))
-    asked = distinct.select("id", "odd", F.posexplode("keys").alias("i", "key")).where("key IS NOT NULL").select("id", "odd", "key", F.get(roles, F.col("i")).alias("own"))
+    long = lines.where(F.length("line") >= _bounds(edits)[0][1])
+    asked = _signs(long.groupBy("id").agg(F.first("line").alias("line")), edits).select("id", "sign", F.explode("keys").alias("k"))
+    asked = asked.select("id", "sign", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
     # Two owners of a key meet once, by their ids; an asking line meets the owners of what it asks
     # for. Roles are compared as sums, so that both sides stay one and the same exchange.
-    x = asked.select(F.col("id").alias("x"), "key", F.col("own").alias("p"), F.col("odd").alias("r"))
-    y = asked.select(F.col("id").alias("y"), "key", F.col("own").alias("q"), F.col("odd").alias("s"))
-    near = F.bit_count(F.col("r").bitwiseXOR(F.col("s"))) <= 2 * edits
+    x = asked.select(F.col("id").alias("x"), "key", F.col("own").alias("p"), F.col("sign").alias("r"))
+    y = asked.select(F.col("id").alias("y"), "key", F.col("own").alias("q"), F.col("sign").alias("s"))
+    near = F.bit_count(F.col("r").bitwiseXOR(F.col("s")).bitwiseAND(F.lit((1 << PARITIES) - 1))) <= 2 * F.least(F.shiftright("r", PARITIES), F.shiftright("s", PARITIES))
     met = x.join(y, "key").where(near).where(((F.col("p") + F.col("q") == 2) & (F.col("x") < F.col("y"))) | ((F.col("p") - F.col("q") == 1) & (F.col("x") != F.col("y"))))
     pairs = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
@@ -123,16 +151,16 @@ def line_links(docs: DataFrame, edits: int = EDITS, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            yield batch.select([0, 1]).filter(pa.array([within(p, q, edits) for p, q in both], pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array([within(p, q, allowed(p, q, edits)) for p, q in both], pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARACTERS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int | None = None, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARACTERS) -> DataFrame:
     """A row for each line of ``least`` characters or more: doc_id, line_no, class_doc_id, class_line_no, n_links, kept.
 
     The class of a line is all that links reach; it is named by its first line in (doc_id, line_no)
-    order, which alone is kept. n_links counts the other distinct lines within ``edits`` edits of it.
+    order, which alone is kept. n_links counts the other distinct lines within ``edits`` edits of it (None: as for line_links).
     Null and empty texts have no lines, null ids come first, and a repeated row is the same document.
     """
     links = written(line_links(docs, edits, doc_id, text, least), "line-links")
@@ -148,7 +176,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, doc_id: str = "doc_id", te
     return df.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
 
 
-def without_duplicate_lines(docs: DataFrame, edits: int = EDITS, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARACTERS) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, edits: int | None = None, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_CHARACTERS) -> DataFrame:
     """The documents without lines that are not the first of their class; what is left empty goes, other columns stay."""
     drop = line_classes(docs, edits, doc_id, text, least).where("not kept").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__lines"))
     df = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("__of")), "left")
