@@ -19,7 +19,7 @@ from .common import components, mix, span_hashes, text_steps, written
 
 #: Edits at most, and characters of the shorter line for each of them.
 EDITS, EACH = 4, 20
-#: Shorter lines are never duplicates: single words, numbers, brackets.
+#: Shorter lines stay in documents, copies or not: single words, numbers, brackets.
 LEAST_CHARACTERS = 20
 #: Bits of parities that are compared before a pair is made: one for each small letter, the other
 #: ASCII characters share the rest. Bytes of longer characters don't count.
@@ -161,7 +161,8 @@ def line_classes(docs: DataFrame, edits: int | None = None, doc_id: str = "doc_i
 
     The class of a line is all that links reach; it is named by its first line in (doc_id, line_no)
     order, which alone is kept. n_links counts the other distinct lines within ``edits`` edits of it (None: as for line_links).
-    Null and empty texts have no lines, null ids come first, and a repeated row is the same document.
+    With ``least`` = 1 every line that isn't empty has a row; those too short for an edit (see
+    line_links) are in one class with their exact copies. Null and empty texts have no lines, null ids come first, and a repeated row is the same document.
     """
     links = written(line_links(docs, edits, doc_id, text, least), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))

@@ -25,7 +25,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), least=1)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from test_joins import distance, documents
 
-from lodeline.llm import line_dedup
+from lodeline.llm import line_dedup, queries
 
 
 def varied(rng, lengths, times, most):
@@ -31,3 +31,17 @@ def test_longer_lines_may_differ_more(spark):
     of = {bytes(r.id): r.line for r in line_dedup.lines_of(df).collect()}
     found = {tuple(sorted((of[bytes(r.a)], of[bytes(r.b)]))) for r in line_dedup.line_links(df).collect()}
     assert found == want
+
+
+def test_short_lines_have_rows_and_classes(spark, tmp_path):
+    texts = ["Of.\n\nIn in.", "Of.\nOf,", None, "", "x" * 19 + "\n" + "x" * 20, "x" * 19 + "\n" + "x" * 19 + "y", "In in.\n "]
+    df = documents(spark, texts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in queries.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert rows == {
+        (0, 0): (0, 0, 0, True), (0, 2): (0, 2, 0, True), (1, 0): (0, 0, 0, False), (1, 1): (1, 1, 0, True),
+        (4, 0): (4, 0, 0, True), (4, 1): (4, 1, 1, True), (5, 0): (4, 0, 0, False), (5, 1): (4, 1, 1, False),
+        (6, 0): (0, 2, 0, False), (6, 1): (6, 1, 0, True),
+    }
+    out = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df).collect()}
+    assert out[1] == texts[1] and out[5] == "x" * 19 and out[6] == texts[6]
