@@ -31,8 +31,12 @@ def vendored_children(charts: DataFrame, chart: str = "chart", directory: str =
 
 
 def walk(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", depth: int = 50) -> DataFrame:
-    """(root, node, depth, path) reached from each root; a branch ends where it meets itself."""
+    """(root, node, depth, path) reached from each root; a branch ends where it meets itself.
+
+    Spark's limit on the rows of a recursion is lifted for the session; deeper than ``depth`` is an error.
+    """
     spark = edges.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     tag = uuid.uuid4().hex[:12]
     edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).createOrReplaceTempView(f"edges_{tag}")
     roots.select(F.col(root).alias("r")).createOrReplaceTempView(f"roots_{tag}")

@@ -172,6 +172,16 @@ def render_tree_walk(t):
     return w.groupBy("root", "node", "depth").agg(F.count("*").alias("ways"))
 
 
+@query()
+def ownership_forest(t):
+    """Every customer below the customer whose key is an eighth of its own, walked from all roots."""
+    d = t("customer").select(c("c_custkey").alias("child"), F.expr("c_custkey div 8").alias("parent"))
+    known = d.select(c("child").alias("parent")).distinct()
+    e = d.where("child <> parent").join(known, "parent", "left_semi").distinct()
+    roots = d.select("child").distinct().join(e.select("child"), "child", "left_anti").select(c("child").alias("root"))
+    return ownership.walk(e, roots).select("root", "node", "depth")
+
+
 # --- precedence -----------------------------------------------------------------------------------
 
 
