@@ -33,6 +33,17 @@ def artifact_identities(t):
     return d.select("doc_id", ids.artifact_id(app, F.concat_ws("/", "source", "lang", head)).alias("artifact"), ids.semantic_id(app, "text", c("source"), head).alias("semantic"), ids.config_key_id(ids.artifact_id(app, c("source")), ids.encode_value_segment(head)).alias("key"))
 
 
+@query("""SELECT doc_id, 'can://artifact/corpus/' || s || '/' || l || '/' || coalesce(doc_id::VARCHAR, 'none') || '-' || d AS artifact, 'can://iac/corpus/text/' || s || '/' || d AS semantic, 'can://artifact/corpus/' || s || '@key/' || d AS key
+          FROM (SELECT doc_id, url_encode(coalesce(source, 'none')) AS s, url_encode(coalesce(lang, 'none')) AS l, coalesce(sha256(text), 'none') AS d FROM documents)""")
+def whole_text_identities(t):
+    """Identities of every document by the digest of its whole text; a null text, source, language or id is named none."""
+    none = lambda x: F.coalesce(x, F.lit("none"))
+    d = t("documents").select("doc_id", none(c("source")).alias("source"), none(c("lang")).alias("lang"), none(v.digest(c("text"))).alias("digest"))
+    of_source = F.concat(F.lit(f"{ids.ARTIFACT}corpus/"), ids.encode_segment(c("source")))
+    artifact = F.concat_ws("/", of_source, ids.encode_segment(c("lang")), F.concat(none(c("doc_id").cast("string")), F.lit("-"), c("digest")))
+    return d.select("doc_id", artifact.alias("artifact"), ids.semantic_id(F.lit("corpus"), "text", c("source"), c("digest")).alias("semantic"), ids.config_key_id(of_source, c("digest")).alias("key"))
+
+
 @query("""SELECT conv_id, turn, role, 'can://iac/chat/' || conv_id || '/turn@' || length(role) || ':' || (turn % 2) ||
           CASE WHEN n > 1 THEN ':' || n ELSE '' END AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, length(role), turn % 2 ORDER BY turn, role, text) AS n FROM conversations)""")
 def anonymous_identities(t):
@@ -491,3 +502,10 @@ def template_calls(t):
 def upsert_statements(t):
     nodes = t("documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"), F.array(F.upper("lang"), F.lit("Text")).alias("labels"), F.create_map(F.lit("head"), F.substring("text", 1, 40)).alias("properties"))
     return sinks.statements(nodes, nodes.where("false").select(F.lit("x").alias("type"), c("id").alias("src"), c("id").alias("dst")))
+
+
+@query("""SELECT 1 AS phase, 'd' || doc_id AS id, 'MERGE (n {id: ''d' || doc_id || '''}) SET n:' || upper(lang) || ':Text, n += {' || coalesce('`text`: ''' || replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(8), '\\b'), chr(12), '\\f') || '''', '') || '};' AS statement FROM documents""")
+def whole_text_upserts(t):
+    """Statements that carry whole texts; a null text sets no property."""
+    nodes = t("documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"), F.array(F.upper("lang"), F.lit("Text")).alias("labels"), F.create_map(F.lit("text"), c("text")).alias("properties"))
+    return sinks.statements(nodes, nodes.where("false").select(F.lit("x").alias("type"), c("id").alias("src"), c("id").alias("dst")))

@@ -26,3 +26,21 @@ def test_walk_takes_more_rows_than_a_million(spark):
 
     edges = spark.range(1, 1_100_000).selectExpr("0L AS parent", "id AS child")
     assert ownership.walk(edges, spark.createDataFrame([(0,)], "root long")).count() == 1_100_000
+
+
+def test_whole_texts_in_identities_and_statements(spark, tmp_path):
+    head = "the same twelve and forty characters of a text"
+    rows = [(1, f"{head} a'\\\n\r\t", "s/1", "en"), (2, f"{head} b", "s/1", "en"), (3, None, "s/1", "en"), (4, "", "s/1", "en"), (5, "a/b\\c", "s/1", "en"), (6, f"{head} b", "s/1", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in entry.queries()["whole_text_identities"](spark, str(tmp_path)).collect()}
+    assert len(found) == 6 and len({r.artifact for r in found.values()}) == 6 and len({r.semantic for r in found.values()}) == 5
+    assert found[2].semantic == found[6].semantic and found[3].semantic == "can://iac/corpus/text/s%2F1/none" and found[1].artifact.startswith("can://artifact/corpus/s%2F1/en/1-")
+    said = {r.id: r.statement for r in entry.queries()["whole_text_upserts"](spark, str(tmp_path)).collect()}
+    assert said["d2"].endswith(f"n += {{`text`: '{head} b'}};") and said["d3"].endswith("n += {};") and said["d4"].endswith("n += {`text`: ''};")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("whole_text_identities", "whole_text_upserts"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        other = db.execute(entry.oracle_sql()[name])
+        at = [[x[0] for x in other.description].index(x) for x in df.columns]
+        assert sorted(str(tuple(r)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in other.fetchall())
