@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import encode_value_segment, value_path
@@ -67,16 +67,21 @@ def yaml_keys(documents: DataFrame) -> DataFrame:
 
 
 def template_actions(templates: DataFrame) -> DataFrame:
-    """(artifact_id, nth, action, start, line) of every ``{{ }}`` of ``source``; comments are left out."""
+    """(artifact_id, nth, action, start, line, followed) of every ``{{ }}`` of ``source``; comments are left out.
+
+    followed: whether text other than white space and comments stands before the next action.
+    """
     pattern = r"(?s)\{\{-?\s*(?!/\*)(.*?)-?\}\}"
     t = templates.select("artifact_id", F.coalesce("source", F.lit("")).alias("t"))
     found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
     between = F.split("t", pattern, -1)
+    after = F.transform(F.slice(between, 2, F.size(found)), lambda b: F.regexp_replace(b, r"(?s)\{\{-?\s*/\*.*?\*/\s*-?\}\}", "").rlike(r"\S"))
     pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), (acc["line"] + F.length(F.regexp_replace(F.concat(x["b"], x["m"]), "[^\n]+", ""))).alias("line"), F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["b"])).alias("start"), (acc["line"] + F.length(F.regexp_replace(x["b"], "[^\n]+", ""))).alias("line"), x["m"].alias("action"))).alias("found"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int,action:string>>").alias("found"))
+    pairs = F.zip_with(pairs, after, lambda p, f: F.struct(p["b"].alias("b"), p["m"].alias("m"), F.coalesce(f, F.lit(False)).alias("f")))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), (acc["line"] + F.length(F.regexp_replace(F.concat(x["b"], x["m"]), "[^\n]+", ""))).alias("line"), F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["b"])).alias("start"), (acc["line"] + F.length(F.regexp_replace(x["b"], "[^\n]+", ""))).alias("line"), x["m"].alias("action"), x["f"].alias("followed"))).alias("found"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int,action:string,followed:boolean>>").alias("found"))
     each = t.select("artifact_id", F.posexplode(F.aggregate(pairs, zero, step, lambda acc: acc["found"])).alias("nth", "x"))
-    return each.select("artifact_id", "nth", F.regexp_replace("x.action", r"^\{\{-?\s*|\s*-?\}\}$", "").alias("action"), "x.start", "x.line")
+    return each.select("artifact_id", "nth", F.regexp_replace("x.action", r"^\{\{-?\s*|\s*-?\}\}$", "").alias("action"), "x.start", "x.line", "x.followed")
 
 
 def value_references(actions: DataFrame) -> DataFrame:
@@ -99,7 +104,24 @@ def template_calls(actions: DataFrame) -> DataFrame:
 
 
 def named_templates(actions: DataFrame) -> DataFrame:
-    """(artifact_id, line, name, empty) of ``define`` and ``block`` actions, with whether nothing stands in the body."""
+    """(artifact_id, line, name, start, nth, empty) of ``define`` and ``block`` actions, with whether nothing stands in the body.
+
+    White space, comments and nested ``define`` are nothing; any other action or text is something.
+    """
+    file = Window.partitionBy("artifact_id").orderBy("nth")
+    kind = F.when(F.startswith("action", F.lit("/*")), "comment").otherwise(F.regexp_extract("action", r"^(define|block|if|range|with|end)\b", 1))
+    step = F.when(F.col("kind").isin("define", "block", "if", "range", "with"), 1).when(F.col("kind") == "end", -1).otherwise(0)
+    a = actions.withColumn("kind", kind).withColumn("step", step)
+    # An end is on the level of what it ends, and the one before it there.
+    a = a.withColumn("level", F.sum("step").over(file) + (F.col("step") < 0).cast("int")).withColumn("moves", F.col("step") != 0)
+    a = a.withColumn("ends", F.when(F.col("step") < 0, F.lag("kind").over(Window.partitionBy("artifact_id", "level", "moves").orderBy("nth"))))
+    opens, closes = F.col("kind").isin("define", "block"), F.coalesce(F.col("ends").isin("define", "block"), F.lit(False))
+    a = a.withColumn("opens", opens).withColumn("body", F.sum(opens.cast("int") - closes.cast("int")).over(file))
+    # What follows an action stands in the body that was opened last on its depth.
+    inside = Window.partitionBy("artifact_id", "body").orderBy("nth")
+    a = a.withColumn("of", F.max(F.when(F.col("opens"), F.col("nth"))).over(inside))
+    silent = F.col("opens") | (F.col("kind") == "comment") | F.coalesce(F.col("ends") == "define", F.lit(False))
+    filled = a.where(F.col("body") > 0).groupBy("artifact_id", F.col("of").alias("nth")).agg(F.bool_or(F.col("followed") | ~silent).alias("filled"))
     name = F.regexp_extract("action", r'^(?:define|block)\s+"([^"]+)"', 1)
-    marked = actions.withColumn("name", name)
-    return marked.where("name <> ''").select("artifact_id", "line", "name", "start", "nth")
+    marked = a.where("opens").withColumn("name", name).where("name <> ''").join(filled, ["artifact_id", "nth"], "left")
+    return marked.select("artifact_id", "line", "name", "start", "nth", (~F.coalesce("filled", F.lit(False))).alias("empty"))

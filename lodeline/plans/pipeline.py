@@ -63,7 +63,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
     trees = ownership.walk(children.where("not hidden"), roots).select(F.col("root").alias("tree"), F.col("node").alias("chart"), "depth")
     defined = out["templates"].join(of, "artifact_id").join(trees.withColumnRenamed("depth", "tree_depth"), "chart")
-    defined = defined.select("tree", "name", F.col("artifact_id").alias("template"), (F.size(F.split("file", "/")) * -1).alias("depth"), F.col("file").alias("path"), F.lit(False).alias("empty"))
+    defined = defined.select("tree", "name", F.col("artifact_id").alias("template"), (F.size(F.split("file", "/")) * -1).alias("depth"), F.col("file").alias("path"), "empty")
     calls = out["calls"].where("name IS NOT NULL AND kind <> 'tpl'").join(of.select("artifact_id", "chart"), "artifact_id").join(trees, "chart")
     out["call_targets"] = resolution.call_targets(calls.select("tree", "name", "artifact_id", "line"), defined)
     return out

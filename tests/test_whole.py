@@ -44,3 +44,35 @@ def test_whole_texts_in_identities_and_statements(spark, tmp_path):
         other = db.execute(entry.oracle_sql()[name])
         at = [[x[0] for x in other.description].index(x) for x in df.columns]
         assert sorted(str(tuple(r)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in other.fetchall())
+
+
+def test_empty_definitions(spark):
+    from lodeline.operators import documents
+
+    source = (
+        '{{ define "a" }}x{{ end }}{{ define "b" }} \n{{/* c */}}{{- /* d */ -}} {{ end }}text{{define "c"}}{{ if .x }}{{ end }}{{ end }}'
+        '{{ define "d" }} {{ define "e" }}x{{ end }} {{ end }}{{ define "f" }}{{ block "g" . }} {{ end }}{{ end }}{{ define "h" }}{{ .x }}{{ end }}{{- define "i" -}}{{- end -}}'
+        '{{ define "j" }}{{ define "k" }}{{ end }}y{{ end }}{{ define "l" }}{{ with .x }} {{ define "m" }}{{ end }}{{ else }}{{ end }}{{ end }}'
+    )
+    df = spark.createDataFrame([("t", source), ("u", "no actions"), ("v", None)], "artifact_id string, source string")
+    found = {r.name: r.empty for r in documents.named_templates(documents.template_actions(df)).collect()}
+    assert sorted(n for n, empty in found.items() if empty) == ["b", "d", "g", "i", "k", "m"] and len(found) == 13
+
+
+def analysed(spark, files):
+    from lodeline.plans import pipeline
+
+    df = spark.createDataFrame(list(files.items()), "path string, source string")
+    df = df.withColumn("artifact_id", F.concat(F.lit("can://artifact/app/"), "path"))
+    return pipeline.analyse(df, "app", level=2)
+
+
+def test_an_empty_override_does_not_win(spark):
+    files = {
+        "shop/Chart.yaml": "apiVersion: v2\nname: shop\nversion: 1.0.0\n",
+        "shop/templates/a.tpl": '{{ define "n" }}x{{ end }}{{ define "m" }}{{ end }}',
+        "shop/templates/z.tpl": '{{ define "n" }} {{/* empty */}} {{ end }}{{ define "m" }}y{{ end }}',
+        "shop/templates/d.yaml": 'a: {{ include "n" . }}{{ include "m" . }}\n',
+    }
+    at = "can://artifact/app/shop/templates/"
+    assert {r.name: r.template for r in analysed(spark, files)["call_targets"].collect()} == {"n": f"{at}a.tpl", "m": f"{at}z.tpl"}
