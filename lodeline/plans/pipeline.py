@@ -59,7 +59,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     asked = out["references"].join(of.select("artifact_id", "chart"), "artifact_id")
     out["value_targets"] = resolution.value_targets(asked, declared)
     children = ownership.vendored_children(charts).join(charts.select(F.col("chart").alias("child"), F.col("name").alias("child_name"), "version"), "child")
-    out["dependencies"] = _dependencies(artifacts, charts, children)
+    out["dependencies"] = _dependencies(artifacts, detections, charts, children)
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
     trees = ownership.walk(children.where("not hidden"), roots).select(F.col("root").alias("tree"), F.col("node").alias("chart"), "depth")
     defined = out["templates"].join(of, "artifact_id").join(trees.withColumnRenamed("depth", "tree_depth"), "chart")
@@ -69,12 +69,15 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     return out
 
 
-def _dependencies(artifacts: DataFrame, charts: DataFrame, children: DataFrame) -> DataFrame:
-    keys = documents.yaml_keys(artifacts.join(charts.select(F.col("chart").alias("artifact_id")), "artifact_id", "left_semi"))
+def _dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame, children: DataFrame) -> DataFrame:
+    """What charts declare in Chart.yaml and, of apiVersion v1, in the requirements.yaml beside it."""
+    older = detections.where("kind = 'helm_requirements'").select("artifact_id", F.col("chart").alias("owner"))
+    owners = charts.select(F.col("chart").alias("artifact_id"), F.col("chart").alias("owner")).unionByName(older)
+    keys = documents.yaml_keys(artifacts.join(owners, "artifact_id", "left_semi"))
     item = keys.where((F.size("keys") == 3) & (F.get("keys", F.lit(0)) == "dependencies") & ~F.col("duplicate"))
     field = item.withColumn("field", F.get("keys", F.lit(2)))
     each = field.groupBy("artifact_id", F.get("keys", F.lit(1)).alias("nth")).pivot("field", ["name", "version", "alias", "repository"]).agg(F.first("value"))
-    each = each.where("name <> '' AND version <> ''").select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), F.col("artifact_id").alias("owner"), "name", "alias", F.col("version").alias("constraint"), "repository")
+    each = each.where("name <> '' AND version <> ''").join(owners, "artifact_id").select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "owner", "name", "alias", F.col("version").alias("constraint"), "repository")
     found = resolution.dependency_targets(each, children)
     return each.select("dependency", "owner", "name").join(found, "dependency")
 

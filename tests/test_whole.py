@@ -76,3 +76,23 @@ def test_an_empty_override_does_not_win(spark):
     }
     at = "can://artifact/app/shop/templates/"
     assert {r.name: r.template for r in analysed(spark, files)["call_targets"].collect()} == {"n": f"{at}a.tpl", "m": f"{at}z.tpl"}
+
+
+def test_requirements_of_v1_charts(spark):
+    def item(name):
+        return f"dependencies:\n  - name: {name}\n    version: '>=1.0.0'\n    repository: oci://reg.example.com/charts\n"
+
+    files = {
+        "old/Chart.yaml": "apiVersion: v1\nname: old\nversion: 1.0.0\n",
+        "old/requirements.yaml": item("db") + item("cache").partition("\n")[2],
+        "old/charts/db/Chart.yaml": "apiVersion: v1\nname: db\nversion: 1.2.0\n",
+        "new/Chart.yaml": "apiVersion: v2\nname: new\nversion: 1.0.0\n" + item("queue"),
+        "new/requirements.yaml": item("never"),
+    }
+    at = "can://artifact/app/"
+    found = {r.dependency: (r.owner, r.name, r.status, r.chart) for r in analysed(spark, files)["dependencies"].collect()}
+    assert found == {
+        f"{at}old/requirements.yaml#0": (f"{at}old/Chart.yaml", "db", "vendored", f"{at}old/charts/db/Chart.yaml"),
+        f"{at}old/requirements.yaml#1": (f"{at}old/Chart.yaml", "cache", "package", None),
+        f"{at}new/Chart.yaml#0": (f"{at}new/Chart.yaml", "queue", "package", None),
+    }
