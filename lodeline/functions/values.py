@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .identity import encode_segment
 
@@ -32,6 +37,30 @@ def digest(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def ordered_digest(df: DataFrame, key: str, order: list[str], fact: str) -> DataFrame:
+    """key and digest of its facts, joined by commas in order; null facts are left out. Facts stream by, no group is held as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, some = None, None, False
+        for batch in batches:
+            done = []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sha is None or k != now:
+                    if sha is not None:
+                        done.append((now, sha.hexdigest()))
+                    now, sha, some = k, hashlib.sha256(), False
+                if x is not None:
+                    sha.update((("," if some else "") + x).encode())
+                    some = True
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.schema.field(0).type), pa.array([h for _, h in done], pa.string())], [key, "digest"])
+        if sha is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], batch.schema.field(0).type), pa.array([sha.hexdigest()], pa.string())], [key, "digest"])
+
+    rows = df.repartition(key).sortWithinPartitions(key, *order).select(key, fact)
+    return rows.mapInArrow(run, StructType([df.schema[key], StructField("digest", StringType())]))
+
+
 def dns_label(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -96,3 +96,18 @@ def test_requirements_of_v1_charts(spark):
         f"{at}old/requirements.yaml#1": (f"{at}old/Chart.yaml", "cache", "package", None),
         f"{at}new/Chart.yaml#0": (f"{at}new/Chart.yaml", "queue", "package", None),
     }
+
+
+def test_groups_are_not_gathered(spark, tmp_path):
+    import hashlib
+
+    rows = [(k, t // 2, "user", None if t == 5 else f"text {t % 3} {k}") for k in (1, 2, None) for t in range(40)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    found = {r.conv_id: r.input_hash for r in entry.queries()["input_hashes"](spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {k: sha(",".join(f"{t}@{sha(x)}" for i, t, _, x in sorted((r for r in rows if r[0] == k and r[3] is not None), key=lambda r: (r[1], r[3])))) for k in (1, 2, None)}
+    assert found == want
+    for name, at in (("input_hashes", str(tmp_path)), ("normalised_roles", DATA), ("node_allowlist", DATA)):
+        assert "collect_list" not in entry.queries()[name](spark, at)._jdf.queryExecution().toString()
