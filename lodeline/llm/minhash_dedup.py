@@ -1,7 +1,7 @@
 """MinHash near-dedup: bottom-k sketches of one hash function, inverted lists, union sketches, exact Jaccard.
 
 A pair with Jaccard similarity 0.8 shares about 51 of the 64 values that the bottom-64 sketch of its
-union retains (binomial; fewer than 36 has a chance of some 1e-6 at exactly 0.8 and vanishes above).
+union retains (binomial; fewer than 33 has a chance of 8e-8 at exactly 0.8, which vanishes above).
 So a pair must meet in lists of retained values often enough. Pairs that share a value of a list up
 to LONG_LIST come from there. Others share only values of longer lists, which takes documents with
 that many of them: copies with many variants, or texts that are mostly one passage. For these alone
@@ -25,7 +25,7 @@ from .common import components, lowered, mix, shingles, text_steps, written
 
 RETAINED = 64
 #: Values of the union's bottom-64 that a pair must share.
-SHARED = 36
+SHARED = 33
 LONG_LIST = 16
 #: Ids up to which the documents of candidate pairs are found by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
