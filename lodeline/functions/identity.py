@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Prefixes of identities.
 ARTIFACT, SEMANTIC = "can://artifact/", "can://iac/"
-_PLAIN = "^[A-Za-z0-9._~-]*$"
+_PLAIN = r"^[A-Za-z0-9._~-]*\z"
 
 
 def _encoded(text: Column, plain: str) -> Column:
@@ -21,6 +21,19 @@ def encode_segment(text: Column) -> Column:
     return F.when(text.rlike(_PLAIN), text).otherwise(_encoded(text, "^(2D|2E|5F|7E|3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])$"))
 
 
+def decode_segment(text: Column) -> Column:
+    """What a percent-encoded segment stands for; null where an escape is broken or the bytes are no UTF-8."""
+    whole = text.rlike(r"^(?:[^%]|%[0-9A-Fa-f]{2})*+\z")
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("25(3.|4.|6.)(3.|4.|6.)|(..)"), F.lit(0))
+    raw = F.unhex(F.array_join(F.transform(pairs, lambda h: F.when(F.length(h) == 6, F.decode(F.unhex(F.substring(h, 3, 4)), "UTF-8")).otherwise(h)), ""))
+    return F.when(whole, F.try_validate_utf8(raw.cast("string")))
+
+
+def application_of(identity: Column) -> Column:
+    """The application that an artifact's or a fact's identity was made for; null where it is none."""
+    return F.nullif(decode_segment(F.regexp_extract(identity, "^can://(?:artifact|iac)/([^/@]+)", 1)), F.lit(""))
+
+
 def encode_value_segment(text: Column) -> Column:
     """A key of a value path: as a segment, with the dot encoded too."""
     return F.replace(encode_segment(text), F.lit("."), F.lit("%2E"))

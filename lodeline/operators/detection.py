@@ -48,7 +48,50 @@ def excluded(path: Column) -> Column:
     return F.startswith(base, F.lit("README")) | F.startswith(base, F.lit("LICENSE")) | F.endswith(base, F.lit(".TGZ"))
 
 
+HOOK = "helm.sh/hook"
+
+
+def _flow_has_hook(rest: Column) -> Column:
+    """Whether a mapping in braces has the hook among its own keys."""
+    own = F.regexp_replace(rest, r"""(['"])helm\.sh/hook\1(?=\s*:)""", HOOK)
+    own = F.regexp_replace(own, r"""'(?:[^']|'')*+'|"(?:[^"\\]|\\.)*+\"""", "")
+    for _ in range(8):
+        own = F.regexp_replace(own, r"(?<!^)[\[{][^\[\]{}]*[\]}]", "")
+    return own.rlike(r"^\{(?:.*,)?\s*helm\.sh/hook\s*:")
+
+
 def is_hook(source: Column) -> Column:
-    """Whether the manifest annotates ``helm.sh/hook`` under ``metadata.annotations`` at its top level."""
-    block = r"(?m)^metadata:[ \t]*\n(?:(?:[ \t]+.*|[ \t]*)\n)*?[ \t]+annotations:[ \t]*\n(?:(?:[ \t]+.*|[ \t]*)\n)*?[ \t]+['\"]?helm\.sh/hook['\"]?[ \t]*:"
-    return F.coalesce(source.rlike(block), F.lit(False))
+    """Whether a document of the manifest annotates the hook key directly under ``metadata.annotations`` of its root.
+
+    One pass over the lines keeps the indents of the root, of ``metadata`` and of ``annotations``;
+    template actions and comments count as nothing, and a document begins anew after ``---`` or ``...``.
+    """
+    fresh = dict(root=F.lit(-1), meta=F.lit(-1), inside=F.lit(-1))
+    # meta: indent of the keys of metadata, -2 before the first of them; inside: the same for annotations.
+
+    def state(root: Column, meta: Column, inside: Column, hook: Column) -> Column:
+        return F.struct(root.cast("int").alias("root"), meta.cast("int").alias("meta"), inside.cast("int").alias("inside"), hook.alias("hook"))
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = F.regexp_replace(line, r"\{\{.*?\}\}", "")
+        text = F.ltrim(bare)
+        indent = F.length(bare) - F.length(text)
+        key = F.regexp_extract(text, r"""^(['"]?)([^\s'"#{\[-][^'":]*?|[^\s'"#{\[][^\s'":]*)\1\s*:(?=\s|$)""", 2)
+        rest = F.regexp_replace(F.regexp_replace(text, r"""^(['"]?)[^'":]*\1\s*:\s*""", ""), r"^#.*|\s+#.*$|\s+$", "")
+        opens = rest == ""
+        root = F.when(acc["root"] < 0, indent).otherwise(acc["root"])
+        at_root = indent <= root
+        meta = F.when(at_root, F.when((key == "metadata") & opens, F.lit(-2)).otherwise(F.lit(-1))).when(acc["meta"] == -2, indent).otherwise(acc["meta"])
+        at_meta = ~at_root & (meta >= 0) & (indent <= meta)
+        inside = (
+            F.when(at_root, F.lit(-1)).when(at_meta, F.when((key == "annotations") & opens, F.lit(-2)).otherwise(F.lit(-1)))
+            .when((acc["inside"] == -2) & F.startswith(text, F.lit("-")), F.lit(-1)).when(acc["inside"] == -2, indent).otherwise(acc["inside"])
+        )
+        here = ~at_root & ~at_meta & (inside >= 0) & (indent == inside) & (key == HOOK)
+        flow = at_meta & (key == "annotations") & _flow_has_hook(rest)
+        nothing = (text == "") | F.startswith(text, F.lit("#"))
+        new = state(root, meta, inside, acc["hook"] | here | flow)
+        return F.when(bare.rlike(r"^(---|\.\.\.)(\s|$)"), state(*fresh.values(), acc["hook"])).when(nothing, acc).otherwise(new)
+
+    found = F.aggregate(F.split(source, "\r?\n"), state(*fresh.values(), F.lit(False)), step, lambda acc: acc["hook"])
+    return F.coalesce(F.contains(source, F.lit(HOOK)) & F.when(F.contains(source, F.lit(HOOK)), found), F.lit(False))

@@ -66,33 +66,51 @@ def yaml_keys(documents: DataFrame) -> DataFrame:
     return documents.select("artifact_id", "source").mapInArrow(run, KEYS).withColumn("path", value_path(F.col("keys")))
 
 
+#: An action that isn't a comment; strings and raw strings inside it may hold braces.
+ACTION = r"""(?s)\{\{-?\s*(?!/\*)(?:[^"`'}]++|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|'(?:[^'\\]++|\\.)*+'|\}(?!\}))*+\}\}"""
+
+
 def template_actions(templates: DataFrame) -> DataFrame:
     """(artifact_id, nth, action, start, line, followed) of every ``{{ }}`` of ``source``; comments are left out.
 
-    followed: whether text other than white space and comments stands before the next action.
+    followed: whether text other than white space and comments stands before the next action. Places
+    are running sums over the lengths and line feeds of actions and of what lies between them, so the
+    work grows with the text; sums run over the actions of one file, which Spark sorts and may spill.
     """
-    pattern = r"(?s)\{\{-?\s*(?!/\*)(.*?)-?\}\}"
-    t = templates.select("artifact_id", F.coalesce("source", F.lit("")).alias("t"))
-    found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-    between = F.split("t", pattern, -1)
-    after = F.transform(F.slice(between, 2, F.size(found)), lambda b: F.regexp_replace(b, r"(?s)\{\{-?\s*/\*.*?\*/\s*-?\}\}", "").rlike(r"\S"))
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    pairs = F.zip_with(pairs, after, lambda p, f: F.struct(p["b"].alias("b"), p["m"].alias("m"), F.coalesce(f, F.lit(False)).alias("f")))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), (acc["line"] + F.length(F.regexp_replace(F.concat(x["b"], x["m"]), "[^\n]+", ""))).alias("line"), F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["b"])).alias("start"), (acc["line"] + F.length(F.regexp_replace(x["b"], "[^\n]+", ""))).alias("line"), x["m"].alias("action"), x["f"].alias("followed"))).alias("found"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int,action:string,followed:boolean>>").alias("found"))
-    each = t.select("artifact_id", F.posexplode(F.aggregate(pairs, zero, step, lambda acc: acc["found"])).alias("nth", "x"))
-    return each.select("artifact_id", "nth", F.regexp_replace("x.action", r"^\{\{-?\s*|\s*-?\}\}$", "").alias("action"), "x.start", "x.line", "x.followed")
+    t = templates.where(F.contains("source", F.lit("{{"))).select("artifact_id", F.monotonically_increasing_id().alias("file"), F.regexp_extract_all("source", F.lit(ACTION), F.lit(0)).alias("found"), F.split("source", ACTION, -1).alias("between"))
+    pieces = F.arrays_zip("found", F.slice("between", F.lit(1), F.size("found")).alias("before"), F.slice("between", F.lit(2), F.size("found")).alias("after"))
+    each = t.select("artifact_id", "file", F.posexplode(pieces).alias("nth", "x")).select("artifact_id", "file", "nth", "x.*")
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    said = F.regexp_replace("after", r"(?s)\{\{-?\s*/\*.*?\*/\s*-?\}\}", "").rlike(r"\S")
+    each = each.select("artifact_id", "file", "nth", "found", F.length("found").alias("n"), F.length("before").alias("gap"), breaks(F.col("found")).alias("more"), breaks(F.col("before")).alias("rows"), said.alias("followed"))
+    sofar = Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.sum(F.col("gap") + F.col("n")).over(sofar) - F.col("n")).cast("int")
+    line = (F.sum(F.col("rows") + F.col("more")).over(sofar) - F.col("more") + 1).cast("int")
+    return each.select("artifact_id", "nth", F.regexp_replace("found", r"^\{\{-?\s*|\s*-?\}\}$", "").alias("action"), start.alias("start"), line.alias("line"), "followed")
 
 
 def value_references(actions: DataFrame) -> DataFrame:
-    """(artifact_id, line, path, dynamic) of what actions read below ``.Values``; an index by an expression is dynamic."""
-    plain = F.regexp_extract_all(F.regexp_replace("action", r'"[^"]*"', '""'), F.lit(r"(?<![\w)])\$?\.Values((?:\.\w+)+)"), F.lit(1))
-    direct = actions.select("artifact_id", "line", F.explode(plain).alias("p")).select("artifact_id", "line", value_path(F.split(F.substring("p", 2, 1 << 20), r"\.")).alias("path"), F.lit(False).alias("dynamic"))
-    calls = F.regexp_extract_all("action", F.lit(r'index\s+\$?\.Values((?:\s+(?:"[^"]*"|[\w.$]+))+)'), F.lit(1))
-    args = actions.select("artifact_id", "line", F.explode(calls).alias("p")).select("artifact_id", "line", F.regexp_extract_all("p", F.lit(r'("[^"]*"|[\w.$]+)'), F.lit(1)).alias("a"))
-    quoted = F.forall("a", lambda x: F.startswith(x, F.lit('"')))
-    path = F.array_join(F.transform("a", lambda x: F.when(F.startswith(x, F.lit('"')), encode_value_segment(F.regexp_replace(x, '"', ""))).otherwise("[expr]")), ".")
-    return direct.unionByName(args.select("artifact_id", "line", path.alias("path"), (~quoted).alias("dynamic")))
+    """(artifact_id, line, path, dynamic) of what actions read below ``.Values``; an index by an expression is dynamic.
+
+    Fields read from an index in brackets go on its path: ``(index .Values "a").b`` is ``a.b``.
+    """
+    a = actions.where(F.contains("action", F.lit("Values")))
+    quiet = F.regexp_replace("action", r'"(?:[^"\\]|\\.)*+"|`[^`]*+`', '""')
+    # What an index is applied to belongs to the index.
+    outside = F.regexp_replace(quiet, r"\bindex\s+\$?\.Values(?:\.\w+)*+", "")
+    plain = F.regexp_extract_all(outside, F.lit(r"(?<![\w)])\$?\.Values((?:\.\w+)+)"), F.lit(1))
+    direct = a.select("artifact_id", "line", F.explode(plain).alias("p")).select("artifact_id", "line", value_path(F.split(F.expr("substring(p, 2)"), r"\.")).alias("path"), F.lit(False).alias("dynamic"))
+    argument = r'"(?:[^"\\]|\\.)*+"|`[^`]*+`|[\w.$-]+|\([^()]*\)'
+    call = rf"index\s+(\$?\.Values(?:\.\w+)*+)((?:\s+(?:{argument}))+)\s*(\)(?:\.\w+)+)?"
+    at = [F.regexp_extract_all("action", F.lit(call), F.lit(i)) for i in (1, 2, 3)]
+    calls = a.select("artifact_id", "line", F.explode(F.arrays_zip(*(x.alias(n) for x, n in zip(at, ("root", "arguments", "fields"), strict=True)))).alias("c"))
+    calls = calls.select("artifact_id", "line", F.split(F.regexp_replace("c.root", r"^\$?\.Values\.?", ""), r"\.").alias("root"), F.regexp_extract_all("c.arguments", F.lit(f"({argument})"), F.lit(1)).alias("a"), F.split(F.regexp_replace("c.fields", r"^\)\.", ""), r"\.").alias("fields"))
+    static = F.forall("a", lambda x: x.rlike(r'^["`]|^-?[0-9]'))
+    plain_text = lambda x: F.regexp_replace(F.regexp_replace(x, r'^["`]|["`]$', ""), r"\\(.)", "$1")
+    step = lambda x: F.when(x.rlike(r'^["`]|^-?[0-9]'), encode_value_segment(plain_text(x))).otherwise("[expr]")
+    named = lambda c: F.transform(F.filter(c, lambda x: x != ""), encode_value_segment)
+    path = F.array_join(F.concat(named("root"), F.transform("a", step), named("fields")), ".")
+    return direct.unionByName(calls.select("artifact_id", "line", path.alias("path"), (~static).alias("dynamic")))
 
 
 def template_calls(actions: DataFrame) -> DataFrame:

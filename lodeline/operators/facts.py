@@ -24,11 +24,11 @@ def conflict_checked_union(frames: list[DataFrame], keys: list[str]) -> DataFram
 
 
 def filled_targets(facts: DataFrame, patch: DataFrame, key: str, target: str) -> DataFrame:
-    """Facts whose missing target the patch gives; a column ``conflict`` where both give different ones."""
-    p = patch.select(F.col(key), F.col(target).alias("__new"))
+    """Facts whose missing target the patch gives; a column ``conflict`` where the two, or patches of one fact, differ."""
+    p = patch.where(F.col(target).isNotNull()).groupBy(key).agg(F.min(target).alias("__new"), F.max(target).alias("__other"))
     df = facts.join(p, key, "left")
-    clash = F.coalesce((F.col(target) != F.col("__new")), F.lit(False))
-    return df.withColumn("conflict", clash).withColumn(target, F.coalesce(target, "__new")).drop("__new")
+    clash = F.coalesce((F.col(target) != F.col("__new")) | (F.col("__new") != F.col("__other")), F.lit(False))
+    return df.withColumn("conflict", clash).withColumn(target, F.coalesce(target, "__new")).drop("__new", "__other")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -69,10 +69,10 @@ def stale(existing: DataFrame, desired: DataFrame, keys: list[str]) -> DataFrame
 
 
 def guarded(inventory: DataFrame, existing: DataFrame, key: str, digest: str, content: str) -> DataFrame:
-    """The inventory with content blanked where another digest is known already."""
-    e = existing.select(F.col(key), F.col(digest).alias("__known"))
-    clash = F.coalesce(F.col(digest) != F.col("__known"), F.lit(False))
-    return inventory.join(e, key, "left").withColumn("conflict", clash).withColumn(content, F.when(clash, F.lit("")).otherwise(F.col(content))).drop("__known")
+    """The inventory with content blanked where another digest is known already; of several known ones any that differs counts."""
+    e = existing.groupBy(key).agg(F.min(digest).alias("__known"), F.max(digest).alias("__other"))
+    clash = F.coalesce((F.col(digest) != F.col("__known")) | (F.col(digest) != F.col("__other")), F.lit(False))
+    return inventory.join(e, key, "left").withColumn("conflict", clash).withColumn(content, F.when(clash, F.lit("")).otherwise(F.col(content))).drop("__known", "__other")
 
 
 def span_violations(df: DataFrame, start: str = "start", end: str = "end", size: str = "size") -> DataFrame:

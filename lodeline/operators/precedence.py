@@ -51,7 +51,8 @@ def winner_fold(definitions: DataFrame, keys: list[str], order: list, target: st
 def ordinals(df: DataFrame, keys: list[str], order: list, into: str = "ordinal", width: int = 4) -> DataFrame:
     """Zero-padded positions from 0 within each key."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn(into, F.lpad(n.cast("string"), width, "0"))
+    text = n.cast("string")
+    return df.withColumn(into, F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))
 
 
 def occurrences(df: DataFrame, place: list[str], order: list, into: str = "nth") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import package_url, version_within
@@ -30,10 +30,22 @@ def dependency_targets(dependencies: DataFrame, children: DataFrame) -> DataFram
     return df.select("dependency", "chart", "package", "candidates", "incompatible", status.alias("status"))
 
 
+def template_winners(definitions: DataFrame) -> DataFrame:
+    """(tree, name, template) that wins each name of (tree, name, template, depth, path, start, empty).
+
+    Files load deepest first and, equally deep, by falling name, so that the first name at the top
+    loads last; a definition that isn't empty replaces the one before. A tree with a file that defines
+    one name twice, neither empty, has no winners.
+    """
+    broken = definitions.where("not empty").groupBy("tree", "template", "name").agg(F.count("*").alias("n")).where("n > 1").select("tree").distinct()
+    load = Window.partitionBy("tree", "name").orderBy(F.desc("depth"), F.desc("path"), "start")
+    ordered = definitions.join(broken, "tree", "left_anti").withColumn("load", F.row_number().over(load))
+    return winner_fold(ordered, ["tree", "name"], [F.col("load")], "template", "empty").select("tree", "name", "template")
+
+
 def call_targets(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """Calls (call, tree, name) with the template that wins the name in their tree; dynamic names have none."""
-    won = winner_fold(definitions, ["tree", "name"], [F.col("depth"), F.col("path")], "template", "empty")
-    return calls.join(won.select("tree", "name", "template"), ["tree", "name"], "left")
+    return calls.join(template_winners(definitions), ["tree", "name"], "left")
 
 
 def value_targets(references: DataFrame, keys: DataFrame) -> DataFrame:

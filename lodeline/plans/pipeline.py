@@ -54,7 +54,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     }
     if level < 2:
         return out
-    of = detections.select("artifact_id", "chart", F.col("path").alias("file"), "roles")
+    of = detections.join(charts.select("chart", "type"), "chart").select("artifact_id", "chart", "type", F.col("path").alias("file"), "roles")
     declared = keys.where(~F.col("duplicate")).join(of, "artifact_id").select("chart", "path", "key", priority(F.col("roles")).alias("priority"))
     asked = out["references"].join(of.select("artifact_id", "chart"), "artifact_id")
     out["value_targets"] = resolution.value_targets(asked, declared)
@@ -62,8 +62,10 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     out["dependencies"] = _dependencies(artifacts, detections, charts, children)
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
     trees = ownership.walk(children.where("not hidden"), roots).select(F.col("root").alias("tree"), F.col("node").alias("chart"), "depth")
-    defined = out["templates"].join(of, "artifact_id").join(trees.withColumnRenamed("depth", "tree_depth"), "chart")
-    defined = defined.select("tree", "name", F.col("artifact_id").alias("template"), (F.size(F.split("file", "/")) * -1).alias("depth"), F.col("file").alias("path"), "empty")
+    # Library charts lend their helpers only.
+    lent = (F.col("type") != "library") | F.startswith(base_name(F.col("file")), F.lit("_"))
+    defined = out["templates"].join(of.where(lent), "artifact_id").join(trees.withColumnRenamed("depth", "tree_depth"), "chart")
+    defined = defined.select("tree", "name", F.col("artifact_id").alias("template"), F.size(F.split("file", "/")).alias("depth"), F.col("file").alias("path"), "start", "empty")
     calls = out["calls"].where("name IS NOT NULL AND kind <> 'tpl'").join(of.select("artifact_id", "chart"), "artifact_id").join(trees, "chart")
     out["call_targets"] = resolution.call_targets(calls.select("tree", "name", "artifact_id", "line"), defined)
     return out
