@@ -5,10 +5,12 @@ union retains (binomial; fewer than 33 has a chance of 8e-8 at exactly 0.8, whic
 So a pair must meet in lists of retained values often enough. Pairs that share a value of a list up
 to LONG_LIST come from there. Others share only values of longer lists, which takes documents with
 that many of them: copies with many variants, or texts that are mostly one passage. For these alone
-the whole sets are filed under their rarest shingles, where passages don't count; one centre of each
-list at a time draws its copies into a component, and only pairs whose components still differ are
-held against each other in the end. No group is expanded into all its pairs, no list is cut, and
-every link that joins different components is tested.
+the whole sets are filed under their rarest shingles, where passages don't count. Two that have such a
+shingle as the rarest common one share no more than what is left from it on in either set, which tells
+how large a partner may be; whoever is left without one leaves the list. One centre of each list at a
+time draws its copies into a component, and only pairs whose components still differ are held against
+each other in the end. No group is expanded into all its pairs, no list is cut, and every link that
+joins different components is tested.
 """
 
 from __future__ import annotations
@@ -33,9 +35,8 @@ BROADCAST_IDS = 1_000_000
 #: similar sets differ in few; the comparison loses nothing.
 ODD = 1024
 _ODD = [f"o{i}" for i in range(ODD // 64)]
-#: Rounds of centres at most, and pairs of different components a list's member may leave for the end.
-ROUNDS = 4
-PAIRS_EACH = 8
+#: Pairs of different components that a list's member may leave for the end, after the last round of centres.
+PAIRS_EACH = 64
 _SIGN = np.uint64(1 << 63)
 
 
@@ -96,11 +97,14 @@ def _meet(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _heads(sets: DataFrame, percent: int) -> DataFrame:
-    """(v, rep, n, typical, m): the rarest shingles of each set, enough that a similar pair shares one; m: how many have it.
+    """(v, rep, n, c, typical, m): the rarest shingles of each set, enough that a similar pair shares one; m: how many have it.
 
     Of n shingles a pair within ``percent`` leaves out at most n - ceil(percent * n / 100), so it meets
     among one more than that, rarest first. What everybody copies is never rare, unless it is nearly
-    all of a text. typical: mean frequency of a text's shingles, highest for what others vary.
+    all of a text. c: how many shingles that others have too come from this one on. A pair meets in
+    the list of the rarest shingle that it shares, so it shares at most the c of either there; a set
+    for which even the smallest of a list is then too large isn't in that list. typical: mean
+    frequency of a text's shingles, its own ones as none, highest for what others vary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +118,12 @@ def _heads(sets: DataFrame, percent: int) -> DataFrame:
     each = sets.mapInArrow(run, "rep long, n long, v long")
     common = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep")
-    ranked = each.join(common, "v").select("rep", "n", "v", F.row_number().over(own.orderBy("df", "v")).alias("r"), F.count("*").over(own).alias("c"), F.avg("df").over(own).alias("typical"))
+    ranked = each.join(common, "v").select("rep", "n", "v", F.row_number().over(own.orderBy("df", "v")).alias("r"), F.count("*").over(own).alias("all"), (F.sum("df").over(own) / F.col("n")).alias("typical"))
     # A text's own shingles come first; r counts only those that others have too.
-    rare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("c"))
-    heads = written(ranked.where(F.col("r") <= rare).select("v", "rep", "n", "typical"), "heads")
+    rare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("all"))
+    heads = written(ranked.where(F.col("r") <= rare).select("v", "rep", "n", (F.col("all") - F.col("r") + 1).alias("c"), "typical"), "heads")
+    small = heads.groupBy("v").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1")
+    heads = written(heads.join(small, "v").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least"))).drop("m", "least"), "heads")
     many = heads.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
     return written(heads.join(many, "v"), "heads")
 
@@ -199,40 +205,46 @@ def _crowded_links(links: DataFrame, tested: DataFrame, crowded: DataFrame, sets
 
     A round holds one centre of each list, the most typical of those that the last centre hasn't
     drawn into its component, against all members of other components. Once few pairs of different
-    components are left, or a round links nothing more, all of these are held against each other.
+    components are left for each member, or a round links nothing more, all of these are held against
+    each other.
     """
     heads = _heads(crowded, percent)
-    label = components(links)
-    last, before = None, float("inf")
-    for _ in range(ROUNDS):
+    # c and d bound the intersection, see _heads.
+    fits = similar & ((100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m")))
+    label, last, before = None, None, float("inf")
+
+    def labelled() -> DataFrame:
         now = heads.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        each = now.groupBy("v", "component").agg(F.count("*").alias("x"))
-        open_lists = each.groupBy("v").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).where("s * s > q")
-        now = written(now.join(open_lists.select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")), "v"), "labelled")
-        left, members = now.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
-        if not left or left <= PAIRS_EACH * members or left > 0.7 * before:
-            break
-        before = left
+        each = now.groupBy("v", "component").agg(F.count("*").alias("x")).groupBy("v").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+        return now.join(each.where("s * s > q").select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")), "v")
+
+    while True:
+        # Before the first round every text is a component of its own.
+        now = written(heads.withColumn("component", F.col("rep")) if label is None else labelled(), "labelled")
+        if label is not None:
+            left, members = now.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
+            if not left or left <= PAIRS_EACH * members or left > 0.7 * before:
+                break
+            before = left
         free = now if last is None else now.join(last, "v", "left").where("old IS NULL OR old <> component")
-        centre = free.groupBy("v").agg(F.max_by(F.struct("rep", "n", "component"), F.struct("typical", -F.col("rep"))).alias("c"))
-        centre = written(centre.select("v", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other")), "centres")
-        star = now.drop("m").join(centre, "v").where("component <> other").where(similar).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        centre = free.groupBy("v").agg(F.max_by(F.struct("rep", "n", "c", "component"), F.struct("typical", -F.col("rep"))).alias("best"))
+        centre = written(centre.select("v", F.col("best.rep").alias("centre"), F.col("best.n").alias("m"), F.col("best.c").alias("d"), F.col("best.component").alias("other")), "centres")
+        star = now.drop("m").join(centre, "v").where("component <> other").where(fits).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         fresh = filtered(star.join(tested, ["a", "b"], "left_anti"))
         found = written(_meet(fresh, sets, percent), "links")
         tested = tested.unionByName(fresh)
         links = links.unionByName(found)
-        if not found.take(1):
-            break
         # Stars stand for the links so far.
-        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        label = components(links if label is None else label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        if before < float("inf") and not found.take(1):
+            now = written(labelled(), "labelled")
+            break
         last = centre.join(label.withColumnRenamed("node", "centre"), "centre", "left").select("v", F.coalesce("component", "centre").alias("old"))
-    now = heads.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = now.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
-    now = now.join(split, "v").join(_parities(crowded), "rep")
-    now = written(now.select("v", F.col("rep").alias("a"), "n", "component", *_ODD), "labelled")
-    other = now.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *(F.col(o).alias(f"y{o}") for o in _ODD))
+    now = now.join(_parities(crowded), "rep")
+    now = written(now.select("v", F.col("rep").alias("a"), "n", "c", "component", *_ODD), "labelled")
+    other = now.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(o).alias(f"y{o}") for o in _ODD))
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(o).bitwiseXOR(F.col(f"y{o}"))) for o in _ODD))
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))
-    cross = now.join(other, "v").where("a < b AND component <> other").where(similar).where(near).select("a", "b").distinct()
+    cross = now.join(other, "v").where("a < b AND component <> other").where(fits).where(near).select("a", "b").distinct()
     fresh = filtered(cross.join(tested, ["a", "b"], "left_anti"))
     return links.unionByName(_meet(fresh, sets, percent)) if fresh.take(1) else links
