@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,49 +52,59 @@ def excluded(path: Column) -> Column:
 
 
 HOOK = "helm.sh/hook"
+_KEY = re.compile(r"""(['"]?)([^\s'"#{\[-][^'":]*?|[^\s'"#{\[][^\s'":]*)\1\s*:(?=\s|$)""")
 
 
-def _flow_has_hook(rest: Column) -> Column:
+def _flow_has_hook(rest: str) -> bool:
     """Whether a mapping in braces has the hook among its own keys."""
-    own = F.regexp_replace(rest, r"""(['"])helm\.sh/hook\1(?=\s*:)""", HOOK)
-    own = F.regexp_replace(own, r"""'(?:[^']|'')*+'|"(?:[^"\\]|\\.)*+\"""", "")
-    for _ in range(8):
-        own = F.regexp_replace(own, r"(?<!^)[\[{][^\[\]{}]*[\]}]", "")
-    return own.rlike(r"^\{(?:.*,)?\s*helm\.sh/hook\s*:")
+    own = re.sub(r"""(['"])helm\.sh/hook\1(?=\s*:)""", HOOK, rest)
+    own = re.sub(r"""'(?:[^']|'')*'|"(?:[^"\\]|\\.)*\"""", "", own)
+    before = None
+    while own != before:
+        before, own = own, re.sub(r"(?<!^)[\[{][^\[\]{}]*[\]}]", "", own)
+    return re.match(r"\{(?:.*,)?\s*helm\.sh/hook\s*:", own) is not None
+
+
+def _has_hook(source: str) -> bool:
+    """One pass over the lines keeps the indents of a document's root, of ``metadata`` and of ``annotations``."""
+    # meta: indent of the keys of metadata, 0 before the first of them; inside: the same for annotations.
+    root = meta = inside = None
+    for line in source.split("\n"):
+        bare = re.sub(r"\{\{.*?\}\}", "", line.rstrip("\r"))
+        text = bare.lstrip(" ")
+        if re.match(r"(---|\.\.\.)(\s|$)", bare):
+            root = meta = inside = None
+            continue
+        if not text.strip() or text.startswith("#"):
+            continue
+        indent = len(bare) - len(text) + 1
+        found = _KEY.match(text)
+        key = found[2] if found else ""
+        rest = re.sub(r"^#.*|\s+#.*$|\s+$", "", text[found.end() :].lstrip()) if found else text
+        root = root or indent
+        if indent <= root:
+            meta, inside = (0 if key == "metadata" and not rest else None), None
+        elif meta is not None and indent <= (meta or indent):
+            meta, inside = indent, (0 if key == "annotations" and not rest else None)
+            if key == "annotations" and _flow_has_hook(rest):
+                return True
+        elif inside is not None:
+            if not inside:
+                inside = None if text.startswith("-") else indent
+            if inside == indent and key == HOOK:
+                return True
+    return False
 
 
 def is_hook(source: Column) -> Column:
     """Whether a document of the manifest annotates the hook key directly under ``metadata.annotations`` of its root.
 
-    One pass over the lines keeps the indents of the root, of ``metadata`` and of ``annotations``;
-    template actions and comments count as nothing, and a document begins anew after ``---`` or ``...``.
+    Template actions and comments count as nothing, and a document begins anew after ``---`` or ``...``.
+    Only files that name the key at all go to Python.
     """
-    fresh = dict(root=F.lit(-1), meta=F.lit(-1), inside=F.lit(-1))
-    # meta: indent of the keys of metadata, -2 before the first of them; inside: the same for annotations.
-
-    def state(root: Column, meta: Column, inside: Column, hook: Column) -> Column:
-        return F.struct(root.cast("int").alias("root"), meta.cast("int").alias("meta"), inside.cast("int").alias("inside"), hook.alias("hook"))
-
-    def step(acc: Column, line: Column) -> Column:
-        bare = F.regexp_replace(line, r"\{\{.*?\}\}", "")
-        text = F.ltrim(bare)
-        indent = F.length(bare) - F.length(text)
-        key = F.regexp_extract(text, r"""^(['"]?)([^\s'"#{\[-][^'":]*?|[^\s'"#{\[][^\s'":]*)\1\s*:(?=\s|$)""", 2)
-        rest = F.regexp_replace(F.regexp_replace(text, r"""^(['"]?)[^'":]*\1\s*:\s*""", ""), r"^#.*|\s+#.*$|\s+$", "")
-        opens = rest == ""
-        root = F.when(acc["root"] < 0, indent).otherwise(acc["root"])
-        at_root = indent <= root
-        meta = F.when(at_root, F.when((key == "metadata") & opens, F.lit(-2)).otherwise(F.lit(-1))).when(acc["meta"] == -2, indent).otherwise(acc["meta"])
-        at_meta = ~at_root & (meta >= 0) & (indent <= meta)
-        inside = (
-            F.when(at_root, F.lit(-1)).when(at_meta, F.when((key == "annotations") & opens, F.lit(-2)).otherwise(F.lit(-1)))
-            .when((acc["inside"] == -2) & F.startswith(text, F.lit("-")), F.lit(-1)).when(acc["inside"] == -2, indent).otherwise(acc["inside"])
-        )
-        here = ~at_root & ~at_meta & (inside >= 0) & (indent == inside) & (key == HOOK)
-        flow = at_meta & (key == "annotations") & _flow_has_hook(rest)
-        nothing = (text == "") | F.startswith(text, F.lit("#"))
-        new = state(root, meta, inside, acc["hook"] | here | flow)
-        return F.when(bare.rlike(r"^(---|\.\.\.)(\s|$)"), state(*fresh.values(), acc["hook"])).when(nothing, acc).otherwise(new)
-
-    found = F.aggregate(F.split(source, "\r?\n"), state(*fresh.values(), F.lit(False)), step, lambda acc: acc["hook"])
-    return F.coalesce(F.contains(source, F.lit(HOOK)) & F.when(F.contains(source, F.lit(HOOK)), found), F.lit(False))
+
+    @F.pandas_udf("boolean")
+    def has_hook(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and _has_hook(t)).astype(bool)
+
+    return has_hook(F.when(F.contains(source, F.lit(HOOK)), source))

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .facts import stale
+from ..functions.identity import SEMANTIC, encode_segment
+from .facts import containment, dangling, duplicates, stale
+
+#: Relationships of the graph that an analysis makes and may take away; fixed values.
+RELATIONSHIPS = (
+    "IAC_DECLARES_DEPENDENCY IAC_ALIAS_OF IAC_HAS_ALIAS IAC_DEFINES_TEMPLATE IAC_HAS_TEMPLATE_CALL IAC_HAS_VALUE_REFERENCE IAC_HAS_RESOURCE_TEMPLATE IAC_HAS_LOOKUP_REFERENCE "
+    "IAC_HAS_DIAGNOSTIC IAC_PART_OF_CHART IAC_TARGETS_CHART_REFERENCE IAC_RESOLVES_TO_CHART IAC_IDENTIFIED_BY_PACKAGE IAC_CALLS_TEMPLATE IAC_REFERENCES_VALUE IAC_DECLARES_PROFILE "
+    "IAC_RENDERS_CHART IAC_HAS_VALUE_LAYER IAC_READS_FROM IAC_HAS_RENDER IAC_CONFIGURED_BY IAC_PRODUCES IAC_TARGETS_RESOURCE IAC_DERIVED_FROM"
+).split()
+#: Relationships that others make too, never taken away.
+SHARED = ("HAS_ARTIFACT", "DEFINES_CONFIG")
+#: Labels that an analysis adds to nodes which others know too; the others are whole nodes of its own.
+FACETS = ("IaCApplication IaCArtifact HelmArtifact HelmChart HelmRequirements HelmLock HelmValues HelmValuesSchema HelmTemplate HelmCRD HelmIgnore IaCValue HelmValue").split()
+OWN_LABELS = ("HelmDependency HelmChartReference HelmNamedTemplate HelmTemplateCall HelmValueReference HelmResourceTemplate HelmLookupReference HelmRenderProfile HelmValueLayer HelmRender IaCDiagnostic").split()
+#: Beginnings of the properties that go with these facets.
+PREFIXES = ("iac_", "helm_")
 
 
 def edge_rows(edges: DataFrame, family: str = "family", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,11 +50,12 @@ def removal_batches(removals: DataFrame, names: str = "names") -> DataFrame:
     return removals.groupBy(F.array_join(F.array_sort(names), ",").alias("names")).agg(F.count("*").alias("ids"), F.min("id").alias("first_id"))
 
 
-def generation_plan(desired_nodes: DataFrame, desired_edges: DataFrame, nodes: DataFrame, edges: DataFrame, app: str, owned: str = "owned", eager: bool = True) -> DataFrame:
+def generation_plan(desired_nodes: DataFrame, desired_edges: DataFrame, nodes: DataFrame, edges: DataFrame, app: str, owned: str = "owned", eager: bool = True, families: tuple | list = RELATIONSHIPS) -> DataFrame:
     """(phase, action, id, src, dst) that turn the existing graph into the desired one.
 
     Without ``eager`` nothing is removed. With it, goes what this application owns and no longer
-    wants; nodes of others and relationships that touch none of its own stay.
+    wants; nodes of others, relationships outside ``families`` and those that touch none of its own
+    nodes stay. Phases 3 and 4, labels and properties, are those of ``facet_removals``.
     """
     none = F.lit(None).cast("string")
     plan = desired_nodes.select(F.lit(1).alias("phase"), F.lit("upsert node").alias("action"), "id", none.alias("src"), none.alias("dst"))
@@ -46,7 +64,7 @@ def generation_plan(desired_nodes: DataFrame, desired_edges: DataFrame, nodes: D
         return plan
     ours = nodes.where(F.col("app") == app)
     gone = stale(ours.where(F.col(owned)), desired_nodes, ["id"])
-    old = stale(edges, desired_edges, ["type", "src", "dst"])
+    old = stale(edges.where(F.col("type").isin(*families)), desired_edges, ["type", "src", "dst"])
     mine = ours.select("id").distinct()
     touched = old.join(mine.select(F.col("id").alias("src")), "src", "left_semi").unionByName(old.join(mine.select(F.col("id").alias("dst")), "dst", "left_semi")).distinct()
     plan = plan.unionByName(touched.select(F.lit(5).alias("phase"), F.lit("delete edge").alias("action"), F.col("type").alias("id"), "src", "dst"))
@@ -60,6 +78,44 @@ def label_changes(existing: DataFrame, desired: DataFrame) -> DataFrame:
     return df.where(F.size("stale") > 0).select("id", F.array_join("stale", ",").alias("stale"))
 
 
+def facet_removals(existing: DataFrame, desired: DataFrame, app: str) -> DataFrame:
+    """(phase, action, id, names): facet labels and their properties that existing nodes have and the desired ones don't.
+
+    Both are nodes (id, labels, properties); existing ones also say their ``app``. Nodes of other
+    applications and nodes that are wholly this one's (which go as a whole) are left alone, and so is
+    every label and property that isn't a facet's.
+    """
+    want = desired.select("id", F.col("labels").alias("__labels"), F.map_keys("properties").alias("__names")).dropDuplicates(["id"])
+    shared = existing.where(F.col("app") == app).where(~F.arrays_overlap("labels", F.array(*(F.lit(x) for x in OWN_LABELS)))).join(want, "id", "left")
+    none = F.array().cast("array<string>")
+    labels = F.array_except(F.array_intersect("labels", F.array(*(F.lit(x) for x in FACETS))), F.coalesce("__labels", none))
+    ours = lambda x: F.startswith(x, F.lit(PREFIXES[0])) | F.startswith(x, F.lit(PREFIXES[1]))
+    names = F.array_except(F.filter(F.map_keys("properties"), ours), F.coalesce("__names", none))
+    plan = F.array(F.struct(F.lit(3).alias("phase"), F.lit("remove labels").alias("action"), F.array_sort(labels).alias("names")), F.struct(F.lit(4).alias("phase"), F.lit("remove properties").alias("action"), F.array_sort(names).alias("names")))
+    return shared.select("id", F.explode(plan).alias("p")).where(F.size("p.names") > 0).select("p.phase", "p.action", "id", F.array_join("p.names", ",").alias("names"))
+
+
+def unsafe(plan: DataFrame, existing: DataFrame, removals: DataFrame | None = None, families: tuple | list = RELATIONSHIPS) -> DataFrame:
+    """(action, id, reason) of what a plan must not do: asked at the boundary, whoever made the plan.
+
+    Deleted nodes must be known, with labels that are all an analysis's own; deleted relationships must
+    be of its families; removed labels and properties must be facets.
+    """
+    own = F.array(*(F.lit(x) for x in OWN_LABELS))
+    known = existing.select("id", "labels").dropDuplicates(["id"])
+    nodes = plan.where("action = 'delete node'").select("action", "id").join(known, "id", "left")
+    reason = F.when(F.col("labels").isNull(), "not known").when((F.size("labels") == 0) | (F.size(F.array_except("labels", own)) > 0), "labels of others")
+    bad = nodes.select("action", "id", reason.alias("reason"))
+    edges = plan.where("action = 'delete edge'")
+    bad = bad.unionByName(edges.select("action", "id", F.when(~F.col("id").isin(*families), "family of others").alias("reason")))
+    if removals is not None:
+        each = removals.select("action", "id", F.explode(F.split("names", ",")).alias("name"))
+        label = F.col("name").isin(*FACETS)
+        facet = F.col("name").rlike(f"^({PREFIXES[0]}|{PREFIXES[1]})")
+        bad = bad.unionByName(each.select("action", "id", F.when(~F.when(F.col("action") == "remove labels", label).otherwise(facet), F.concat(F.lit("not a facet: "), "name")).alias("reason")))
+    return bad.where("reason IS NOT NULL")
+
+
 def strongest_class(labels: Column, strength: dict[str, int]) -> Column:
     """The highest ownership class of a set of labels, 0 without one."""
     known = F.create_map(*(F.lit(x) for pair in strength.items() for x in pair))
@@ -80,14 +136,26 @@ def project(tables: dict[str, DataFrame], app: str) -> tuple[DataFrame, DataFram
         return df.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.lit(family).alias("family"), F.col(src).alias("src"), F.col(dst).alias("dst"))
 
     d, keys = tables["detections"].withColumn("role_list", F.array_join("roles", ",")), tables["config_keys"].where(~F.col("duplicate"))
-    d = d.withColumn("application", F.lit(f"can://iac/{app}"))
-    nodes = node(d, "artifact_id", F.array(F.lit("Artifact"), F.lit("IaCArtifact"), F.lit("Helm")), "path", "kind", "role_list")
-    nodes = nodes.unionByName(node(keys, "key", F.array(F.lit("ConfigKey"), F.lit("HelmValue")), "path", "value", "kind"))
-    edges = edge(d, "has_artifact", "application", "artifact_id").unionByName(edge(d.where("chart <> artifact_id"), "iac_part_of_chart", "artifact_id", "chart")).unionByName(edge(keys, "has_config_key", "artifact_id", "key"))
+    home = F.concat(F.lit(SEMANTIC), encode_segment(F.lit(app)))
+    # Every file is a node, whether or not it belongs to a chart.
+    every = tables["artifacts"].withColumn("application", home)
+    facet = F.concat_ws("", F.transform(F.split("kind", "_"), F.initcap))
+    facet = F.regexp_replace(F.regexp_replace(facet, "^HelmCrd$", "HelmCRD"), "^HelmValuesSchema$", "HelmValuesSchema")
+    nodes = every.select(home.alias("id")).distinct().select("id", F.array(F.lit("Application"), F.lit("IaCApplication")).alias("labels"), F.create_map(F.lit("name"), F.lit(app)).alias("properties"))
+    nodes = nodes.unionByName(node(every.join(d.select("artifact_id"), "artifact_id", "left_anti"), "artifact_id", F.array(F.lit("Artifact")), "path"))
+    nodes = nodes.unionByName(node(d, "artifact_id", F.array(F.lit("Artifact"), F.lit("IaCArtifact"), F.lit("HelmArtifact"), facet), "path", "kind", "role_list"))
+    nodes = nodes.unionByName(node(keys, "key", F.array(F.lit("ConfigKey"), F.lit("IaCValue"), F.lit("HelmValue")), "path", "value", "kind"))
+    edges = edge(every, "has_artifact", "application", "artifact_id").unionByName(edge(d.where("chart <> artifact_id"), "iac_part_of_chart", "artifact_id", "chart")).unionByName(edge(keys, "defines_config", "artifact_id", "key"))
+    found = tables["diagnostics"].where("artifact_id IS NOT NULL")
+    nodes = nodes.unionByName(node(found, "id", F.array(F.lit("IaCDiagnostic")), "code", "severity", "phase", "message"))
+    edges = edges.unionByName(edge(found, "iac_has_diagnostic", "artifact_id", "id"))
     if "value_targets" in tables:
         edges = edges.unionByName(edge(tables["value_targets"], "iac_references_value", "artifact_id", "key"))
         edges = edges.unionByName(edge(tables["dependencies"], "iac_resolves_to_chart", "dependency", "chart")).unionByName(edge(tables["dependencies"], "iac_identified_by_package", "dependency", "package"))
-        nodes = nodes.unionByName(node(tables["dependencies"], "dependency", F.array(F.lit("HelmChartReference")), "name", "status"))
+        nodes = nodes.unionByName(node(tables["dependencies"], "dependency", F.array(F.lit("HelmDependency")), "name", "status"))
+        edges = edges.unionByName(edge(tables["dependencies"], "iac_declares_dependency", "owner", "dependency"))
+        packages = tables["dependencies"].where("package IS NOT NULL").select("package").distinct()
+        nodes = nodes.unionByName(node(packages, "package", F.array(F.lit("Package")), "package"))
     return nodes, edge_rows(edges)
 
 
@@ -102,3 +170,17 @@ def disallowed(nodes: DataFrame, catalog: DataFrame, labels: str = "labels", lab
     """(id, label) of labels that the catalog doesn't know."""
     each = nodes.select("id", F.explode(F.array_distinct(labels)).alias(label))
     return each.join(catalog.select(label).distinct(), label, "left_anti").select("id", label)
+
+
+def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule, id) of whatever the graph must not hold: nodes twice, unknown labels and families, dangling ends, files outside the application."""
+    labels = [*FACETS, *OWN_LABELS, "Application", "Artifact", "ConfigKey", "Package"]
+    has = edges.where("type = 'HAS_ARTIFACT'")
+    found = [
+        duplicates(nodes, ["id"]).select(F.lit("node twice").alias("rule"), "id"),
+        nodes.where(F.size(F.array_except("labels", F.array(*(F.lit(x) for x in labels)))) > 0).select(F.lit("unknown label").alias("rule"), "id"),
+        edges.where(~F.col("type").isin(*RELATIONSHIPS, *SHARED)).select(F.lit("unknown relationship").alias("rule"), F.col("type").alias("id")),
+        dangling(edges, nodes).select(F.lit("dangling relationship").alias("rule"), F.concat_ws(" ", "src", "dst").alias("id")),
+        containment(nodes.where(F.array_contains("labels", "Artifact")), has, "id", "dst").select(F.lit("file outside the application").alias("rule"), "id"),
+    ]
+    return reduce(DataFrame.unionByName, found)

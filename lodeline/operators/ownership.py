@@ -30,21 +30,22 @@ def vendored_children(charts: DataFrame, chart: str = "chart", directory: str =
     return child.join(parent, "at").select("parent", "child", "folder", F.col("folder").rlike("^[_.]").alias("hidden"))
 
 
-def walk(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", depth: int = 50) -> DataFrame:
-    """(root, node, depth, path) reached from each root; a branch ends where it meets itself.
+def walk(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", name: str | None = None) -> DataFrame:
+    """(root, node, depth, path) reached from each root, with ``name`` also the names of the edges taken; a branch ends where it meets itself.
 
-    Spark's limit on the rows of a recursion is lifted for the session; deeper than ``depth`` is an error.
+    Spark's limits on the levels and rows of a recursion are lifted for the session: it ends by itself.
     """
     spark = edges.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     tag = uuid.uuid4().hex[:12]
-    edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).createOrReplaceTempView(f"edges_{tag}")
+    edges.select(F.col(parent).alias("p"), F.col(child).alias("c"), (F.col(name) if name else F.lit("")).alias("n")).createOrReplaceTempView(f"edges_{tag}")
     roots.select(F.col(root).alias("r")).createOrReplaceTempView(f"roots_{tag}")
     return spark.sql(
-        f"""WITH RECURSIVE t(root, node, depth, path) MAX RECURSION LEVEL {depth} AS (
-              SELECT r, r, 0, array(r) FROM roots_{tag}
+        f"""WITH RECURSIVE t(root, node, depth, path, names) AS (
+              SELECT r, r, 0, array(r), cast(array() AS array<string>) FROM roots_{tag}
               UNION ALL
-              SELECT t.root, e.c, t.depth + 1, array_append(t.path, e.c) FROM t JOIN edges_{tag} e ON e.p = t.node
+              SELECT t.root, e.c, t.depth + 1, array_append(t.path, e.c), {"array_append(t.names, e.n)" if name else "t.names"} FROM t JOIN edges_{tag} e ON e.p = t.node
               WHERE NOT array_contains(t.path, e.c))
-            SELECT root, node, depth, path FROM t"""
+            SELECT root, node, depth, path{", names" if name else ""} FROM t"""
     )

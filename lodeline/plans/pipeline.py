@@ -8,31 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import base_name, config_key_id, parent_dir
+from ..functions.tables import written
 from ..functions.values import priority
-from ..operators import detection, documents, facts, ownership, resolution
+from ..functions.workers import visible
+from ..operators import detection, diagnostics, documents, enablement, facts, ownership, resolution
 
 LEVELS = (1, 2)
 
 
-def _charts(artifacts: DataFrame) -> DataFrame:
-    """Files named Chart.yaml that say what a chart must say; filtered before they are parsed."""
+def _charts(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files named Chart.yaml that say what a chart must say, and (artifact_id, problem) of the others; filtered before they are parsed."""
     asked = artifacts.where((base_name(F.col("path")) == "Chart.yaml") & (F.col("source") != "")).select("artifact_id", "path", "source")
     keys = documents.yaml_keys(asked).where(F.size("keys") == 1)
     said = keys.where(~F.col("duplicate")).groupBy("artifact_id").pivot("path", ["apiVersion", "name", "version", "type"]).agg(F.first(F.trim("value")))
     said = said.withColumn("type", F.coalesce(F.nullif("type", F.lit("")), F.lit("application")))
     fits = F.col("apiVersion").isin("v1", "v2") & (F.col("name") != "") & (F.col("version") != "") & F.col("type").isin("application", "library")
-    return asked.join(said.where(fits), "artifact_id").select(F.col("artifact_id").alias("chart"), "apiVersion", "name", "version", "type", parent_dir(F.col("path")).alias("directory"))
+    charts = asked.join(said.where(fits), "artifact_id").select(F.col("artifact_id").alias("chart"), "apiVersion", "name", "version", "type", parent_dir(F.col("path")).alias("directory"))
+    problem = F.when(~F.coalesce(F.col("apiVersion").isin("v1", "v2"), F.lit(False)), "api version").otherwise("name, version or type is missing or wrong")
+    return charts, said.where(~F.coalesce(fits, F.lit(False))).select("artifact_id", problem.alias("problem"))
 
 
 def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of level 1 (detections, config_keys, actions, calls, references) and 2 (what they resolve to).
 
-    Each level adds tables and changes none of those below; ``overrides`` (artifact_id) names values
+    Files are parsed once: what was read is written as tables, of which the others are plans. Each
+    level adds tables and changes none of those below; ``overrides`` (artifact_id) names values
     files that a configuration applies. Plans above ``level`` are not built.
     """
     if level not in LEVELS:
         raise ValueError(f"level {level} is none of {LEVELS}")
-    charts = _charts(artifacts)
+    visible(artifacts.sparkSession)
+    charts, invalid = (written(df, tag) for df, tag in zip(_charts(artifacts), ("charts", "invalid-charts"), strict=True))
     files = artifacts.where(~detection.excluded(F.col("path")) & (F.col("source") != ""))
     owned = ownership.nearest_ancestor(files, "path", charts, "directory", "chart").where("chart IS NOT NULL").join(charts, "chart")
     relative = F.when(F.col("directory") == ".", F.col("path")).otherwise(F.substr(F.col("path"), F.length("directory") + 2))
@@ -40,12 +46,18 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     owned = owned.join(named, "artifact_id", "left") if named is not None else owned.withColumn("override", F.lit(False))
     kind = detection.kind_and_roles(relative, F.col("apiVersion"), F.col("type"), F.coalesce("override", F.lit(False)), detection.is_hook(F.col("source")))
     detections = owned.withColumn("k", kind).where("k IS NOT NULL").select("artifact_id", "path", "chart", "k.kind", "k.roles", "source")
-    keys = documents.yaml_keys(detections.where("kind = 'helm_values'")).where("status = 'complete'")
+    detections = written(detections, "detections")
+    parsed = written(documents.yaml_keys(detections.where("kind IN ('helm_values', 'helm_requirements')")), "keys")
+    values = detections.where("kind = 'helm_values'").select("artifact_id")
+    keys = parsed.where("status = 'complete'").join(values, "artifact_id", "left_semi")
     keys = keys.withColumn("key", config_key_id(F.col("artifact_id"), F.col("path")))
-    actions = documents.template_actions(detections.where("kind = 'helm_template'"))
+    actions = written(documents.template_actions(detections.where("kind = 'helm_template'")), "actions")
     out = {
+        "artifacts": artifacts.drop("source"),
         "detections": detections.drop("source"),
         "charts": charts,
+        "invalid_charts": invalid,
+        "unreadable": parsed.where("status = 'failed'").select("artifact_id", "value"),
         "config_keys": keys,
         "actions": actions,
         "references": documents.value_references(actions),
@@ -53,21 +65,27 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
         "templates": documents.named_templates(actions),
     }
     if level < 2:
+        out["diagnostics"] = diagnostics.of(app, artifacts, out)
         return out
     of = detections.join(charts.select("chart", "type"), "chart").select("artifact_id", "chart", "type", F.col("path").alias("file"), "roles")
-    declared = keys.where(~F.col("duplicate")).join(of, "artifact_id").select("chart", "path", "key", priority(F.col("roles")).alias("priority"))
+    declared = keys.where(~F.col("duplicate")).join(of, "artifact_id").select("chart", "path", "key", priority(F.col("roles")).alias("priority"), "kind", F.col("value").alias("text"))
     asked = out["references"].join(of.select("artifact_id", "chart"), "artifact_id")
-    out["value_targets"] = resolution.value_targets(asked, declared)
-    children = ownership.vendored_children(charts).join(charts.select(F.col("chart").alias("child"), F.col("name").alias("child_name"), "version"), "child")
-    out["dependencies"] = _dependencies(artifacts, detections, charts, children)
+    out["value_targets"] = resolution.value_targets(asked, declared.drop("kind", "text"))
+    children = written(ownership.vendored_children(charts).join(charts.select(F.col("chart").alias("child"), F.col("name").alias("child_name"), "version"), "child"), "children")
+    out["dependencies"] = written(_dependencies(artifacts, detections, charts, children), "dependencies")
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
-    trees = ownership.walk(children.where("not hidden"), roots).select(F.col("root").alias("tree"), F.col("node").alias("chart"), "depth")
+    ways = enablement.links(children, out["dependencies"])
+    trees = enablement.trees(written(ways, "ways"), roots, out["dependencies"], written(enablement.switches(declared), "switches"))
+    # A chart that is there twice lends its templates once.
+    trees = written(trees.groupBy("tree", "chart").agg(F.min("depth").alias("depth")), "trees")
+    out["trees"] = trees
     # Library charts lend their helpers only.
     lent = (F.col("type") != "library") | F.startswith(base_name(F.col("file")), F.lit("_"))
     defined = out["templates"].join(of.where(lent), "artifact_id").join(trees.withColumnRenamed("depth", "tree_depth"), "chart")
     defined = defined.select("tree", "name", F.col("artifact_id").alias("template"), F.size(F.split("file", "/")).alias("depth"), F.col("file").alias("path"), "start", "empty")
     calls = out["calls"].where("name IS NOT NULL AND kind <> 'tpl'").join(of.select("artifact_id", "chart"), "artifact_id").join(trees, "chart")
     out["call_targets"] = resolution.call_targets(calls.select("tree", "name", "artifact_id", "line"), defined)
+    out["diagnostics"] = diagnostics.of(app, artifacts, out)
     return out
 
 
@@ -75,25 +93,53 @@ def _dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame
     """What charts declare in Chart.yaml and, of apiVersion v1, in the requirements.yaml beside it."""
     older = detections.where("kind = 'helm_requirements'").select("artifact_id", F.col("chart").alias("owner"))
     owners = charts.select(F.col("chart").alias("artifact_id"), F.col("chart").alias("owner")).unionByName(older)
-    keys = documents.yaml_keys(artifacts.join(owners, "artifact_id", "left_semi"))
+    keys = written(documents.yaml_keys(artifacts.join(owners, "artifact_id", "left_semi")), "declared")
     item = keys.where((F.size("keys") == 3) & (F.get("keys", F.lit(0)) == "dependencies") & ~F.col("duplicate"))
     field = item.withColumn("field", F.get("keys", F.lit(2)))
-    each = field.groupBy("artifact_id", F.get("keys", F.lit(1)).alias("nth")).pivot("field", ["name", "version", "alias", "repository"]).agg(F.first("value"))
-    each = each.where("name <> '' AND version <> ''").join(owners, "artifact_id").select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "owner", "name", "alias", F.col("version").alias("constraint"), "repository")
-    found = resolution.dependency_targets(each, children)
-    return each.select("dependency", "owner", "name").join(found, "dependency")
+    nth = F.get("keys", F.lit(1)).alias("nth")
+    each = field.groupBy("artifact_id", nth).pivot("field", ["name", "version", "alias", "repository", "condition"]).agg(F.first("value"))
+    tag = keys.where((F.size("keys") == 4) & (F.get("keys", F.lit(0)) == "dependencies") & (F.get("keys", F.lit(2)) == "tags") & F.col("value").isNotNull())
+    tags = tag.groupBy("artifact_id", nth).agg(F.array_sort(F.collect_set("value")).alias("tags"))
+    each = each.where("name <> '' AND version <> ''").join(tags, ["artifact_id", "nth"], "left").join(owners, "artifact_id")
+    each = each.select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "artifact_id", "owner", "name", "alias", F.col("version").alias("constraint"), "repository", "condition", "tags")
+    found = resolution.dependency_targets(each, children, listed=True)
+    return each.select("dependency", "artifact_id", "owner", "name", "alias", "condition", "tags").join(found, "dependency")
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, id) of whatever the tables must not hold; nothing may be written while there is any."""
-    detections, keys = tables["detections"], tables["config_keys"]
+    artifacts, detections, keys = tables["artifacts"], tables["detections"], tables["config_keys"]
+
+    def rule(name: str, df: DataFrame, id_: str) -> DataFrame:
+        return df.select(F.lit(name).alias("rule"), F.col(id_).cast("string").alias("id"))
+
+    files = artifacts.select("artifact_id")
+    members = detections.select(F.col("chart").alias("src"), F.col("artifact_id").alias("dst"))
     found = [
-        facts.duplicates(detections, ["artifact_id"]).select(F.lit("artifact twice").alias("rule"), F.col("artifact_id").alias("id")),
-        facts.duplicates(keys.where(~F.col("duplicate")), ["key"]).select(F.lit("key twice").alias("rule"), F.col("key").alias("id")),
-        facts.dangling(detections.select(F.col("chart").alias("src"), F.col("artifact_id").alias("dst")), detections, "artifact_id").select(F.lit("dangling member").alias("rule"), F.col("dst").alias("id")),
+        rule("artifact without identity", artifacts.where("artifact_id IS NULL"), "path"),
+        rule("artifact twice", facts.duplicates(artifacts, ["artifact_id"]), "artifact_id"),
+        rule("facet twice", facts.duplicates(detections, ["artifact_id"]), "artifact_id"),
+        rule("facet without file", detections.join(files, "artifact_id", "left_anti"), "artifact_id"),
+        rule("key twice", facts.duplicates(keys.where(~F.col("duplicate")), ["key"]), "key"),
+        rule("key without file", keys.join(files, "artifact_id", "left_anti"), "key"),
+        rule("key nowhere", keys.where("line < 1 OR column < 1"), "key"),
+        rule("dangling member", facts.dangling(members, detections, "artifact_id"), "dst"),
+        rule("call without template", tables["calls"].join(detections, "artifact_id", "left_anti"), "artifact_id"),
+        rule("action nowhere", tables["actions"].where("line < 1 OR start < 0"), "artifact_id"),
+        rule("diagnostic of nothing", tables["diagnostics"].where("artifact_id IS NOT NULL").join(files, "artifact_id", "left_anti"), "id"),
+        rule("diagnostic twice", facts.duplicates(tables["diagnostics"], ["id"]), "id"),
     ]
     if "value_targets" in tables:
         aims = tables["value_targets"].where("key IS NOT NULL").select(F.col("artifact_id").alias("src"), F.col("key").alias("dst"))
         known = keys.select(F.col("key").alias("id")).unionByName(detections.select(F.col("artifact_id").alias("id")))
-        found.append(facts.dangling(aims, known).select(F.lit("dangling reference").alias("rule"), F.col("dst").alias("id")))
+        charts = tables["charts"].select("chart")
+        targets = tables["dependencies"].where("chart IS NOT NULL")
+        called = tables["call_targets"].where("template IS NOT NULL")
+        found += [
+            rule("dangling reference", facts.dangling(aims, known), "dst"),
+            rule("dependency twice", facts.duplicates(tables["dependencies"], ["dependency"]), "dependency"),
+            rule("dependency on no chart", targets.join(charts, "chart", "left_anti"), "dependency"),
+            rule("dependency with two targets", targets.where("package IS NOT NULL"), "dependency"),
+            rule("call of no template", called.join(detections.select(F.col("artifact_id").alias("template")), "template", "left_anti"), "artifact_id"),
+        ]
     return reduce(DataFrame.unionByName, found)

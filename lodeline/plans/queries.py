@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as ids
 from ..functions import values as v
-from ..operators import detection, documents, facts, graph, ownership, precedence, resolution
+from ..operators import detection, diagnostics, documents, facts, graph, ownership, precedence, resolution
 from ..sources import sinks, workspace
+from . import pipeline
 from .catalog import query
 
 c = F.col
@@ -125,6 +126,19 @@ def version_ranges(t):
     return t("part").select("p_partkey", v.version_within(size, F.lit(">= 10, <30")).alias("between_bounds"), v.version_within(minor, F.lit("^2.0.0")).alias("caret"), v.version_within(minor, F.lit("~2.3.0")).alias("tilde"), v.version_within(size, F.lit("!= 7.0.0")).alias("other"))
 
 
+_V = "p_size % 4 AS a, p_partkey % 5 AS b, p_partkey % 3 AS c, p_partkey % 6 <> 0 AS r"
+
+
+@query(f"""SELECT p_partkey, r AND a = 1 AS tilde_major, r AND a = 0 AS caret_zero, r AND a = 1 AND b = 2 AS wildcard, r AND (a, b) >= (1, 1) AND (a, b) <= (2, 3) AS hyphen,
+          r AND a IN (1, 3) AS alternatives, a >= 1 AS with_pre_releases, r AND a > 1 AS above_partial, r AND NOT (a = 2 AND b = 1) AS not_partial, r AND a = 2 AND b = 2 AND c = 1 AS metadata
+          FROM (SELECT p_partkey, {_V} FROM part)""")
+def version_constraints(t):
+    """Partial versions, wildcards, ranges, alternatives, pre-releases and metadata."""
+    text = F.concat((c("p_size") % 4).cast("string"), F.lit("."), (c("p_partkey") % 5).cast("string"), F.lit("."), (c("p_partkey") % 3).cast("string"), F.when(c("p_partkey") % 6 == 0, "-rc.1").otherwise(""), F.when(c("p_partkey") % 7 == 0, "+build.9").otherwise(""))
+    cases = {"tilde_major": "~1", "caret_zero": "^0", "wildcard": "1.2.x", "hyphen": "1.1 - 2.3", "alternatives": "^1 || ^3", "with_pre_releases": ">=1.0.0-rc.0", "above_partial": ">1", "not_partial": "!=2.1", "metadata": "=2.2.1+other"}
+    return t("part").select("p_partkey", text.alias("v")).select("p_partkey", *(v.version_within(c("v"), F.lit(x)).alias(n) for n, x in cases.items()))
+
+
 # --- detection and ownership ----------------------------------------------------------------------
 
 
@@ -174,14 +188,20 @@ def vendored_children(t):
     return ownership.vendored_children(t("supplier").select(c("s_suppkey").alias("chart"), d.alias("directory")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 40 AS p, (c_custkey * 7 + c_nationkey) % 40 AS c FROM customer WHERE c_custkey % 4 = 1 AND c_custkey <= 150),
-          t(root, node, depth, path) AS (SELECT p, p, 0, [p] FROM (SELECT DISTINCT p FROM e WHERE p % 10 = 1) UNION ALL
+_BELOW = "SELECT DISTINCT p, c FROM (SELECT c_custkey // 8 AS p, c_custkey AS c FROM customer UNION ALL SELECT c_custkey // 9, c_custkey FROM customer) WHERE p <> c AND p IN (SELECT c_custkey FROM customer)"
+
+
+@query(f"""WITH RECURSIVE e AS ({_BELOW}),
+          t(root, node, depth, path) AS (SELECT c_custkey, c_custkey, 0, [c_custkey] FROM customer WHERE c_custkey NOT IN (SELECT c FROM e) UNION ALL
           SELECT t.root, e.c, t.depth + 1, list_append(t.path, e.c) FROM t JOIN e ON e.p = t.node WHERE NOT list_contains(t.path, e.c))
           SELECT root, node, depth, count(*) AS ways FROM t GROUP BY ALL""")
 def render_tree_walk(t):
-    e = t("customer").where("c_custkey % 4 = 1 AND c_custkey <= 150").selectExpr("c_custkey % 40 AS parent", "(c_custkey * 7 + c_nationkey) % 40 AS child").distinct()
-    w = ownership.walk(e, e.where("parent % 10 = 1").selectExpr("parent AS root").distinct())
-    return w.groupBy("root", "node", "depth").agg(F.count("*").alias("ways"))
+    """Every customer below up to two others, by an eighth and a ninth of its key, walked from all roots on every way."""
+    d = t("customer").select(c("c_custkey").alias("child"))
+    e = d.select("child", F.explode(F.array(F.expr("child div 8"), F.expr("child div 9"))).alias("parent")).where("parent <> child").distinct()
+    e = e.join(d.select(c("child").alias("parent")).distinct(), "parent", "left_semi")
+    roots = d.distinct().join(e.select("child"), "child", "left_anti").select(c("child").alias("root"))
+    return ownership.walk(e, roots).groupBy("root", "node", "depth").agg(F.count("*").alias("ways"))
 
 
 @query()
@@ -244,6 +264,19 @@ def template_winners(t):
     return precedence.winner_fold(t("events").withColumn("empty", c("value") <= 20), ["user_id", "event_type"], [c("event_id")], "event_id", "empty")
 
 
+@query("""WITH d AS (SELECT l_orderkey AS tree, l_returnflag AS name, l_suppkey % 50 AS template, l_partkey % 3 AS depth, 'f' || (l_suppkey % 50) AS path, l_linenumber AS start, l_linestatus = 'O' AND l_partkey % 2 = 0 AS empty FROM lineitem),
+          x AS (SELECT DISTINCT tree FROM d WHERE NOT empty GROUP BY tree, template, name HAVING count(*) > 1),
+          o AS (SELECT *, row_number() OVER (PARTITION BY tree, name ORDER BY depth DESC, path DESC, start) AS load FROM d WHERE tree NOT IN (SELECT tree FROM x)),
+          w AS (SELECT tree, name, coalesce(arg_max(template, load) FILTER (NOT empty), arg_min(template, load) FILTER (empty)) AS template FROM o GROUP BY 1, 2)
+          SELECT o_orderkey AS tree, flag AS name, w.template FROM orders CROSS JOIN (VALUES ('A'), ('N'), ('R')) f(flag) LEFT JOIN w ON w.tree = o_orderkey AND w.name = flag""")
+def call_targets(t):
+    """Calls of three names in each order's tree, defined by its lines at some depth and path, a part of them empty."""
+    empty = (c("l_linestatus") == "O") & (c("l_partkey") % 2 == 0)
+    d = t("lineitem").select(c("l_orderkey").alias("tree"), c("l_returnflag").alias("name"), (c("l_suppkey") % 50).alias("template"), (c("l_partkey") % 3).alias("depth"), F.concat(F.lit("f"), (c("l_suppkey") % 50).cast("string")).alias("path"), c("l_linenumber").alias("start"), empty.alias("empty"))
+    calls = t("orders").select(c("o_orderkey").alias("tree"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("name"))
+    return resolution.call_targets(calls, d).select("tree", "name", "template")
+
+
 @query("""SELECT l_orderkey, l_linenumber, lpad((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) - 1)::VARCHAR, 4, '0') AS ordinal FROM lineitem""")
 def layer_ordinals(t):
     return precedence.ordinals(t("lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "ordinal")
@@ -418,18 +451,52 @@ _NODES = "SELECT 'n' || doc_id AS id FROM documents WHERE doc_id % 3 <> 0"
 
 
 @query("""WITH ours AS (SELECT 'n' || doc_id AS id, lang = 'en' AS owned FROM documents WHERE source <> 'src1'), d AS (SELECT 'n' || doc_id AS id FROM documents WHERE doc_id % 3 <> 0),
-          e AS (SELECT 'LABEL' AS type, 'n' || doc_id AS src, 'q' || quality AS dst, doc_id FROM labels), de AS (SELECT type, src, dst FROM e WHERE doc_id % 4 <> 0)
+          e AS (SELECT CASE quality WHEN 1 THEN 'IAC_PRODUCES' ELSE 'HAS_LABEL' END AS type, 'n' || doc_id AS src, 'q' || quality AS dst, doc_id FROM labels), de AS (SELECT type, src, dst FROM e WHERE doc_id % 4 <> 0)
           SELECT 1 AS phase, 'upsert node' AS action, id, NULL::VARCHAR AS src, NULL::VARCHAR AS dst FROM d UNION ALL SELECT 2, 'upsert edge', type, src, dst FROM de
-          UNION ALL SELECT 5, 'delete edge', type, src, dst FROM e WHERE doc_id % 4 = 0 AND src IN (SELECT id FROM ours)
+          UNION ALL SELECT 5, 'delete edge', type, src, dst FROM e WHERE doc_id % 4 = 0 AND type = 'IAC_PRODUCES' AND src IN (SELECT id FROM ours)
           UNION ALL SELECT 6, 'delete node', id, NULL, NULL FROM ours WHERE owned AND id NOT IN (SELECT id FROM d)""")
 def generation_plan(t):
     d = t("documents")
     node = lambda x: F.concat(F.lit("n"), c(x).cast("string"))
     existing = d.select(node("doc_id").alias("id"), F.when(c("source") == "src1", "theirs").otherwise("ours").alias("app"), (c("lang") == "en").alias("owned"))
-    edges = t("labels").select("doc_id", F.lit("LABEL").alias("type"), node("doc_id").alias("src"), F.concat(F.lit("q"), c("quality").cast("string")).alias("dst"))
+    # Relationships of others are there too, and stay.
+    family = F.when(c("quality") == 1, "IAC_PRODUCES").otherwise("HAS_LABEL")
+    edges = t("labels").select("doc_id", family.alias("type"), node("doc_id").alias("src"), F.concat(F.lit("q"), c("quality").cast("string")).alias("dst"))
     return graph.generation_plan(d.where("doc_id % 3 <> 0").select(node("doc_id").alias("id")), edges.where("doc_id % 4 <> 0").drop("doc_id"), existing, edges.drop("doc_id"), "ours")
 
 
+_FACETS = "CASE event_type WHEN 'click' THEN 'HelmValues' WHEN 'purchase' THEN 'Artifact' ELSE event_type END AS label, CASE event_type WHEN 'click' THEN 'helm_roles' WHEN 'purchase' THEN 'path' ELSE 'iac_' || event_type END AS name"
+
+
+@query(f"""WITH e AS (SELECT user_id AS id, value, {_FACETS} FROM events), w AS (SELECT * FROM e WHERE value > 60),
+          l AS (SELECT DISTINCT id, label FROM e WHERE label = 'HelmValues' EXCEPT SELECT id, label FROM w), p AS (SELECT DISTINCT id, name FROM e WHERE name <> 'path' EXCEPT SELECT id, name FROM w)
+          SELECT 3 AS phase, 'remove labels' AS action, id, string_agg(label, ',' ORDER BY label) AS names FROM l WHERE id % 5 <> 0 GROUP BY id
+          UNION ALL SELECT 4, 'remove properties', id, string_agg(name, ',' ORDER BY name) FROM p WHERE id % 5 <> 0 GROUP BY id""")
+def facet_removals(t):
+    """Users as nodes with the facets of their events, wanted for events of high value only; a fifth belongs to others."""
+    kind = c("event_type")
+    label = F.when(kind == "click", "HelmValues").when(kind == "purchase", "Artifact").otherwise(kind)
+    name = F.when(kind == "click", "helm_roles").when(kind == "purchase", "path").otherwise(F.concat(F.lit("iac_"), kind))
+
+    def nodes(d):
+        n = d.groupBy(c("user_id").alias("id")).agg(F.collect_set(label).alias("labels"), F.collect_set(name).alias("names"))
+        return n.select("id", "labels", F.map_from_arrays("names", "names").alias("properties"))
+
+    existing = nodes(t("events")).withColumn("app", F.when(c("id") % 5 == 0, "theirs").otherwise("ours"))
+    return graph.facet_removals(existing, nodes(t("events").where("value > 60")), "ours")
+
+
+@query("""SELECT 'delete node' AS action, 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'not known' WHEN o_orderstatus <> 'F' THEN 'labels of others' END AS reason FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus <> 'F'
+          UNION ALL SELECT 'delete edge', 'HAS_' || o_orderpriority, 'family of others' FROM orders WHERE o_orderstatus = 'O'""")
+def unsafe_plans(t):
+    """What the guard refuses of a plan that would delete every order and its relationships."""
+    o, id_ = t("orders"), F.concat(F.lit("o"), c("o_orderkey").cast("string"))
+    labels = F.when(c("o_orderstatus") == "F", F.array(F.lit("HelmRender"))).otherwise(F.array(F.lit("HelmRender"), F.lit("Artifact")))
+    family = F.when(c("o_orderstatus") == "O", F.concat(F.lit("HAS_"), "o_orderpriority")).otherwise("IAC_HAS_RENDER")
+    plan = o.select(F.lit("delete node").alias("action"), id_.alias("id")).unionByName(o.select(F.lit("delete edge").alias("action"), family.alias("id")))
+    return graph.unsafe(plan, o.where("o_orderkey % 3 <> 0").select(id_.alias("id"), labels.alias("labels")))
+
+
 @query("SELECT DISTINCT upper('has_' || event_type) AS type, user_id AS src, event_type AS dst FROM events")
 def edge_projection(t):
     return graph.edge_rows(t("events").select(F.concat(F.lit("has_"), "event_type").alias("family"), "user_id", "event_type"), "family", "user_id", "event_type")
@@ -462,10 +529,10 @@ def existing_edges(t):
     return graph.existing_edges(t("labels").select(F.lit("LABEL").alias("type"), c("doc_id").alias("src"), (c("doc_id") % 97).alias("dst")), nodes, "de")
 
 
-@query("SELECT DISTINCT user_id AS id, event_type AS label FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id % 997 < 2)")
+@query("SELECT DISTINCT user_id AS id, event_type AS label FROM events WHERE event_type IN ('click', 'purchase')")
 def node_allowlist(t):
     nodes = t("events").groupBy(c("user_id").alias("id")).agg(F.collect_set("event_type").alias("labels"))
-    return graph.disallowed(nodes, t("events").where("event_id % 997 < 2").select(c("event_type").alias("label")))
+    return graph.disallowed(nodes, t("events").where("event_type NOT IN ('click', 'purchase')").select(c("event_type").alias("label")))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity - 3 < 0 OR l_quantity - 3 + l_linenumber % 3 - 1 < l_quantity - 3 OR l_quantity - 4 + l_linenumber % 3 > 44")
@@ -512,3 +579,38 @@ def whole_text_upserts(t):
     """Statements that carry whole texts; a null text sets no property."""
     nodes = t("documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"), F.array(F.upper("lang"), F.lit("Text")).alias("labels"), F.create_map(F.lit("text"), c("text")).alias("properties"))
     return sinks.statements(nodes, nodes.where("false").select(F.lit("x").alias("type"), c("id").alias("src"), c("id").alias("dst")))
+
+
+# --- the whole analysis ---------------------------------------------------------------------------
+
+
+def _workspace(t):
+    """A chart for each supplier, with faults at regular places."""
+    k = c("s_suppkey")
+    at = F.concat(F.lit("s"), k.cast("string"))
+    chart = F.concat(F.lit("apiVersion: v"), F.when(k % 10 == 3, "3").otherwise("2"), F.lit("\nname: "), at, F.lit("\nversion: 1.0."), (k % 9).cast("string"), F.lit("\n"))
+    values = F.when(k % 7 == 1, "a: [\n").when(k % 4 == 0, "a: 1\nb:\n  c: x\na: 2\n").otherwise("a: 1\nb:\n  c: x\n")
+    template = F.concat(F.lit("x: {{ .Values.b.c }}\n{{ define \"n\" }}y{{ end }}"), F.when(k % 5 == 0, "{{ define \"n\" }}z{{ end }}").otherwise(""))
+    files = F.array(*(F.struct(F.lit(p).alias("p"), x.alias("x")) for p, x in (("Chart.yaml", chart), ("values.yaml", values), ("templates/t.yaml", template), ("notes.md", F.lit("text")))))
+    each = t("supplier").select(at.alias("at"), F.explode(files).alias("f"))
+    return each.select(F.concat_ws("/", "at", "f.p").alias("path"), c("f.x").cast("binary").alias("content"), F.lit(None).cast("string").alias("problem"))
+
+
+@query("""SELECT 'IAC_HELM_UNSUPPORTED_API_VERSION' AS code, 'error' AS severity, count(*) AS n FROM supplier WHERE s_suppkey % 10 = 3 HAVING count(*) > 0
+          UNION ALL SELECT 'IAC_HELM_YAML_PARSE', 'error', count(*) FROM supplier WHERE s_suppkey % 7 = 1 AND s_suppkey % 10 <> 3 HAVING count(*) > 0
+          UNION ALL SELECT 'IAC_HELM_DUPLICATE_VALUE_PATH', 'error', count(*) FROM supplier WHERE s_suppkey % 7 <> 1 AND s_suppkey % 4 = 0 AND s_suppkey % 10 <> 3 HAVING count(*) > 0
+          UNION ALL SELECT 'IAC_HELM_DUPLICATE_TEMPLATE_DEFINITION', 'error', count(*) FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 10 <> 3 HAVING count(*) > 0""")
+def analysis_diagnostics(t):
+    """Diagnostics by code and severity of a workspace with a chart for each supplier."""
+    found = pipeline.analyse(workspace.artifacts(_workspace(t), "shop"), "shop", level=2)
+    return diagnostics.by_code(found["diagnostics"])
+
+
+@query("""SELECT labels, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 10 = 3 OR f = 'notes.md' THEN 'Artifact' ELSE 'Artifact,' || CASE f WHEN 'Chart.yaml' THEN 'HelmArtifact,HelmChart' WHEN 'values.yaml' THEN 'HelmArtifact,HelmValues' ELSE 'HelmArtifact,HelmTemplate' END || ',IaCArtifact' END AS labels
+          FROM supplier CROSS JOIN (VALUES ('Chart.yaml'), ('values.yaml'), ('templates/t.yaml'), ('notes.md')) x(f)) GROUP BY 1 UNION ALL SELECT 'Application,IaCApplication', 1""")
+def projected_files(t):
+    """Labels of files and application in the graph of the same workspace: every file is there."""
+    found = pipeline.analyse(workspace.artifacts(_workspace(t), "shop"), "shop", level=2)
+    nodes, _ = graph.project(found, "shop")
+    files = nodes.where(F.array_contains("labels", "Artifact") | F.array_contains("labels", "Application"))
+    return files.groupBy(F.array_join(F.array_sort("labels"), ",").alias("labels")).agg(F.count("*").alias("n"))

@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import graph_violations
+
 
 def literal(text: Column) -> Column:
     """A quoted string of the script; control characters, quotes and backslashes are escaped."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for raw, mark in (("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         out = F.replace(out, F.lit(raw), F.lit(mark))
-    return F.concat(F.lit("'"), out, F.lit("'"))
+    rest = F.transform(F.split(out, ""), lambda x: F.when(x.rlike(r"[\x00-\x1f\x7f]"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(x)), 4, "0"))).otherwise(x))
+    return F.concat(F.lit("'"), F.when(out.rlike(r"[\x00-\x1f\x7f]"), F.array_join(rest, "")).otherwise(out), F.lit("'"))
+
+
+def _name(text: Column) -> Column:
+    """A label or type: plain words stand, anything else is quoted."""
+    return F.when(text.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"), text).otherwise(F.concat(F.lit("`"), F.replace(text, F.lit("`"), F.lit("``")), F.lit("`")))
 
 
 def statements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(phase, id, statement): nodes before relationships, each a merge that can be replayed."""
-    pairs = F.array_sort(F.transform(F.map_entries("properties"), lambda p: F.concat(F.lit("`"), p["key"], F.lit("`: "), literal(p["value"]))))
-    node = F.concat(F.lit("MERGE (n {id: "), literal(F.col("id")), F.lit("}) SET n:"), F.array_join(F.array_sort("labels"), ":"), F.lit(", n += {"), F.array_join(pairs, ", "), F.lit("};"))
-    edge = F.concat(F.lit("MATCH (a {id: "), literal(F.col("src")), F.lit("}), (b {id: "), literal(F.col("dst")), F.lit("}) MERGE (a)-[:"), F.col("type"), F.lit("]->(b);"))
+    """(phase, id, statement): nodes before relationships, each a merge that can be replayed; names are quoted where they aren't plain."""
+    pairs = F.array_sort(F.transform(F.map_entries("properties"), lambda p: F.concat(F.lit("`"), F.replace(p["key"], F.lit("`"), F.lit("``")), F.lit("`: "), literal(p["value"]))))
+    node = F.concat(F.lit("MERGE (n {id: "), literal(F.col("id")), F.lit("}) SET n:"), F.array_join(F.transform(F.array_sort("labels"), _name), ":"), F.lit(", n += {"), F.array_join(pairs, ", "), F.lit("};"))
+    edge = F.concat(F.lit("MATCH (a {id: "), literal(F.col("src")), F.lit("}), (b {id: "), literal(F.col("dst")), F.lit("}) MERGE (a)-[:"), _name(F.col("type")), F.lit("]->(b);"))
     return nodes.select(F.lit(1).alias("phase"), "id", node.alias("statement")).unionByName(edges.select(F.lit(2).alias("phase"), F.concat_ws("|", "type", "src", "dst").alias("id"), edge.alias("statement")))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Both tables as Parquet and JSON lines, and the script in order; a folder appears only when it is whole."""
+    """Both tables as Parquet and JSON lines, and the script in order; raises, before anything is written, on what a graph must not hold.
+
+    Each of the four folders has its _SUCCESS once it is whole; the script, written last, stands for all.
+    """
+    found = graph_violations(nodes, edges).take(5)
+    if found:
+        raise ValueError(f"the graph can't be written: {[tuple(r) for r in found]}")
     nodes.write.parquet(f"{path}/nodes")
     edges.write.parquet(f"{path}/edges")
     nodes.withColumn("properties", F.to_json("properties")).write.json(f"{path}/nodes_json")

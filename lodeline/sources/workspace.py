@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.identity import artifact_id, is_relative_path
 from ..functions.values import digest, format_of, is_text
+from ..functions.workers import visible
 
 SKIPPED = {".git", ".hg", ".svn"}
 SCHEMA = "path string, content binary, problem string"
@@ -78,6 +79,7 @@ class WorkspaceSource(DataSource):
 
 
 def files(spark: SparkSession, root: str, selections: tuple[str, ...] = (".",)) -> DataFrame:
+    visible(spark)
     spark.dataSource.register(WorkspaceSource)
     return spark.read.format("workspace").option("selections", "\n".join(selections)).load(root)
 
