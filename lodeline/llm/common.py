@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) a folder of its own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark runs on one machine (tests) a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -42,9 +44,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeline/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables written, oldest first.
+_tables: list[str] = []
+
+
+def tables_so_far() -> int:
+    return len(_tables)
+
+
+def released(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Removes the tables that ``written`` wrote from number ``since`` up to ``until``; nothing may read them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _tables[since:until]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _tables[since:until]
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -8,13 +8,15 @@ the low bits left out could lift past it are the boundary, and their exact score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries that meet in one task.
-BLOCK = 1 << 15
+#: Candidates of a block, and queries that are asked of it at a time.
+BLOCK = 1 << 13
 QUERIES = 1 << 10
 #: Highest bits of each attribute that are sliced.
 SLICED = 6
@@ -111,47 +113,66 @@ class BitSlicedIndex:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: self.rows])
 
 
-def _stacked(column: pd.Series, width: int) -> np.ndarray:
-    """Components as integers; shorter vectors end with zeros."""
+def _floored(column: pa.ListArray, width: int) -> np.ndarray:
+    """Components as whole numbers, ``width`` of each row; shorter vectors end with zeros."""
     out = np.zeros((len(column), width), np.float64)
-    for i, x in enumerate(column):
-        out[i, : len(x)] = x
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), sizes)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    use = at < width
+    out[row[use], at[use]] = values[use]
     return np.floor(1024 * out)
 
 
-def _best(key: tuple, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    found = []
-    if len(left) and len(right):
-        width = max(left["x"].map(len).max(), right["x"].map(len).max())
-        x, q = _stacked(left["x"], width), _stacked(right["x"], width)
-        ids = left["vec_id"].to_numpy(np.int64)
-        small = max(1.0, np.abs(x).max()) * max(1.0, np.abs(q).max()) * max(1, width) < 2.0**61
-        if small:
-            x, q = x.astype(np.int64), q.astype(np.int64)
-            index = BitSlicedIndex(x)
-        for own, query in zip(right["vec_id"].tolist(), q, strict=True):
+class Block:
+    """Candidates of one block: ids, whole numbers, and the index once a query asks for it."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        ids = pa.chunked_array([r.column(2) for r in rows]).to_numpy()
+        vectors = pa.chunked_array([r.column(3) for r in rows]).combine_chunks()
+        self.ids = ids.astype(np.int64)
+        self.x = _floored(vectors, max(1, int(np.diff(vectors.offsets.to_numpy()).max())))
+        self.most = max(1.0, float(np.abs(self.x).max()))
+        self.index: BitSlicedIndex | None = None
+        self.whole = None
+
+    def best(self, asked: pa.RecordBatch, k: int) -> tuple[list, list, list]:
+        q = _floored(asked.column(3), self.x.shape[1])
+        out: tuple[list, list, list] = ([], [], [])
+        small = self.most * max(1.0, float(np.abs(q).max())) * self.x.shape[1] < 2.0**61
+        if small and self.index is None:
+            self.whole = self.x.astype(np.int64)
+            self.index = BitSlicedIndex(self.whole)
+        for own, query in zip(asked.column(2).to_pylist(), q.astype(np.int64) if small else q, strict=True):
             if small:
-                others = np.zeros(len(index.valid) * 64, np.uint8)
-                others[: len(ids)] = ids != own
-                rows = index.boundary(query, k, np.packbits(others, bitorder="little").view(np.uint64))
-                score = x[rows] @ query
+                others = np.zeros(len(self.index.valid) * 64, np.uint8)
+                others[: len(self.ids)] = self.ids != own
+                rows = self.index.boundary(query, k, np.packbits(others, bitorder="little").view(np.uint64))
+                score = self.whole[rows] @ query
+                order = np.lexsort((self.ids[rows], -score))[:k]
             else:
                 # Whole numbers beyond 64 bits: exact, without the index; scores are held to the range of long.
-                rows = np.flatnonzero(ids != own)
-                exact = [sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in x[rows]]
+                rows = np.flatnonzero(self.ids != own)
+                exact = [sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in self.x[rows]]
                 score = np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64)
-            order = np.lexsort((ids[rows], -score.astype(object) if not small else -score))[:k]
-            found += [(own, int(ids[rows[i]]), int(score[i])) for i in order]
-    return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(np.int64)
+                order = np.lexsort((self.ids[rows], -score.astype(object)))[:k]
+            out[0].extend([own] * len(order))
+            out[1].extend(self.ids[rows][order].tolist())
+            out[2].extend(score[order].tolist())
+        return out
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products of floor(1024 * x), ties to the smaller id.
 
     Candidates are all rows but those with the query's own id. Vectors that are null, hold null or
-    non-finite components, or have no id, take no part; shorter ones end with zeros; repeated rows
-    are candidates each, but a query id is asked once, by its least vector. Blocks of candidates meet blocks of queries; each pair of blocks is a task
-    of bounded size, and only k rows a query leave it.
+    non-finite components, or have no id, take no part; shorter and empty ones end with zeros; repeated
+    rows are candidates each, but a query id is asked once, by its least vector; scores beyond the range
+    of long are held to it; other columns of any name are left out; no vectors or no queries give no rows.
+
+    Candidates are shuffled once, into blocks of bounded size. The queries stream by each block behind
+    its candidates, in bounded batches, and only k rows a query leave it.
     """
 
     def usable(df: DataFrame) -> DataFrame:
@@ -159,11 +180,33 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
         odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
         return df.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(~odd)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for batch in batches:
+            of, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(asks) != 0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                if of[low] != now:
+                    now, held, block = of[low], [], None
+                if not asks[low]:
+                    held.append(part)
+                    continue
+                if block is None and held:
+                    block, held = Block(held), []
+                if block is not None:
+                    for at in range(0, len(part), QUERIES):
+                        found = block.best(part.slice(at, QUERIES), k)
+                        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["query_id", "vec_id", "score"])
+
     candidates = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
-    n, m = max(1, -(-candidates.count() // BLOCK)), max(1, -(-asked.count() // QUERIES))
-    left = candidates.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(lambda key, a, b: _best(key, a, b, k), "query_id long, vec_id long, score long")
+    n = max(1, -(-candidates.count() // BLOCK))
+    left = candidates.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "x")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "x")
+    rows = left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "asks")
+    met = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,13 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Pieces that one task packs; the last sequences of a group that stay open are packed again with others'.
+#: Pieces and bytes that are packed together; sequences less than LOOSE full are packed again with others'.
 GROUP = 20_000
+BLOCK_BYTES = 48 << 20
+LOOSE = 0.97
 #: Scripts in which both libraries split words alike; a text with anything else takes the slower library.
 _COMMON = re.compile("[^\x00-ʯͰ-ϿЀ-ӿ‐-‧‰-⁞€™]")
 
@@ -49,7 +52,8 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None,
 
     A document is its ids with ``end`` behind; one of more than ``size`` is cut so that only its first
     piece may be shorter. A null text is empty: one piece that is ``end`` alone. ``ranks_path`` names
-    the same vocabulary for a faster library, taken for texts that both read alike.
+    the same vocabulary for a faster library, taken for texts that both read alike. Repeated rows and
+    null ids are cut each, other columns of any name are left out, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,31 +113,63 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def packed(pieces: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
-    """The pieces (doc_id, piece, length and any others) with sequence_id and offset.
+def _placed(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, offset and the whole sequence's tokens of each length, packed longest first; more than ``size`` is a sequence of its own."""
+    order = np.argsort(-lengths, kind="stable")
+    over = int((lengths > size).sum())
+    seq = np.empty(len(lengths), np.int64)
+    seq[order[:over]] = np.arange(over)
+    seq[order[over:]] = over + sum_of_squares(lengths[order[over:]], size)
+    fill = np.bincount(seq, lengths).astype(np.int64)
+    at = order[np.argsort(seq[order], kind="stable")]
+    ends = np.cumsum(lengths[at])
+    offset = np.empty(len(lengths), np.int64)
+    offset[at] = ends - lengths[at] - (np.cumsum(fill) - fill)[seq[at]]
+    return seq, offset, fill[seq]
+
 
-    Pieces are dealt into groups by a hash of their row, longest first within a group. Sequences that
-    end less than full are packed once more with those of other groups. Both rounds are tasks of
-    bounded size; no length, not even a very common one, meets in one task.
+def packed(pieces: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
+    """The pieces (a length and any other columns) with sequence_id and offset.
+
+    Each task packs its own pieces in blocks of ``group`` or BLOCK_BYTES, longest first, so that they
+    are not shuffled. Sequences that end less than LOOSE full are packed once more, dealt into groups
+    by a hash of their place. Both rounds are tasks of bounded size; no length, not even a very common
+    one, meets in one task. Repeated rows and null ids are packed each, a null length takes no room, a
+    piece longer than ``size`` is alone in its sequence, columns named like the new ones are replaced,
+    and an empty table gives no rows.
     """
-    rows = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    columns = rows.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-
-    def place(pdf: pd.DataFrame, round_: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        pdf["local"] = sum_of_squares(pdf["length"].to_numpy(), size)
-        pdf["offset"] = pdf.groupby("local")["length"].cumsum() - pdf["length"]
-        pdf["fill"] = pdf.groupby("local")["length"].transform("sum")
-        pdf["sequence_id"] = (np.int64(round_) << 60) | (pdf["grp"].to_numpy(np.int64) << 28) | pdf["local"].to_numpy(np.int64)
-        return pdf[[*columns, "sequence_id", "offset", "fill"]]
-
-    def grouped(df: DataFrame, n: int, round_: int) -> DataFrame:
-        count = max(1, -(-n // group))
-        dealt = df.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(count)).cast("int"))
-        return dealt.groupBy("grp").applyInPandas(lambda pdf: place(pdf, round_), f"{schema}, sequence_id long, offset long, fill long")
-
-    first = written(grouped(rows, rows.count(), 0), "packed")
-    loose = first.where(F.col("fill") < size * 0.97).select(*columns)
-    again = grouped(loose, loose.count(), 1)
-    return first.where(F.col("fill") >= size * 0.97).unionByName(again).drop("row", "fill")
+    pieces = pieces.drop("sequence_id", "offset", "fill")
+    fields, at = pieces.columns, pieces.columns.index("length")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long", "offset long", "fill long"])
+
+    def block(held: list[pa.RecordBatch], base: int) -> tuple[pa.Table, int]:
+        rows = pa.Table.from_batches(held)
+        seq, offset, fill = _placed(rows.column(at).fill_null(0).to_numpy().astype(np.int64), size)
+        for name, value in (("sequence_id", base + seq), ("offset", offset), ("fill", fill)):
+            rows = rows.append_column(name, pa.array(value, pa.int64()))
+        return rows, base + int(seq.max()) + 1
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 34
+        held: list[pa.RecordBatch] = []
+        rows = n_bytes = 0
+        for batch in batches:
+            for low in range(0, len(batch), 1024):
+                held.append(batch.slice(low, 1024))
+                rows, n_bytes = rows + len(held[-1]), n_bytes + held[-1].nbytes
+                if rows >= group or n_bytes >= BLOCK_BYTES:
+                    done, base = block(held, base)
+                    yield from done.to_batches(1024)
+                    held, rows, n_bytes = [], 0, 0
+        if rows:
+            yield from block(held, base)[0].to_batches(1024)
+
+    def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        seq, offset, fill = _placed(pdf["length"].fillna(0).to_numpy(np.int64), size)
+        return pdf[fields].assign(sequence_id=(np.int64(1) << 62) | (np.int64(key[0]) << 34) | seq, offset=offset, fill=fill)
+
+    first = written(pieces.mapInArrow(own, schema), "packed")
+    loose = first.where(F.col("fill") < size * LOOSE)
+    dealt = loose.withColumn("__grp", F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(max(1, -(-loose.count() // group)))).cast("int"))
+    second = dealt.groupBy("__grp").applyInPandas(again, schema)
+    return first.where(F.col("fill") >= size * LOOSE).unionByName(second).drop("fill")

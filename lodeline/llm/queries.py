@@ -38,8 +38,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    df = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
+    df = sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     whole = F.col("decoded") == F.coalesce("text", F.lit(""))
     return df.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), whole.alias("round_trip"))
 
@@ -64,7 +63,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scans.digest(secret_scans.secret_scan(table(spark, sf_dir, "documents")))
+    # A source is an owner, and what it holds in one language is a repository of its.
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    return secret_scans.digest(secret_scans.secret_scan(docs, repository="repository"))
 
 
 QUERIES = {

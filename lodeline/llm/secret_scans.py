@@ -25,8 +25,10 @@ HEX = "[0-9a-f]+"
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 #: What else may be a credential: long runs that mix letters and digits.
 RUN = "[A-Za-z0-9+/_=-]{20,}+"
-#: Owners (and repositories) up to which a value counts as theirs; beyond it is a widely copied example.
-MOST_OWNERS = 2
+#: Owners, and repositories of theirs, up to which a value counts as theirs; beyond it is a widely copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 8
+#: Spans that are appended to at a time; full ones are put aside, so that the work grows with the matches.
+PART = 512
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
@@ -36,14 +38,16 @@ def spans(text: Column, pattern: str, group: int, least: int, rank: int) -> Colu
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(between, 1, F.size(whole)), F.zip_with(whole, value, lambda w, v: F.struct(w.alias("w"), v.alias("v"))), lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m["w"]).alias("n"), m["v"].alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("part"), F.array().cast(f"array<{SPAN}>").alias("full"))
 
     def step(acc: Column, m: Column) -> Column:
         first = acc["at"] + m["gap"]
         span = F.struct(first.alias("start"), F.lit(rank).alias("rank"), (first + m["n"]).alias("end"), m["v"].alias("value"))
-        return F.struct((first + m["n"]).alias("at"), F.when(F.length(m["v"]) >= least, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        holds, filled = F.length(m["v"]) >= least, F.size(acc["part"]) >= PART
+        part = F.when(~holds, acc["part"]).when(filled, F.array(span)).otherwise(F.array_append(acc["part"], span))
+        return F.struct((first + m["n"]).alias("at"), part.alias("part"), F.when(holds & filled, F.array_append(acc["full"], acc["part"])).otherwise(acc["full"]).alias("full"))
 
-    found = F.aggregate(lengths, start, step, lambda acc: acc["found"])
+    found = F.aggregate(lengths, start, step, lambda acc: F.flatten(F.array_append(acc["full"], acc["part"])))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -80,17 +84,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Each document's spans: base ones, and runs mixing letters and digits that few owners hold.
 
     Columns: doc_id, base and found (arrays of start, rank of the kind, end, value), n_live and n_copied
     (base values that few, or many, owners hold). Null or empty texts have no spans; repeated rows and
-    null ids are scanned each; a null owner is an owner of its own kind; other columns are left out.
+    null ids are scanned each; a null owner is an owner of its own kind; other columns are left out;
+    an empty table gives no rows.
     Ownership is counted over distinct (value, owner) pairs, so a value repeated by one hot source
     weighs one; joins are by value and by document, which adaptive execution can split.
     """
     found = written(found_in(docs, doc_id, text, repository, owner), "spans")
-    known = ownership(found).where((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_owners)).select("hash")
+    known = ownership(found).where((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)).select("hash")
     held = found.where(F.size(F.concat("base", "more")) > 0).select("doc_id", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda x: F.md5(x["value"].cast("binary"))))).alias("hash")).distinct()
     live = held.join(known, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("live")).withColumnRenamed("doc_id", "of")
     df = found.join(live, F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))

@@ -45,6 +45,7 @@ def union(pairs, items):
 
 def test_edit_distance_band():
     rng = random.Random(2)
+    pairs = []
     for _ in range(3000):
         a = "".join(rng.choice("abc") for _ in range(rng.randrange(9)))
         b = list(a)
@@ -54,6 +55,17 @@ def test_edit_distance_band():
         b = "".join(b)
         for k in (0, 1, 2, 3):
             assert line_dedup.within(a, b, k) == (distance(a, b) <= k), (a, b, k)
+            pairs.append((a, b, k))
+    long = ["".join(rng.choice("abcé\U0001f600 ") for _ in range(n)) for n in (30, 31, 33, 90, 91, 200)]
+    for x in long:
+        for _ in range(60):
+            y = list(x)
+            for _ in range(rng.randrange(6)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = rng.choice(["", "z", "a"])
+            pairs.append((x, "".join(y), rng.randrange(5)))
+    found = line_dedup.all_within([p[:2] for p in pairs], np.array([p[2] for p in pairs]))
+    assert found.tolist() == [distance(a, b) <= k for a, b, k in pairs] and not len(line_dedup.all_within([], np.zeros(0, np.int64)))
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -79,9 +91,9 @@ def test_line_classes(spark, edits):
     for d, i, x in every:
         first.setdefault(class_[x], (d, i))
     want = {(d, i, *first[class_[x]], n[x], (d, i) == first[class_[x]]) for d, i, x in every}
-    assert {tuple(r) for r in line_dedup.line_classes(df, edits).collect()} == want
+    assert {tuple(r) for r in line_dedup.line_classes(df, edits, least=20).collect()} == want
     kept = {(d, i) for d, i, *_, k in want if k} | {(d, i) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if len(x) < 20}
-    out = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df, edits).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df, edits, least=20).collect()}
     for d, t in enumerate(texts):
         left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) in kept)
         assert out.get(d, "") == left or not left and d not in out and t
@@ -206,7 +218,7 @@ def test_unigram_viterbi_is_best():
     rng = random.Random(9)
     for _ in range(200):
         unit = "▁" + "".join(rng.choice("aeinrstol☃𓀀") for _ in range(rng.randrange(1, 12)))
-        parts = model.segments(unit)
+        parts, _ = model.segments(unit)
         assert "".join(parts) == unit and sum(scores.get(p, model.unknown_score) for p in parts) == pytest.approx(best(unit))
 
 

@@ -1,7 +1,9 @@
 """Line dedup with its default bound, one edit for every twenty characters, against brute force."""
 
+import hashlib
 import itertools
 import random
+import struct
 
 from test_joins import distance, documents
 
@@ -28,8 +30,42 @@ def test_longer_lines_may_differ_more(spark):
     bound = {(a, b): min(4, min(len(a), len(b)) // 20) for a, b in itertools.combinations(long, 2)}
     want = {p for p, k in bound.items() if abs(len(p[0]) - len(p[1])) <= k and distance(*p) <= k}
     assert {distance(*p) for p in want} == {1, 2, 3, 4}
-    of = {bytes(r.id): r.line for r in line_dedup.lines_of(df).collect()}
-    found = {tuple(sorted((of[bytes(r.a)], of[bytes(r.b)]))) for r in line_dedup.line_links(df).collect()}
+    of = {named(x): x for x in lines}
+    rows = line_dedup.line_links(df).collect()
+    found = {tuple(sorted((of[tuple(r.a)], of[tuple(r.b)]))) for r in rows}
+    assert found == want and len(rows) == len(want)
+
+
+def named(line):
+    return struct.unpack("<qq", hashlib.blake2b(line.encode(), digest_size=16).digest())
+
+
+def test_every_place_of_the_edits(spark):
+    """Lines at the ends of length classes, with all edits at one place, wherever it lies."""
+    rng = random.Random(8)
+    want, lines = set(), set()
+    for k, sizes in ((1, (20, 23, 24, 28, 39)), (2, (40, 47, 48, 59)), (3, (60, 71, 72, 79)), (4, (80, 95, 96, 115, 300))):
+        for n in sizes:
+            for at in range(0, n + 1, max(1, n // 12)):
+                x = "".join(rng.choice("abcdefghij") for _ in range(n))
+                for y in (x[:at] + "z" * k + x[at:], x[:at] + "y" * k + x[at + k :], x[:at] + "w" * (k // 2) + x[at:], x[: at // 2] + "v" + x[at // 2 : at] + "v" * (k - 1) + x[at:]):
+                    m = min(len(x), len(y))
+                    if min(4, m // 20) >= k and x != y:
+                        want.add(tuple(sorted((x, y))))
+                    lines |= {x, y}
+    of = {named(x): x for x in lines}
+    lines = sorted(lines)
+    df = documents(spark, ["\n".join(lines[i : i + 40]) for i in range(0, len(lines), 40)])
+    found = {tuple(sorted((of[tuple(r.a)], of[tuple(r.b)]))) for r in line_dedup.line_links(df).collect()}
+    assert want <= found and all(distance(*p) <= line_dedup.allowed(*p, None) for p in found - want)
+
+
+def test_lines_shorter_than_their_segments(spark):
+    texts = ["a\nb\nab\nabc\nxyz\nabcd\nabzd\n\u00e9\nab\u00e9"]
+    lines = texts[0].split("\n")
+    want = {tuple(sorted(p)) for p in itertools.combinations(lines, 2) if distance(*p) <= 2}
+    of = {named(x): x for x in lines}
+    found = {tuple(sorted((of[tuple(r.a)], of[tuple(r.b)]))) for r in line_dedup.line_links(documents(spark, texts), 2).collect()}
     assert found == want
 
 
@@ -43,5 +79,7 @@ def test_short_lines_have_rows_and_classes(spark, tmp_path):
         (4, 0): (4, 0, 0, True), (4, 1): (4, 1, 1, True), (5, 0): (4, 0, 0, False), (5, 1): (4, 1, 1, False),
         (6, 0): (0, 2, 0, False), (6, 1): (6, 1, 0, True),
     }
-    out = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df, least=20).collect()}
     assert out[1] == texts[1] and out[5] == "x" * 19 and out[6] == texts[6]
+    short = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df).collect()}
+    assert short == {0: texts[0], 1: "Of,", 2: None, 3: "", 4: texts[4], 5: "", 6: " "} or short == {0: texts[0], 1: "Of,", 2: None, 3: "", 4: texts[4], 6: " "}
