@@ -314,8 +314,10 @@ def line_links(docs: DataFrame, edits: int | None = None, doc_id: str = "doc_id"
         firsts = _firsts(lines_of(docs, doc_id, text, least))
     once = _keys(docs, edits, text, least).groupBy("h", "g").agg(F.first("keys").alias("keys"))
     asked = once.select("h", F.explode("keys").alias("k")).select("h", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
-    other = asked.select(F.col("h").alias("o"), F.col("key").alias("of"), F.col("own").alias("p"))
-    live = written(asked.join(other, (F.col("key") == F.col("of")) & (F.col("h") != F.col("o")) & (F.col("own") + F.col("p") > 0), "left_semi"), "line-keys")
+    # Without new names on either side, both are one and the same exchange.
+    x, y = asked.alias("x"), asked.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & (F.col("x.own") + F.col("y.own") > 0)
+    live = written(x.join(y, met, "left_semi"), "line-keys")
     ids = written(live.select("h").distinct(), "line-ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = written(_lines_at(docs, firsts.join(few, "h", "left_semi"), doc_id, text), "line-texts")
