@@ -184,3 +184,51 @@ def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         containment(nodes.where(F.array_contains("labels", "Artifact")), has, "id", "dst").select(F.lit("file outside the application").alias("rule"), "id"),
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+#: The label that a node is merged on, by its first facet or own label; other labels of the catalog merge on themselves.
+MERGED_ON = {"IaCApplication": "Application", "IaCValue": "ConfigKey", "HelmValue": "ConfigKey"} | {x: "Artifact" for x in FACETS if x not in ("IaCApplication", "IaCValue", "HelmValue")}
+#: Properties that a neutral label declares: written when a node is made, never again.
+NEUTRAL = {"Artifact": ("format", "id", "path", "sha256", "size_bytes", "source"), "ConfigKey": ("id", "name", "path", "span_json"), "Application": ("id",), "Package": ("id", "purl")}
+
+
+def merge_label(labels: Column) -> Column:
+    """The one label that all of a node's labels merge on; null where they disagree, and without labels."""
+    known = F.create_map(*(F.lit(x) for pair in MERGED_ON.items() for x in pair))
+    each = F.array_distinct(F.transform(labels, lambda x: F.coalesce(F.try_element_at(known, x), x)))
+    return F.when(F.size(each) == 1, F.get(each, F.lit(0)))
+
+
+def split_properties(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, labels, properties) with ``neutral`` properties, which their neutral labels declare, and ``owned`` ones, all others."""
+    declared = F.create_map(*(x for label, names in NEUTRAL.items() for x in (F.lit(label), F.array(*(F.lit(n) for n in names)))))
+    none = F.array().cast("array<string>")
+    names = F.flatten(F.transform("labels", lambda x: F.coalesce(F.try_element_at(declared, x), none)))
+    df = nodes.withColumn("__names", names)
+    neutral = F.map_filter("properties", lambda k, v: F.array_contains("__names", k))
+    owned = F.map_filter("properties", lambda k, v: ~F.array_contains("__names", k))
+    return df.withColumn("neutral", neutral).withColumn("owned", owned).drop("__names")
+
+
+def stamped(nodes: DataFrame, app: str, producer: str, version: str) -> DataFrame:
+    """Nodes with who made them: plain names on nodes that are wholly an analysis's, prefixed ones beside facets, none on others."""
+    facet = F.arrays_overlap("labels", F.array(*(F.lit(x) for x in FACETS)))
+    whole = F.arrays_overlap("labels", F.array(*(F.lit(x) for x in OWN_LABELS)))
+
+    def of(first: str, second: str) -> Column:
+        return F.create_map(F.lit(first), F.lit(producer), F.lit(second), F.lit(version), F.lit("iac_app_id"), F.lit(app))
+
+    stamp = F.when(whole, of("producer", "analyzer_version")).when(facet, of("iac_producer", "iac_analyzer_version"))
+    kept = F.map_filter("properties", lambda k, v: ~F.coalesce(F.map_contains_key(stamp, k), F.lit(False)))
+    return nodes.withColumn("properties", F.when(stamp.isNull(), F.col("properties")).otherwise(F.map_concat(kept, stamp)))
+
+
+def with_label(nodes: DataFrame, label: str) -> DataFrame:
+    """(id, labels, path) of the nodes that bear a label."""
+    return nodes.where(F.array_contains("labels", label)).select("id", F.array_join(F.array_sort("labels"), ",").alias("labels"), F.try_element_at("properties", F.lit("path")).alias("path"))
+
+
+def dereferenced(aliases: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(alias, id, labels) of the nodes that aliases (alias) stand for."""
+    to = edges.where("type = 'IAC_ALIAS_OF'").select(F.col("src").alias("alias"), F.col("dst").alias("id")).distinct()
+    return aliases.select("alias").distinct().join(to, "alias").join(nodes.select("id", F.array_join(F.array_sort("labels"), ",").alias("labels")), "id").select("alias", "id", "labels")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as ids
 from ..functions import values as v
-from ..operators import detection, diagnostics, documents, facts, graph, ownership, precedence, resolution
+from ..operators import detection, diagnostics, documents, facts, graph, layers, ownership, precedence, resolution
 from ..sources import sinks, workspace
 from . import pipeline
 from .catalog import query
@@ -581,6 +581,62 @@ def whole_text_upserts(t):
     return sinks.statements(nodes, nodes.where("false").select(F.lit("x").alias("type"), c("id").alias("src"), c("id").alias("dst")))
 
 
+# --- layers and nodes -----------------------------------------------------------------------------
+
+_PLACE = "CASE event_type WHEN 'view' THEN 'a' WHEN 'click' THEN 'a.b' WHEN 'error' THEN 'a.b.c' WHEN 'signup' THEN 'a.d' ELSE 'x' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS profile, event_id, {_PLACE} AS path, event_type AS value FROM events), l AS (SELECT profile, path, max(event_id) AS o, arg_max(value, event_id) AS value FROM e GROUP BY 1, 2)
+          SELECT profile, path, value FROM l WHERE NOT EXISTS (SELECT 1 FROM l k WHERE k.profile = l.profile AND k.o > l.o AND (starts_with(l.path, k.path || '.') OR starts_with(k.path, l.path || '.')))""")
+def layered_values(t):
+    """Every event as a layer that sets one leaf; later ones replace what is at, above or below it."""
+    kind = c("event_type")
+    place = F.when(kind == "view", "a").when(kind == "click", "a.b").when(kind == "error", "a.b.c").when(kind == "signup", "a.d").otherwise("x")
+    return layers.layered_values(t("events").select(c("user_id").alias("profile"), c("event_id").alias("ordinal"), place.alias("path"), kind.alias("value")))
+
+
+@query("""SELECT DISTINCT l_orderkey AS owner, l_returnflag AS name FROM lineitem WHERE l_quantity > 25 EXCEPT SELECT l_orderkey, l_returnflag FROM lineitem WHERE l_quantity <= 25""")
+def missing_dependencies(t):
+    d = t("lineitem").select(c("l_orderkey").alias("owner"), c("l_returnflag").alias("name"), (c("l_quantity") > 25).alias("declared"))
+    return layers.missing_dependencies(d.where("declared"), d.where("not declared").select(c("owner").alias("parent"), c("name").alias("child_name")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag || CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) > 1 THEN ':' || l_linenumber ELSE '' END AS address FROM lineitem""")
+def numbered_resources(t):
+    d = t("lineitem").select("l_orderkey", "l_linenumber", c("l_returnflag").alias("address"))
+    return layers.numbered(d, "l_orderkey", "address", "l_linenumber")
+
+
+@query("""SELECT user_id AS id, CASE WHEN count(DISTINCT m) = 1 THEN min(m) END AS merge_label FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'Artifact' WHEN 'view' THEN 'Artifact' ELSE 'HelmRender' END AS m FROM events WHERE value > 70) GROUP BY 1""")
+def merge_labels(t):
+    kind = c("event_type")
+    label = F.when(kind == "click", "HelmValues").when(kind == "view", "Artifact").otherwise("HelmRender")
+    d = t("events").where("value > 70").groupBy(c("user_id").alias("id")).agg(F.collect_set(label).alias("labels"))
+    return d.select("id", graph.merge_label(c("labels")).alias("merge_label"))
+
+
+@query("""SELECT page_id, 'path=' || url AS neutral, 'helm_name=' || length(html) AS owned FROM pages""")
+def split_node_properties(t):
+    n = t("pages").select("page_id", F.array(F.lit("Artifact"), F.lit("HelmChart")).alias("labels"), F.create_map(F.lit("path"), c("url"), F.lit("helm_name"), F.length("html").cast("string")).alias("properties"))
+    told = lambda x: F.array_join(F.transform(F.map_entries(x), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return graph.split_properties(n).select("page_id", told("neutral").alias("neutral"), told("owned").alias("owned"))
+
+
+@query("""SELECT o_orderkey AS id, 'Artifact,IaCArtifact' AS labels, o_orderpriority AS path FROM orders WHERE o_orderstatus = 'F'""")
+def artifacts_by_label(t):
+    labels = F.when(c("o_orderstatus") == "F", F.array(F.lit("IaCArtifact"), F.lit("Artifact"))).otherwise(F.array(F.lit("Artifact")))
+    nodes = t("orders").select(c("o_orderkey").alias("id"), labels.alias("labels"), F.create_map(F.lit("path"), c("o_orderpriority")).alias("properties"))
+    return graph.with_label(nodes, "IaCArtifact")
+
+
+@query("""SELECT DISTINCT l_orderkey * 10 + l_linenumber AS alias, l_partkey AS id, p_brand AS labels FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A'""")
+def alias_targets(t):
+    alias = (c("l_orderkey") * 10 + c("l_linenumber")).alias("alias")
+    family = F.when(c("l_returnflag") == "A", "IAC_ALIAS_OF").otherwise("IAC_PRODUCES")
+    edges = t("lineitem").select(family.alias("type"), alias.alias("src"), c("l_partkey").alias("dst"))
+    return graph.dereferenced(t("lineitem").select(alias), edges, t("part").select(c("p_partkey").alias("id"), F.array("p_brand").alias("labels")))
+
+
 # --- the whole analysis ---------------------------------------------------------------------------
 
 

@@ -131,3 +131,22 @@ def test_deep_trees(spark):
     edges = spark.range(120).selectExpr("id AS parent", "id + 1 AS child")
     assert ownership.walk(edges, spark.createDataFrame([(0,)], "root long")).count() == 121
     assert not facts.duplicates(edges, ["parent"]).take(1)
+
+
+def test_stamps_and_default_profiles(spark):
+    from lodeline.operators import layers
+
+    nodes = spark.createDataFrame([("f", ["Artifact", "HelmChart"], {"path": "p", "iac_producer": "old"}), ("w", ["HelmRender"], {"x": "y"}), ("a", ["Artifact"], {"path": "q"})], NODE)
+    found = {r.id: r.properties for r in graph.stamped(nodes, "app", "lodeline", "1").collect()}
+    assert found["f"] == {"path": "p", "iac_producer": "lodeline", "iac_analyzer_version": "1", "iac_app_id": "app"}
+    assert found["w"] == {"x": "y", "producer": "lodeline", "analyzer_version": "1", "iac_app_id": "app"} and found["a"] == {"path": "q"}
+    rows = layers.default_profiles(spark.createDataFrame([("c1",), ("c1",), ("c2",)], "chart string"), "app").collect()
+    assert sorted((r.chart, r.profile, r.name) for r in rows) == [(x, f"can://iac/app/default-profile/{x}", "default") for x in ("c1", "c2")]
+
+
+def test_layers_over_trees(spark):
+    from lodeline.operators import layers
+
+    rows = [("p", 0, "a.b", "1"), ("p", 0, "a.c", "2"), ("p", 1, "a.b", "3"), ("p", 2, "k", "4"), ("p", 3, "k.m", "5"), ("p", 0, "z.y.x", "6"), ("p", 4, "z", "7"), ("q", 9, "a", "8")]
+    found = layers.layered_values(spark.createDataFrame(rows, "profile string, ordinal int, path string, value string")).collect()
+    assert {tuple(r) for r in found} == {("p", "a.b", "3"), ("p", "a.c", "2"), ("p", "k.m", "5"), ("p", "z", "7"), ("q", "a", "8")}
