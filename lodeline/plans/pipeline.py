@@ -38,6 +38,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     if level not in LEVELS:
         raise ValueError(f"level {level} is none of {LEVELS}")
     visible(artifacts.sparkSession)
+    artifacts = written(artifacts, "artifacts")
     charts, invalid = (written(df, tag) for df, tag in zip(_charts(artifacts), ("charts", "invalid-charts"), strict=True))
     files = artifacts.where(~detection.excluded(F.col("path")) & (F.col("source") != ""))
     owned = ownership.nearest_ancestor(files, "path", charts, "directory", "chart").where("chart IS NOT NULL").join(charts, "chart")
