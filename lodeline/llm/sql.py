@@ -45,3 +45,12 @@ WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] A
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.x, c.x)])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10"""
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+s AS (SELECT r, i, w[i:i + 34] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+h AS (SELECT r, i FROM s JOIN (SELECT x FROM s GROUP BY x HAVING count(*) > 1) USING (x)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM h),
+w AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM w ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
