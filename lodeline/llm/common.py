@@ -70,6 +70,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def turns(df: DataFrame, key: str, entries: int) -> Iterator[pa.Table]:
+    """The rows of a written table in turns of about ``entries`` rows, all rows of a key in one turn.
+
+    Each turn is small enough for the driver and for every task; an empty table has no turn.
+    """
+    n = -(-df.count() // entries)
+    for turn in range(n):
+        part = df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == turn)
+        rows = part.toArrow()
+        if len(rows):
+            yield rows
+
+
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from . import line_dedup, minhash_dedup, packing, quality_classifier, secret_scans, sentencepieces, sql, token_counts
 from .exact_topk import exact_topk
+from .lexical_search import lexical_search
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .url_filters import url_filter
@@ -69,6 +70,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digest(secret_scans.secret_scan(docs, repository="repository"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -85,11 +90,12 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
+    "op11_lexical_search": op11_lexical_search,
     "op12_substring_dedup": op12_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
 #: Edit joins, packing, tokenizers, the classifier and spans with their places are tested against brute force instead.
-ORACLE_SQL = {"op1_quality_rules": sql.QUALITY_RULES, "op2_url_filters": sql.URL_FILTERS, "op7_minhash_dedup": sql.MINHASH_DEDUP, "op8_exact_topk": sql.EXACT_TOPK, "op12_substring_dedup": sql.SUBSTRING_DEDUP}
+ORACLE_SQL = {"op1_quality_rules": sql.QUALITY_RULES, "op2_url_filters": sql.URL_FILTERS, "op7_minhash_dedup": sql.MINHASH_DEDUP, "op8_exact_topk": sql.EXACT_TOPK, "op11_lexical_search": sql.LEXICAL_SEARCH, "op12_substring_dedup": sql.SUBSTRING_DEDUP}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

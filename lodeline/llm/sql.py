@@ -54,3 +54,13 @@ c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM h),
 w AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
 k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM w ANTI JOIN c USING (r, p) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+LEXICAL_SEARCH = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+x AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY 1), g),
+s AS (SELECT item_id, f.r, sum(x.w * (1000000000 * tf // (1000 * tf + 8 * (100 - 90 + 90 * len(t.w) * n // l))))::BIGINT AS score FROM q JOIN f USING (term) JOIN x USING (term) JOIN t ON t.r = f.r, g GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s JOIN t USING (r) WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
