@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from . import line_dedup, minhash_dedup, packing, quality_classifier, secret_scans, sentencepieces, sql, token_counts
 from .exact_topk import exact_topk
+from .hard_negatives import hard_negatives
 from .lexical_search import lexical_search
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -79,6 +80,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -92,10 +99,11 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_lexical_search": op11_lexical_search,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
 #: Edit joins, packing, tokenizers, the classifier and spans with their places are tested against brute force instead.
-ORACLE_SQL = {"op1_quality_rules": sql.QUALITY_RULES, "op2_url_filters": sql.URL_FILTERS, "op7_minhash_dedup": sql.MINHASH_DEDUP, "op8_exact_topk": sql.EXACT_TOPK, "op11_lexical_search": sql.LEXICAL_SEARCH, "op12_substring_dedup": sql.SUBSTRING_DEDUP}
+ORACLE_SQL = {"op1_quality_rules": sql.QUALITY_RULES, "op2_url_filters": sql.URL_FILTERS, "op7_minhash_dedup": sql.MINHASH_DEDUP, "op8_exact_topk": sql.EXACT_TOPK, "op11_lexical_search": sql.LEXICAL_SEARCH, "op12_substring_dedup": sql.SUBSTRING_DEDUP, "op13_hard_negatives": sql.HARD_NEGATIVES}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
