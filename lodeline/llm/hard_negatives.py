@@ -36,20 +36,23 @@ class VantageTree:
         self.most = float(norms.max())
         aside = np.sqrt(self.most - norms)
         order = np.arange(len(ids))
-        #: Of each node: rows from and to, vantage row's vector (augmented) and distances to it (least, most), children.
+        #: Of each node: rows from and to, its two children.
         self.nodes: list[tuple[int, int, int, int]] = []
-        self.near, self.far, self.points = [], [], []
-        todo = [(0, len(ids), -1)]
+        #: And its vantage row (augmented), how far its rows are from that at most, and the shell around the vantage row above.
+        points, reach, above_, near, far = [], [], [], [], []
+        todo = [(0, len(ids), -1, 0.0, np.inf)]
         while todo:
-            low, high, above = todo.pop()
+            low, high, above, least, most = todo.pop()
             own = order[low:high]
             # The row farthest from the first one lies at the rim, where shells are thin.
             p = own[int(np.argmin(x[own] @ x[own[0]] + aside[own] * aside[own[0]]))]
             away = np.sqrt(np.maximum(2 * self.most - 2 * (x[own] @ x[p] + aside[own] * aside[p]), 0))
             node = len(self.nodes)
-            self.points.append(np.append(x[p], aside[p]))
-            self.near.append(float(away.min()))
-            self.far.append(float(away.max()))
+            points.append(np.append(x[p], aside[p]))
+            reach.append(float(away.max()))
+            above_.append(max(above, 0))
+            near.append(least)
+            far.append(most)
             self.nodes.append((low, high, -1, -1))
             if above >= 0:
                 a, b, left, right = self.nodes[above]
@@ -57,18 +60,18 @@ class VantageTree:
             if high - low > LEAF:
                 half = (high - low) // 2
                 by = np.argpartition(away, half)
-                order[low:high] = own[by]
-                todo += [(low + half, high, node), (low, low + half, node)]
+                order[low:high], away = own[by], away[by]
+                todo += [(low + half, high, node, float(away[half]), float(away.max())), (low, low + half, node, float(away.min()), float(away[:half].max()))]
         self.ids, self.labels, self.x = ids[order], labels[order], x[order]
-        self.points = np.array(self.points)
-        self.near, self.far = np.array(self.near), np.array(self.far)
+        self.points, self.above = np.array(points), np.array(above_)
+        self.reach, self.near, self.far = np.array(reach), np.array(near), np.array(far)
 
     def nearest_first(self, query: np.ndarray) -> Iterator[tuple[float, float, int]]:
         """Leaves as (least and most possible distance, node), nearest first."""
         away = np.sqrt(np.maximum(self.most + float(query @ query) - 2 * (self.points[:, :-1] @ query), 0))
-        # The anchor's augmented norm isn't M, its distance to a vantage point is still a distance.
-        least = np.maximum(np.maximum(self.near - away, away - self.far), 0)
-        most = self.far + away
+        round_ = away[self.above]
+        least = np.maximum.reduce([away - self.reach, self.near - round_, round_ - self.far, np.zeros(len(away))])
+        most = np.minimum(away + self.reach, round_ + self.far)
         slack = SLACK * (1 + self.most**0.5)
         heap = [(least[0] - slack, 0)]
         while heap:
