@@ -174,7 +174,8 @@ def test_long_vectors_stop_the_job(spark):
 
 def test_a_walk_leaves_subtrees_out():
     rng = np.random.RandomState(5)
-    x = np.floor(rng.randn(4000, 2) * 400)
+    x = rng.randn(4000, 3)
+    x = np.floor(400 * x / np.linalg.norm(x, axis=1)[:, None])
     tree = hard_negatives.VantageTree(np.arange(4000), np.zeros(4000, int), x)
     leaves = sum(left < 0 for *_, left, _ in tree.nodes)
     query, seen = x[17], 0
