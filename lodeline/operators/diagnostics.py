@@ -45,6 +45,12 @@ def of(app: str, artifacts: DataFrame, tables: dict[str, DataFrame]) -> DataFram
         d = tables["dependencies"]
         found.append(diagnostic(d.where("candidates > 1"), app, "IAC_HELM_AMBIGUOUS_VENDORED_DEPENDENCY", "warning", "resolve", F.format_string("%s fits %d charts", "name", "candidates"), about=F.col("dependency")))
         found.append(diagnostic(d.where("candidates = 0 AND incompatible > 0"), app, "IAC_HELM_INCOMPATIBLE_VENDORED_DEPENDENCY", "warning", "resolve", F.format_string("%d charts near %s don't fit", "incompatible", "name"), about=F.col("dependency")))
+    if "outcomes" in tables:
+        # Both are about the chart at the root of the tree.
+        open_ = tables["outcomes"].where("outcomes > 1").groupBy(F.col("tree").alias("artifact_id"), "name").agg(F.max("outcomes").alias("n"))
+        found.append(diagnostic(open_, app, "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET", "warning", "resolve", F.format_string("%s has %d possible targets", "name", "n"), about=F.concat(F.lit("name "), "name")))
+        places = tables["shared_places"].withColumnRenamed("tree", "artifact_id")
+        found.append(diagnostic(places, app, "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET", "warning", "resolve", F.format_string("%s is %d files", "file", "n"), about=F.concat(F.lit("file "), "file")))
     return reduce(DataFrame.unionByName, found)
 
 

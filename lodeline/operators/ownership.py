@@ -30,22 +30,26 @@ def vendored_children(charts: DataFrame, chart: str = "chart", directory: str =
     return child.join(parent, "at").select("parent", "child", "folder", F.col("folder").rlike("^[_.]").alias("hidden"))
 
 
-def walk(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", name: str | None = None) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", name: str | None = None, choice: str | None = None) -> DataFrame:
     """(root, node, depth, path) reached from each root, with ``name`` also the names of the edges taken; a branch ends where it meets itself.
 
+    With ``choice``, which says of an edge what it is one of several alternatives for (null: it is the
+    only one), also ``group`` and ``alternative``: the first such choice on the way and the node taken.
     Spark's limits on the levels and rows of a recursion are lifted for the session: it ends by itself.
     """
     spark = edges.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     tag = uuid.uuid4().hex[:12]
-    edges.select(F.col(parent).alias("p"), F.col(child).alias("c"), (F.col(name) if name else F.lit("")).alias("n")).createOrReplaceTempView(f"edges_{tag}")
+    own = [F.col(parent).alias("p"), F.col(child).alias("c"), (F.col(name) if name else F.lit("")).alias("n"), (F.col(choice) if choice else F.lit(None)).cast("string").alias("o")]
+    edges.select(*own).createOrReplaceTempView(f"edges_{tag}")
     roots.select(F.col(root).alias("r")).createOrReplaceTempView(f"roots_{tag}")
+    group = "coalesce(t.group, CASE WHEN e.o IS NOT NULL THEN concat_ws('|', cast(t.node AS string), array_join(t.names, '/'), e.o) END)"
     return spark.sql(
-        f"""WITH RECURSIVE t(root, node, depth, path, names) AS (
-              SELECT r, r, 0, array(r), cast(array() AS array<string>) FROM roots_{tag}
+        f"""WITH RECURSIVE t(root, node, depth, path, names, group, alternative) AS (
+              SELECT r, r, 0, array(r), cast(array() AS array<string>), cast(null AS string), cast(null AS string) FROM roots_{tag}
               UNION ALL
-              SELECT t.root, e.c, t.depth + 1, array_append(t.path, e.c), {"array_append(t.names, e.n)" if name else "t.names"} FROM t JOIN edges_{tag} e ON e.p = t.node
-              WHERE NOT array_contains(t.path, e.c))
-            SELECT root, node, depth, path{", names" if name else ""} FROM t"""
+              SELECT t.root, e.c, t.depth + 1, array_append(t.path, e.c), {"array_append(t.names, e.n)" if name else "t.names"}, {group}, coalesce(t.alternative, CASE WHEN e.o IS NOT NULL THEN cast(e.c AS string) END)
+              FROM t JOIN edges_{tag} e ON e.p = t.node WHERE NOT array_contains(t.path, e.c))
+            SELECT root, node, depth, path{", names" if name else ""}{", group, alternative" if choice else ""} FROM t"""
     )

@@ -48,6 +48,55 @@ def call_targets(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     return calls.join(template_winners(definitions), ["tree", "name"], "left")
 
 
+def possible_winners(sources: DataFrame, definitions: DataFrame, groups: DataFrame) -> DataFrame:
+    """(tree, name, target, outcomes, absent): every template that may win a name of a tree, a row each.
+
+    ``sources`` (tree, file, source, group, alternative) are the template files that may stand at a
+    place of the tree, those without a group for certain; ``groups`` (tree, group, alternatives) tell
+    how many alternatives a group has; ``definitions`` (tree, file, source, group, alternative, name,
+    target, start, empty) are what sources define. outcomes: how many may win; absent: whether the name
+    may also be undefined (then target may be null, in a row of its own if nothing else may win).
+
+    Places load deepest first and, equally deep, by falling name. A place whose every alternative
+    defines the name, not empty, ends all that came before; others add theirs. Empty definitions count
+    only while the name may be undefined: until the first place that defines it in any case. So the set
+    of winners follows from the last place that ends and the first one that defines, without a fold.
+    A tree in which one source defines a name twice, neither empty, has no winners.
+    """
+    at = ["tree", "file", "source", "group", "alternative"]
+    one = definitions.groupBy(*at, "name").agg(F.count_if(~F.col("empty")).alias("full"), F.max_by("target", F.struct(~F.col("empty"), "start", "target")).alias("target"))
+    one = one.join(one.where("full > 1").select("tree").distinct(), "tree", "left_anti").withColumn("full", F.col("full") > 0)
+    present = sources.groupBy("tree", "file", "group").agg(F.count("*").alias("n"), F.count_distinct("alternative").alias("present")).join(groups, ["tree", "group"], "left")
+    always = F.coalesce(F.bool_or(F.col("group").isNull() | (F.col("present") == F.col("alternatives"))), F.lit(False))
+    places = present.groupBy("tree", "file").agg(F.sum("n").alias("sources"), always.alias("always"))
+    said = one.groupBy("tree", "file", "name").agg(F.count("*").alias("defined"), F.count_if("full").alias("full_ones")).join(places, ["tree", "file"])
+    # The later a place loads, the smaller this is.
+    load = F.struct(F.size(F.split("file", "/")), F.col("file"))
+    ends = F.when(F.col("always") & (F.col("full_ones") == F.col("sources")), load)
+    defines = F.when(F.col("always") & (F.col("defined") == F.col("sources")), load)
+    names = said.groupBy("tree", "name").agg(F.min(ends).alias("ends"), F.max(defines).alias("defines"))
+    each = one.join(names, ["tree", "name"])
+    fits = F.when(F.col("full"), F.col("ends").isNull() | (load <= F.col("ends"))).otherwise(F.col("ends").isNull() & (F.col("defines").isNull() | (load >= F.col("defines"))))
+    won = each.where(fits).select("tree", "name", "target").distinct()
+    names = names.select("tree", "name", (F.col("ends").isNull() & F.col("defines").isNull()).alias("absent"))
+    counted = names.join(won.groupBy("tree", "name").agg(F.count("*").alias("n")), ["tree", "name"], "left")
+    counted = counted.select("tree", "name", "absent", (F.coalesce("n", F.lit(0)) + F.col("absent").cast("int")).alias("outcomes"))
+    return counted.join(won, ["tree", "name"], "left").select("tree", "name", "target", "outcomes", "absent")
+
+
+def certain_callers(sources: DataFrame, groups: DataFrame) -> DataFrame:
+    """(tree, source) of the files that are in every possible render of their tree, whose calls may have a target.
+
+    Such a file stands at some place for certain, alone there; a file that is there only by a choice,
+    or shares its place with another one, is not.
+    """
+    present = sources.groupBy("tree", "file", "group").agg(F.count_distinct("alternative").alias("present"), F.min("source").alias("low"), F.max("source").alias("high")).join(groups, ["tree", "group"], "left")
+    always = F.coalesce(F.bool_or(F.col("group").isNull() | (F.col("present") == F.col("alternatives"))), F.lit(False))
+    places = present.groupBy("tree", "file").agg(always.alias("always"), F.min("low").alias("low"), F.max("high").alias("high"))
+    certain = sources.where("group IS NULL").select("tree", "source").distinct()
+    return places.where("always AND low = high").select("tree", F.col("low").alias("source")).distinct().join(certain, ["tree", "source"], "left_semi")
+
+
 def value_targets(references: DataFrame, keys: DataFrame) -> DataFrame:
     """References (chart, path) with the key of the strongest values file of the chart, where it is one."""
     return resolve_references(references, keys, ["chart", "path"], "priority", "key")

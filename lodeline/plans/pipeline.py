@@ -75,17 +75,37 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     children = written(ownership.vendored_children(charts).join(charts.select(F.col("chart").alias("child"), F.col("name").alias("child_name"), "version"), "child"), "children")
     out["dependencies"] = written(_dependencies(artifacts, detections, charts, children), "dependencies")
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
-    ways = enablement.links(children, out["dependencies"])
-    trees = enablement.trees(written(ways, "ways"), roots, out["dependencies"], written(enablement.switches(declared), "switches"))
-    # A chart that is there twice lends its templates once.
-    trees = written(trees.groupBy("tree", "chart").agg(F.min("depth").alias("depth")), "trees")
+    ways = written(enablement.links(children, out["dependencies"]), "ways")
+    trees = enablement.trees(ways, roots, out["dependencies"], written(enablement.switches(declared), "switches"))
+    # Where a chart stands in a tree, and all the templates that may stand at a place there.
+    named = charts.select(F.col("chart").alias("tree"), F.col("name").alias("root"))
+    here = trees.join(named, "tree").withColumn("at", F.concat_ws("/", F.array("root"), F.transform("names", lambda n: F.concat(F.lit("charts/"), n))))
+    trees = written(here.select("tree", "chart", "depth", "at", "group", "alternative"), "trees")
     out["trees"] = trees
     # Library charts lend their helpers only.
     lent = (F.col("type") != "library") | F.startswith(base_name(F.col("file")), F.lit("_"))
-    defined = out["templates"].join(of.where(lent), "artifact_id").join(trees.withColumnRenamed("depth", "tree_depth"), "chart")
-    defined = defined.select("tree", "name", F.col("artifact_id").alias("template"), F.size(F.split("file", "/")).alias("depth"), F.col("file").alias("path"), "start", "empty")
-    calls = out["calls"].where("name IS NOT NULL AND kind <> 'tpl'").join(of.select("artifact_id", "chart"), "artifact_id").join(trees, "chart")
-    out["call_targets"] = resolution.call_targets(calls.select("tree", "name", "artifact_id", "line"), defined)
+    inside = F.when(F.col("directory") == ".", F.col("file")).otherwise(F.substr(F.col("file"), F.length("directory") + 2))
+    files = of.where(lent).join(charts.select("chart", "directory"), "chart").join(detections.where("kind = 'helm_template'").select("artifact_id"), "artifact_id", "left_semi")
+    sources = trees.join(files.select("chart", "artifact_id", inside.alias("inside")), "chart")
+    sources = sources.select("tree", F.concat_ws("/", "at", "inside").alias("file"), F.col("artifact_id").alias("source"), "group", "alternative")
+    sources = written(sources, "sources")
+    possible = ways.where("choice IS NOT NULL").groupBy("choice").agg(F.count_distinct("child").alias("alternatives"))
+    groups = sources.where("group IS NOT NULL").select("tree", "group").distinct().withColumn("choice", F.element_at(F.split("group", r"\|"), -1)).join(possible, "choice").drop("choice")
+    groups = written(groups, "groups")
+    templates = out["templates"].withColumn("template", F.concat_ws("#", "artifact_id", "start"))
+    defined = sources.join(templates.select(F.col("artifact_id").alias("source"), "name", F.col("template").alias("target"), "start", "empty"), "source")
+    outcomes = written(resolution.possible_winners(sources, defined, groups), "outcomes")
+    out["outcomes"] = outcomes
+    callers = resolution.certain_callers(sources, groups)
+    calls = out["calls"].where("name IS NOT NULL AND kind <> 'tpl'").join(sources.select("tree", F.col("source").alias("artifact_id")).distinct(), "artifact_id")
+    calls = calls.select("tree", "name", "artifact_id", "line").distinct().join(callers.select("tree", F.col("source").alias("artifact_id"), F.lit(True).alias("certain")), ["tree", "artifact_id"], "left")
+    # A call of a file that is there in any case has the target that wins in any case; every call has its possible ones.
+    won = outcomes.where("outcomes = 1 AND NOT absent").select("tree", "name", "target")
+    aimed = calls.join(won, ["tree", "name"], "left").withColumn("target", F.when(F.col("certain"), F.col("target")))
+    out["call_targets"] = aimed.select("tree", "name", "artifact_id", "line", F.substring_index("target", "#", 1).alias("template"), "target")
+    out["possible_targets"] = calls.join(outcomes.where("target IS NOT NULL"), ["tree", "name"]).select("tree", "name", "artifact_id", "line", F.coalesce("certain", F.lit(False)).alias("certain"), "target", "outcomes", "absent")
+    shared = sources.where("group IS NULL").groupBy("tree", "file").agg(F.count_distinct("source").alias("n")).where("n > 1")
+    out["shared_places"] = shared
     out["diagnostics"] = diagnostics.of(app, artifacts, out)
     return out
 
