@@ -64,6 +64,7 @@ def possible_winners(sources: DataFrame, definitions: DataFrame, groups: DataFra
     A tree in which one source defines a name twice, neither empty, has no winners.
     """
     at = ["tree", "file", "source", "group", "alternative"]
+    sources = sources.select(*at).distinct()
     one = definitions.groupBy(*at, "name").agg(F.count_if(~F.col("empty")).alias("full"), F.max_by("target", F.struct(~F.col("empty"), "start", "target")).alias("target"))
     one = one.join(one.where("full > 1").select("tree").distinct(), "tree", "left_anti").withColumn("full", F.col("full") > 0)
     present = sources.groupBy("tree", "file", "group").agg(F.count("*").alias("n"), F.count_distinct("alternative").alias("present")).join(groups, ["tree", "group"], "left")

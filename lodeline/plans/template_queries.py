@@ -10,9 +10,11 @@ from .catalog import query
 c = F.col
 
 
-_SOURCES = """s AS (SELECT l_orderkey AS tree, CASE WHEN l_partkey % 4 = 0 THEN 'd/' ELSE '' END || 'f' || (l_partkey % 3) AS file, l_linenumber AS source, CASE WHEN l_suppkey % 3 > 0 THEN 'g' || (l_suppkey % 3) END AS grp,
+_SOURCES = """d AS (SELECT l_orderkey AS tree, CASE WHEN l_partkey % 4 = 0 THEN 'd/' ELSE '' END || 'f' || (l_partkey % 3) AS file, l_linenumber AS source, CASE WHEN l_suppkey % 3 > 0 THEN 'g' || (l_suppkey % 3) END AS grp,
              CASE WHEN l_suppkey % 3 > 0 THEN 'a' || (l_linenumber % 2) END AS alt, l_linestatus = 'O' AND l_partkey % 2 = 0 AS empty, l_returnflag AS name, l_suppkey AS target FROM lineitem),
-          pr AS (SELECT tree, file, grp, count(*) AS n, count(DISTINCT alt) AS present FROM s GROUP BY ALL),
+          x AS (SELECT tree FROM d WHERE NOT empty GROUP BY tree, file, source, grp, alt, name HAVING count(*) > 1),
+          s AS (SELECT tree, file, source, grp, alt, name, NOT bool_or(NOT empty) AS empty, arg_max(target, CASE WHEN empty THEN 0 ELSE 1000000 END + target) AS target FROM d WHERE tree NOT IN (SELECT tree FROM x) GROUP BY ALL),
+          pr AS (SELECT tree, file, grp, count(*) AS n, count(DISTINCT alt) AS present FROM (SELECT DISTINCT tree, file, source, grp, alt FROM d) GROUP BY ALL),
           pl AS (SELECT tree, file, sum(n) AS n, bool_or(grp IS NULL OR present = 2) AS always FROM pr GROUP BY ALL),
           c AS (SELECT tree, file, name, count(*) = any_value(n) AND any_value(always) AS defines, count(*) FILTER (NOT empty) = any_value(n) AND any_value(always) AS ends FROM s JOIN pl USING (tree, file) GROUP BY ALL),
           q AS (SELECT *, dense_rank() OVER (PARTITION BY tree ORDER BY len(string_split(file, '/')) DESC, file DESC) AS nth FROM c),
@@ -28,7 +30,7 @@ def possible_winners(t):
     choice = c("l_suppkey") % 3 > 0
     file = F.concat(F.when(c("l_partkey") % 4 == 0, "d/").otherwise(""), F.lit("f"), (c("l_partkey") % 3).cast("string"))
     group, alternative = F.when(choice, F.concat(F.lit("g"), (c("l_suppkey") % 3).cast("string"))), F.when(choice, F.concat(F.lit("a"), (c("l_linenumber") % 2).cast("string")))
-    sources = t("lineitem").select(c("l_orderkey").alias("tree"), file.alias("file"), c("l_linenumber").alias("source"), group.alias("group"), alternative.alias("alternative"), c("l_returnflag").alias("name"), c("l_suppkey").alias("target"), c("l_linenumber").alias("start"), ((c("l_linestatus") == "O") & (c("l_partkey") % 2 == 0)).alias("empty"))
+    sources = t("lineitem").select(c("l_orderkey").alias("tree"), file.alias("file"), c("l_linenumber").alias("source"), group.alias("group"), alternative.alias("alternative"), c("l_returnflag").alias("name"), c("l_suppkey").alias("target"), F.lit(0).alias("start"), ((c("l_linestatus") == "O") & (c("l_partkey") % 2 == 0)).alias("empty"))
     groups = sources.where("group IS NOT NULL").select("tree", "group").distinct().withColumn("alternatives", F.lit(2))
     return resolution.possible_winners(sources, sources, groups)
 
@@ -41,7 +43,7 @@ _DEFINE = "'{{- define \"a\" }}' || chr(10) || '---' || chr(10) || '{{ end -}}'
 @query(f"""WITH x AS (SELECT 'c' || conv_id || '-' || turn || '-' || role AS artifact_id, turn, role, {_SAID} AS said, {_HEAD} AS head, {_DEFINE} AS d FROM conversations WHERE text IS NOT NULL),
           y AS (SELECT *, strlen(head) + strlen(d) AS upto, len([l FOR l IN string_split(said, chr(10)) IF trim(l) <> '']) > 0 AS says, strlen(said) - strlen(ltrim(said, ' ' || chr(10))) AS blank FROM x),
           z AS (SELECT artifact_id, 0 AS part, CASE WHEN turn % 3 = 0 THEN 0 ELSE upto + blank END AS start, upto + strlen(said) + 1 AS stop FROM y WHERE says
-                UNION ALL SELECT artifact_id, 1, upto + strlen(said) + 1 + 4 + 16 + 4, upto + strlen(said) + 1 + 4 + 16 + 4 + 6 + strlen(role) FROM y)
+                UNION ALL SELECT artifact_id, 1, upto + strlen(said) + 1 + 4 + 15 + 4, upto + strlen(said) + 1 + 4 + 15 + 4 + 6 + strlen(role) FROM y)
           SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY part)::INTEGER - 1 AS nth, start::BIGINT AS start, stop::BIGINT AS stop FROM z""")
 def template_regions(t):
     """Documents of a file for each turn: a sign or nothing, a definition with a separator in it, the whole text, a comment with one, and a key."""
