@@ -111,11 +111,3 @@ def test_groups_are_not_gathered(spark, tmp_path):
     assert found == want
     for name, at in (("input_hashes", str(tmp_path)), ("normalised_roles", DATA), ("node_allowlist", DATA)):
         assert "collect_list" not in entry.queries()[name](spark, at)._jdf.queryExecution().toString()
-
-
-def test_a_pair_at_the_threshold_is_hardly_ever_missed():
-    from math import comb
-
-    from lodeline.llm import minhash_dedup as m
-
-    assert sum(comb(m.RETAINED, i) * 0.8**i * 0.2 ** (m.RETAINED - i) for i in range(m.SHARED)) < 1e-7
