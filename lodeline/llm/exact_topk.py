@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Candidates of a block, and queries that are asked of it at a time.
@@ -163,6 +163,11 @@ class Block:
         return out
 
 
+def _block(n: int) -> Column:
+    """One of n blocks for each row of a table, whatever its id: rows that share one are dealt out too."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products of floor(1024 * x), ties to the smaller id.
 
@@ -204,7 +209,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     candidates = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
     n = max(1, -(-candidates.count() // BLOCK))
-    left = candidates.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "x")
+    left = candidates.select(_block(n).alias("block"), F.lit(0).alias("asks"), "vec_id", "x")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "x")
     rows = left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "asks")
     met = rows.mapInArrow(run, "query_id long, vec_id long, score long")

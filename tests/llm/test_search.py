@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodeline.llm import hard_negatives, lexical_search, substring_dedup
+from lodeline.llm import exact_topk, hard_negatives, lexical_search, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -191,3 +192,11 @@ def test_a_walk_leaves_subtrees_out():
     best.add = counted
     hard_negatives._walk(tree, 17, 1, query, best, same=False)
     assert best.scores[0].tolist() == scores[(scores <= scores[200])][:5].tolist() and seen < leaves / 2
+
+
+def test_rows_of_one_id_are_dealt_to_all_blocks(spark):
+    df = spark.range(0, 30_000, 1, 3).select(F.lit(5).alias("vec_id")).select(exact_topk._block(4).alias("b"))
+    assert all(6_500 < r["count"] < 8_500 for r in df.groupBy("b").count().collect())
+    vectors = spark.createDataFrame([(5, [float(i % 7), 1.0]) for i in range(9000)] + [(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = exact_topk.exact_topk(vectors, vectors.where("vec_id = 1"), k=3).collect()
+    assert sorted(map(tuple, got)) == [(1, r, 5, 6 * 1024 * 1024) for r in (1, 2, 3)]
