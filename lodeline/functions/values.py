@@ -108,72 +108,3 @@ def package_url(repository: Column, name: Column) -> Column:
     fits = (host != "") & (path == F.lower(path)) & ~odd & (own != "") & (own == F.lower(own)) & ~F.contains(own, F.lit("/")) & ~F.contains(path, F.lit("%"))
     place = F.concat_ws("/", F.lower(host), F.when(path != "", path), own)
     return F.when(fits, F.concat(F.lit("pkg:oci/"), encode_segment(own), F.lit("?repository_url="), encode_segment(place)))
-
-
-_NUMBERS = r"^[vV=]?([0-9]+)(?:\.([0-9]+|[xX*]))?(?:\.([0-9]+|[xX*]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\z"
-_WHOLE = r"^v?([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\z"
-
-
-def _ordered_version(text: Column, pattern: str) -> Column:
-    """struct(numbers, release, marks) that sorts as versions do; metadata after ``+`` doesn't count.
-
-    release: 1, or 0 for a pre-release; marks: its identifiers, numbers before words.
-    """
-    part = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3, 4)]
-    numbers = F.array(*(F.coalesce(p.try_cast("bigint"), F.lit(0).cast("bigint")) for p in part[:3]))
-    mark = lambda x: F.struct(x.rlike("[^0-9]").cast("int").alias("word"), F.coalesce(F.when(~x.rlike("[^0-9]"), x.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("n"), F.when(x.rlike("[^0-9]"), x).otherwise("").alias("text"))
-    marks = F.transform(F.filter(F.split(part[3], r"\."), lambda x: x != ""), mark)
-    return F.when(text.rlike(pattern), F.struct(numbers.alias("numbers"), (part[3] == "").cast("int").alias("release"), marks.alias("marks")))
-
-
-def version_parts(version: Column) -> Column:
-    """Major, minor and patch of a version as numbers; null where it is none."""
-    return _ordered_version(version, _WHOLE)["numbers"]
-
-
-def version_within(version: Column, constraint: Column) -> Column:
-    """Whether a version meets a constraint.
-
-    Alternatives are joined by ``||``, and each is comparisons joined by commas or spaces: ``=``, ``!=``,
-    ``<``, ``<=``, ``=<``, ``>``, ``>=``, ``=>``, ``~``, ``~>`` and ``^`` before a version, whose minor and patch may be
-    missing or ``x``, ``X``, ``*``; ``a - b`` is both bounds. A partial version stands for all that
-    complete it. A pre-release meets a comparison only if that names a pre-release too.
-    """
-    v = _ordered_version(version, _WHOLE)
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    sides = F.split(F.trim(constraint), r"\|\|")
-    # Both ends of a range first, then one comparison after the other.
-    plain = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"(\S+)\s+-\s+(\S+)", ">=$1 <=$2"), r"([<>=!~^]+)\s+", "$1")
-    terms = lambda x: F.filter(F.split(plain(x), r"[\s,]+"), lambda t: t != "")
-
-    def release(numbers: Column) -> Column:
-        # The first version of these numbers, pre-releases included.
-        return F.struct(numbers.alias("numbers"), F.lit(0).alias("release"), F.array().cast("array<struct<word:int,n:decimal(38,0),text:string>>").alias("marks"))
-
-    def meets(term: Column) -> Column:
-        sign = F.regexp_extract(term, "^([<>=!~^]*)", 1)
-        text = F.regexp_replace(term, "^[<>=!~^]+", "")
-        bound = _ordered_version(text, _NUMBERS)
-        any_ = text.rlike(r"^[xX*](\.[xX*]){0,2}\z")
-        minor, patch = (F.regexp_extract(text, _NUMBERS, i).rlike("[0-9]") for i in (2, 3))
-        b = [F.get(bound["numbers"], i) for i in range(3)]
-        major, small = F.array(b[0] + one, zero, zero), F.array(b[0], b[1] + one, zero)
-        # The end of what a partial version stands for, and of what the signs allow.
-        whole = F.when(~minor, major).when(~patch, small)
-        caret = F.when((b[0] > 0) | ~minor, major).when((b[1] > 0) | ~patch, small).otherwise(F.array(b[0], b[1], b[2] + one))
-        tilde = F.when(~minor, major).otherwise(small)
-        partial = whole.isNotNull()
-        inside = F.when(partial, (v >= bound) & (v < release(whole))).otherwise((v["numbers"] == bound["numbers"]) & (v["release"] == bound["release"]) & (v["marks"] == bound["marks"]))
-        ok = (
-            F.when(sign.isin("", "="), inside).when(sign == "!=", ~inside)
-            .when(sign == ">", F.when(partial, v >= release(whole)).otherwise(v > bound)).when(sign.isin(">=", "=>"), v >= bound)
-            .when(sign == "<", v < bound).when(sign.isin("<=", "=<"), F.when(partial, v < release(whole)).otherwise(v <= bound))
-            .when(sign == "^", (v >= bound) & (v < release(caret))).when(sign.isin("~", "~>"), ((v >= bound) & (v < release(tilde))) | (~partial & (bound["numbers"] == F.array(zero, zero, zero))))
-        )
-        named = (v["release"] == 1) | (bound["release"] == 0)
-        return F.coalesce(F.when(any_, (v["release"] == 1) & ~sign.isin("!=", "<", ">")).otherwise(ok & named), F.lit(False))
-
-    known = lambda t: F.regexp_replace(t, "^[<>=!~^]+", "").rlike(_NUMBERS + r"|^[xX*](\.[xX*]){0,2}\z")
-    valid = F.forall(sides, lambda x: F.forall(terms(x), known))
-    side = lambda x: F.when(F.trim(x) == "", v["release"] == 1).otherwise(F.forall(terms(x), meets))
-    return F.coalesce(v.isNotNull() & valid & F.exists(sides, side), F.lit(False))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import package_url, version_within
+from ..functions.values import package_url
+from ..functions.versions import met as version_met
 from .precedence import resolve_references, winner_fold
 
 
@@ -13,18 +14,19 @@ def dependency_targets(dependencies: DataFrame, children: DataFrame, listed: boo
     """dependency, target chart, package and status of (dependency, owner, name, alias, constraint, repository).
 
     Candidates share owner and name with the dependency and have a version within its constraint: an
-    equi-join, then the range. One candidate is the target; several are ambiguous; without one, the
+    equi-join, then the ranges that distinct constraints are compiled to. One candidate is the target; several are ambiguous; without one, the
     package names it where the repository is a container registry. ``incompatible`` counts children
     that bear its name or lie in a folder of its name or alias but don't fit; ``listed`` names the candidates.
     """
     d = dependencies.select("dependency", "owner", "name", "alias", "constraint", "repository")
     c = children.where("not hidden").select(F.col("parent").alias("owner"), F.col("child"), F.col("child_name"), F.col("version"), "folder")
-    by_name = d.join(c, (d.owner == c.owner) & (d.name == c.child_name)).select("dependency", "child", version_within(F.col("version"), F.col("constraint")).alias("fits"))
+    by_name = d.join(c, (d.owner == c.owner) & (d.name == c.child_name)).select("dependency", "child", "version", "constraint", F.lit(True).alias("same"), F.lit(True).alias("named"))
     asked = d.select("dependency", "owner", "name", "constraint", F.explode(F.array_distinct(F.filter(F.array("name", "alias"), lambda x: x.isNotNull()))).alias("folder"))
-    by_folder = asked.join(c, ["owner", "folder"]).select("dependency", "child", ((F.col("child_name") == F.col("name")) & version_within(F.col("version"), F.col("constraint"))).alias("fits"))
-    met = by_name.groupBy("dependency").agg(F.count_if("fits").alias("candidates"), F.min(F.when(F.col("fits"), F.col("child"))).alias("chart"), F.array_sort(F.collect_set(F.when(F.col("fits"), F.col("child")))).alias("candidate_charts"))
-    near = by_name.unionByName(by_folder).where("not fits").groupBy("dependency").agg(F.count_distinct("child").alias("incompatible"))
-    df = d.join(met, "dependency", "left").join(near, "dependency", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("incompatible", F.coalesce("incompatible", F.lit(0)))
+    by_folder = asked.join(c, ["owner", "folder"]).select("dependency", "child", "version", "constraint", F.coalesce(F.col("child_name") == F.col("name"), F.lit(False)).alias("same"), F.lit(False).alias("named"))
+    each = version_met(by_name.unionByName(by_folder), "version", "constraint").withColumn("fits", F.col("fits") & F.col("same"))
+    fit = F.when(F.col("fits") & F.col("named"), F.col("child"))
+    met = each.groupBy("dependency").agg(F.count(fit).alias("candidates"), F.min(fit).alias("chart"), F.array_sort(F.collect_set(fit)).alias("candidate_charts"), F.count_distinct(F.when(~F.col("fits"), F.col("child"))).alias("incompatible"))
+    df = d.join(met, "dependency", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("incompatible", F.coalesce("incompatible", F.lit(0)))
     df = df.withColumn("chart", F.when(F.col("candidates") == 1, F.col("chart"))).withColumn("package", F.when(F.col("candidates") == 0, package_url(F.col("repository"), F.col("name"))))
     status = F.when(F.col("candidates") == 1, "vendored").when(F.col("candidates") > 1, "ambiguous").when(F.col("package").isNotNull(), "package").when(F.col("incompatible") > 0, "incompatible").otherwise("missing")
     return df.select("dependency", "chart", "package", "candidates", "incompatible", status.alias("status"), *(["candidate_charts"] if listed else []))

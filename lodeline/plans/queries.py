@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as ids
 from ..functions import values as v
+from ..functions import versions
 from ..operators import detection, diagnostics, documents, facts, graph, layers, ownership, precedence, resolution
 from ..sources import sinks, workspace
 from . import pipeline
@@ -123,7 +124,14 @@ def package_urls(t):
 def version_ranges(t):
     size = c("p_size").cast("string")
     minor = F.concat((c("p_size") % 5).cast("string"), F.lit("."), (c("p_size") % 7).cast("string"), F.lit("."), size)
-    return t("part").select("p_partkey", v.version_within(size, F.lit(">= 10, <30")).alias("between_bounds"), v.version_within(minor, F.lit("^2.0.0")).alias("caret"), v.version_within(minor, F.lit("~2.3.0")).alias("tilde"), v.version_within(size, F.lit("!= 7.0.0")).alias("other"))
+    cases = {"between_bounds": (size, ">= 10, <30"), "caret": (minor, "^2.0.0"), "tilde": (minor, "~2.3.0"), "other": (size, "!= 7.0.0")}
+    return _fitting(t("part"), cases)
+
+
+def _fitting(parts, cases):
+    """Of each part whether its version meets the constraint, a column for each case of (version, constraint)."""
+    each = parts.select("p_partkey", F.explode(F.array(*(F.struct(F.lit(n).alias("case"), text.alias("v"), F.lit(x).alias("c")) for n, (text, x) in cases.items()))).alias("x")).select("p_partkey", "x.*")
+    return versions.met(each, "v", "c").groupBy("p_partkey").pivot("case", list(cases)).agg(F.bool_or("fits"))
 
 
 _V = "p_size % 4 AS a, p_partkey % 5 AS b, p_partkey % 3 AS c, p_partkey % 6 <> 0 AS r"
@@ -136,7 +144,7 @@ def version_constraints(t):
     """Partial versions, wildcards, ranges, alternatives, pre-releases and metadata."""
     text = F.concat((c("p_size") % 4).cast("string"), F.lit("."), (c("p_partkey") % 5).cast("string"), F.lit("."), (c("p_partkey") % 3).cast("string"), F.when(c("p_partkey") % 6 == 0, "-rc.1").otherwise(""), F.when(c("p_partkey") % 7 == 0, "+build.9").otherwise(""))
     cases = {"tilde_major": "~1", "caret_zero": "^0", "wildcard": "1.2.x", "hyphen": "1.1 - 2.3", "alternatives": "^1 || ^3", "with_pre_releases": ">=1.0.0-rc.0", "above_partial": ">1", "not_partial": "!=2.1", "metadata": "=2.2.1+other"}
-    return t("part").select("p_partkey", text.alias("v")).select("p_partkey", *(v.version_within(c("v"), F.lit(x)).alias(n) for n, x in cases.items()))
+    return _fitting(t("part"), {n: (text, x) for n, x in cases.items()})
 
 
 # --- detection and ownership ----------------------------------------------------------------------

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.functions import identity, values
+from lodeline.functions import identity, values, versions
 from lodeline.operators import detection, documents, facts, precedence, resolution
 
 VERSIONS = """
@@ -62,8 +62,22 @@ def test_versions(spark):
     cases = [tuple(x.strip(" ") for x in line.split(" | ")) for line in VERSIONS.strip().split("\n") if " | " in line]
     cases = [(v.replace("\\n", "\n"), c, w == "y") for v, c, w in cases]
     df = spark.createDataFrame(cases, "v string, c string, want boolean")
-    rows = df.select("v", "c", values.version_within(F.col("v"), F.col("c")).alias("got"), "want").collect()
-    assert [tuple(r) for r in rows if r.got != r.want] == []
+    rows = versions.met(df, "v", "c", "got").collect()
+    assert [tuple(r) for r in rows if r.got != r.want] == [] and len(rows) == len(cases)
+
+
+def test_version_keys_sort(spark):
+    order = ["0.0.0-0", "0.0.0", "0.9.10", "0.10.2-9", "0.10.2-10", "0.10.2-99999999999999999999", "0.10.2-a", "0.10.2-a.1", "0.10.2-a.b", "0.10.2-a-b", "0.10.2-ab", "0.10.2", "1.0.0", "999999999999999999.0.0"]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(order)], "v string, i int").withColumn("k", versions.version_key(F.col("v")))
+    assert [r.v for r in df.orderBy("k").collect()] == order
+    odd = spark.createDataFrame([("x",), (None,), ("1.2.3.4",), ("9" * 19,)], "v string").select(versions.version_key(F.col("v")).alias("k"))
+    assert [r.k for r in odd.collect()] == [None] * 4
+
+
+def test_constraints_are_compiled_once(spark):
+    df = spark.createDataFrame([("1 - 2 || !=3.1, >=3",), (">1 <2",), (">2 <1",), ("x",), ("1 nope",), (None,), ("",)] * 3, "constraint string")
+    rows = {(r.constraint, len(r.holes)) for r in versions.compiled_constraints(df).collect()}
+    assert rows == {("1 - 2 || !=3.1, >=3", 0), ("1 - 2 || !=3.1, >=3", 1), (">1 <2", 0), ("x", 0), ("", 0)}
 
 
 TOP = "apiVersion: v1\nkind: Pod\n"

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.functions import identity, values
+from lodeline.functions import identity, versions
 from lodeline.operators import detection, documents, facts
 from lodeline.plans import pipeline
 from lodeline.sources import workspace
@@ -90,7 +90,7 @@ def test_paths_that_cannot_be_artifacts(spark):
 def test_versions(spark):
     cases = [("1.2.3", ">=1.0.0, <2", True), ("1.2.3", "^1.3", False), ("0.2.9", "^0.2.3", True), ("0.3.0", "^0.2.3", False), ("1.2.9", "~1.2.3", True), ("1.3.0", "~1.2.3", False), ("x", "*", False), ("1.0.0", "*", True), ("v1.0", "1.0.0", True), ("1.0.0", "nope", False)]
     df = spark.createDataFrame(cases, "v string, c string, want boolean")
-    assert all(r[0] == r[1] for r in df.select(values.version_within(F.col("v"), F.col("c")), "want").collect())
+    assert all(r.fits == r.want for r in versions.met(df, "v", "c").collect())
 
 
 def test_hooks(spark):
