@@ -17,49 +17,115 @@ from ..functions.identity import encode_value_segment, value_path
 KEYS = "artifact_id string, keys array<string>, value string, kind string, line int, column int, duplicate boolean, status string"
 
 
-def _keys_of(source: str) -> Iterator[tuple]:
-    """(keys, value, kind, line, column, duplicate) of each key and index of the first document; aliases are not followed."""
+#: Parses at most that a broken document may cost.
+ATTEMPTS = 12
+
+
+def _events(source: str) -> list:
+    """The parsing events of all documents; raises where the text is no YAML."""
     import yaml
 
-    root = yaml.compose(source, Loader=yaml.SafeLoader)
-    todo = [([], root)] if root is not None else []
-    while todo:
-        keys, node = todo.pop()
-        if isinstance(node, yaml.MappingNode):
-            seen, below = set(), []
-            for k, v in node.value:
-                if not isinstance(k, yaml.ScalarNode):
-                    continue
-                path = [*keys, k.value]
-                scalar = isinstance(v, yaml.ScalarNode)
-                yield path, v.value if scalar else None, v.tag.rpartition(":")[2], k.start_mark.line + 1, k.start_mark.column + 1, k.value in seen
-                if k.value not in seen and not scalar:
-                    below.append((path, v))
-                seen.add(k.value)
-            todo += reversed(below)
-        elif isinstance(node, yaml.SequenceNode):
-            below = []
-            for i, v in enumerate(node.value):
-                path = [*keys, str(i)]
-                scalar = isinstance(v, yaml.ScalarNode)
-                yield path, v.value if scalar else None, v.tag.rpartition(":")[2], v.start_mark.line + 1, v.start_mark.column + 1, False
-                if not scalar:
-                    below.append((path, v))
-            todo += reversed(below)
+    return list(yaml.parse(source, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
+
+
+def _says(events: list) -> bool:
+    """Whether a document has a body."""
+    import yaml
+
+    return any(isinstance(e, (yaml.CollectionStartEvent, yaml.AliasEvent)) or isinstance(e, yaml.ScalarEvent) and (e.value != "" or not e.implicit[0]) for e in events)
+
+
+def recovered(source: str) -> tuple[list, str | None, int]:
+    """Events of the text, or of the longest beginning found that is YAML and says something; what is wrong; parses made.
+
+    Beginnings end with lines. The error's line and those before it are tried first, then halves, within ATTEMPTS parses.
+    """
+    import yaml
+
+    try:
+        return _events(source), None, 1
+    except (yaml.YAMLError, ValueError) as e:
+        problem = e
+    lines = source.splitlines(keepends=True) if "\r" not in source else [x + "\n" for x in source.split("\n")]
+    mark = getattr(problem, "problem_mark", None)
+    high = len(lines) - 1 if mark is None else min(len(lines) - 1, mark.line + 1)
+    best, low, attempts = [], 1, 1
+    near = [high, high - 1, high - 2]
+    while low <= high and attempts < ATTEMPTS:
+        half = near.pop(0) if near and low <= near[0] <= high else (low + high) // 2
+        attempts += 1
+        try:
+            events = _events("".join(lines[:half]))
+            fits = _says(events)
+        except (yaml.YAMLError, ValueError):
+            fits = False
+        if fits:
+            best, low, near = events, half + 1, []
+        else:
+            high = half - 1
+    return best, str(problem)[:200], attempts
+
+
+def _keys_of(events: list) -> Iterator[tuple]:
+    """(keys, value, kind, line, column, duplicate) of each key and index of all documents.
+
+    An alias is a value of its kind and isn't followed, so what it stands for is there once and no
+    document grows or never ends. A key that is there already is a duplicate.
+    """
+    import yaml
+
+    resolver, seen, stack = yaml.resolver.Resolver(), set(), []
+    for e in events:
+        if isinstance(e, yaml.DocumentStartEvent):
+            stack = []
+        elif isinstance(e, yaml.CollectionEndEvent):
+            stack.pop()
+        elif isinstance(e, yaml.NodeEvent):
+            scalar = isinstance(e, yaml.ScalarEvent)
+            path, top = (), stack[-1] if stack else None
+            if top is not None and top["path"] is not None:
+                if top["kind"] == "map" and top["key"] is None:
+                    # A key that is no plain value, and what it leads to, has no path.
+                    top["key"] = (e.value, e.start_mark) if scalar else False
+                    path = None
+                elif top["kind"] == "map":
+                    path = (*top["path"], top["key"][0]) if top["key"] else None
+                    mark, top["key"] = top["key"][1] if top["key"] else None, None
+                else:
+                    path, mark = (*top["path"], str(top["next"])), e.start_mark
+                    top["next"] += 1
+                if path is not None:
+                    if scalar:
+                        tag = e.tag or resolver.resolve(yaml.ScalarNode, e.value, e.implicit)
+                        kind = tag.rpartition(":")[2]
+                    else:
+                        kind = "alias" if isinstance(e, yaml.AliasEvent) else "map" if isinstance(e, yaml.MappingStartEvent) else "seq"
+                    yield list(path), e.value if scalar else None, kind, mark.line + 1, mark.column + 1, path in seen
+                    seen.add(path)
+            elif top is not None:
+                path = None
+            if isinstance(e, yaml.CollectionStartEvent):
+                stack.append({"kind": "map" if isinstance(e, yaml.MappingStartEvent) else "seq", "path": path, "key": None, "next": 0})
 
 
 def yaml_keys(documents: DataFrame) -> DataFrame:
-    """A row for each key of the YAML in ``source``; one that doesn't parse gives a single row with status failed."""
+    """A row for each key of the YAML in ``source``.
+
+    A text that is broken further down gives the keys of its longest good beginning, with status
+    partial, and a row without keys whose value says what is wrong; one without such a beginning only
+    that row, with status failed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in KEYS.split(", ")]
         for batch in batches:
             out = []
             for artifact, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    out += [(artifact, *row, "complete") for row in _keys_of(source or "")]
-                except Exception as e:  # a broken document is a fact, not a failure
-                    out.append((artifact, None, str(e)[:200], None, None, None, False, "failed"))
+                events, problem, _ = recovered(source or "")
+                status = "complete" if problem is None else "partial" if events else "failed"
+                if problem is not None:
+                    out.append((artifact, None, problem, None, None, None, False, status))
+                out += [(artifact, *row, status) for row in _keys_of(events)]
             types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 

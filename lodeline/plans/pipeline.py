@@ -50,7 +50,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     detections = written(detections, "detections")
     parsed = written(documents.yaml_keys(detections.where("kind IN ('helm_values', 'helm_requirements')")), "keys")
     values = detections.where("kind = 'helm_values'").select("artifact_id")
-    keys = parsed.where("status = 'complete'").join(values, "artifact_id", "left_semi")
+    keys = parsed.where("keys IS NOT NULL").join(values, "artifact_id", "left_semi")
     keys = keys.withColumn("key", config_key_id(F.col("artifact_id"), F.col("path")))
     actions = written(documents.template_actions(detections.where("kind = 'helm_template'")), "actions")
     out = {
@@ -58,7 +58,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
         "detections": detections.drop("source"),
         "charts": charts,
         "invalid_charts": invalid,
-        "unreadable": parsed.where("status = 'failed'").select("artifact_id", "value"),
+        "unreadable": parsed.where("keys IS NULL").select("artifact_id", "value", "status"),
         "config_keys": keys,
         "actions": actions,
         "references": documents.value_references(actions),
