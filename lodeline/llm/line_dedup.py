@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, mix, span_hashes, text_steps, written
@@ -30,7 +30,13 @@ WIDER = 5
 #: ASCII characters share the rest. Bytes of longer characters don't count.
 PARITIES = 40
 _BITS = np.array([1 << (c - 97 if 97 <= c <= 122 else 26 + c % 14) if c < 128 else 0 for c in range(256)], np.int64)
-#: Lines of one segment that are one block.
+#: Lines of one segment up to which all are held against each other; others meet again by finer segments.
+CROWD = 512
+#: How many times more of these there are, and their least characters.
+FINER, NARROW = 3, 5
+#: Bytes of lines whose finer segments are made at a time.
+STEP = 1 << 18
+#: Lines of one segment that are one block, where even the finer ones are crowded.
 BLOCK = 1024
 #: Lines of candidate pairs up to which their texts are found by broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -228,6 +234,44 @@ class Lines:
         return out
 
 
+    def finely_asked(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like asked, over more segments than there are edits; a line's place, key and how many segments of its own hold one of any partner.
+
+        Any edits + 1 of a line's own segments hold one that stands in the longer line unchanged. As none
+        is known to be the one, it may be shifted by as many characters as edits can explain.
+        """
+        n = self.size
+        own = np.searchsorted(classes[:, 1], n, "right") - 1
+        out, back = [], 0
+        while True:
+            at = own - back
+            near = np.flatnonzero((at >= 0) & (own >= 0) & (n <= classes[at, 2] + classes[at, 0]))
+            if not len(near):
+                break
+            for of in np.unique(at[near]).tolist():
+                who = near[at[near] == of]
+                k, least, most = classes[of].tolist()
+                count = max(k + 1, min(FINER * (k + 1), least // NARROW))
+                wide = least // count
+                size, first = n[who], self.first[who]
+                low, high = np.maximum(0, size - most), np.minimum(k, size - least)
+                for i in range(count):
+                    from_start = 2 * i < count
+                    for shift in range(-k, k + 1):
+                        sign = shift if from_start else -shift
+                        place = (i * wide if from_start else size - (count - i) * wide) + shift
+                        ok = np.flatnonzero((sign >= -((k - low) // 2)) & (sign <= (k + high) // 2) & (place >= 0) & (place + wide <= size) & (wide > 0))
+                        head = first[ok] + np.broadcast_to(place, size.shape)[ok]
+                        mine = int(back == 0 and shift == 0)
+                        out.append((who[ok], self.begin[head], self.begin[head + wide], np.full(len(ok), (of << 6 | i) << 1 | mine), np.full(len(ok), k + 1)))
+            back += 1
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        who, start, end, tag, need = (np.concatenate(x) for x in zip(*out, strict=True))
+        value = mix(span_hashes(self.data, start, end) ^ mix(~(tag >> 1).astype(np.uint64))) & ~np.uint64(1) | (tag & 1).astype(np.uint64)
+        return who, value.view(np.int64), need
+
+
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
     """doc_id, line_no, h and g (128-bit hash) of every \\n-split line of ``least`` characters or more, at least one."""
 
@@ -321,6 +365,40 @@ def line_links(docs: DataFrame, edits: int | None = None, doc_id: str = "doc_id"
     ids = written(live.select("h").distinct(), "line-ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = written(_lines_at(docs, firsts.join(few, "h", "left_semi"), doc_id, text), "line-texts")
+    crowds = live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowds = written(crowds.select("key"), "line-crowds")
+    if not crowds.take(1):
+        return _dealt(live, texts, edits)
+    calm = _dealt(live.join(crowds, "key", "left_anti"), texts, edits)
+    busy = written(live.join(crowds, "key", "left_semi").select("h").distinct(), "line-busy")
+    return calm.unionByName(_dealt(_finer(texts.join(busy, "h", "left_semi"), edits), texts, edits)).distinct()
+
+
+def _finer(texts: DataFrame, edits: int | None) -> DataFrame:
+    """h, key and own of lines by finer segments: each offers only its rarest ones, as many as hold one of any partner."""
+    classes = _length_classes(edits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, rows, data, offsets in text_steps(batch.column(1), STEP):
+                who, value, need = Lines(data, offsets, 1).finely_asked(classes)
+                h = batch.column(0).slice(at, rows).to_numpy()
+                for low in range(0, len(who), 1 << 18):
+                    part = slice(low, low + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[who[part]]), pa.array(value[part] >> 1), pa.array(value[part] & 1), pa.array(need[part], pa.int32())], ["h", "key", "own", "need"])
+
+    asked = written(texts.select("h", "line").mapInArrow(run, "h long, key long, own long, need int").distinct(), "finer-keys")
+    often = asked.groupBy("key").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "key"))
+    own = asked.where("own = 1").join(often, "key").withColumn("own", (rank <= F.col("need")).cast("long"))
+    every = asked.where("own = 0").select("h", "key", "own").unionByName(own.select("h", "key", "own")).groupBy("h", "key").agg(F.max("own").alias("own"))
+    every = written(every, "finer-rows")
+    some = every.groupBy("key").agg(F.max("own").alias("most"), F.count("*").alias("n")).where("most = 1 AND n > 1").select("key")
+    return written(every.join(some, "key", "left_semi"), "finer-rows")
+
+
+def _dealt(live: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
+    """(a, b) of the lines of live (h, key, own) that share a key, one of them as its own, and are near enough."""
     crowds = live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = live.join(crowds, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -392,11 +470,13 @@ def without_duplicate_lines(docs: DataFrame, edits: int | None = None, doc_id: s
     """The documents without lines that are not the first of their class; what is left empty by that goes, other columns stay.
 
     Lines of fewer than ``least`` characters stay. Null texts and those that were empty stay as they
-    are; rows with a null or repeated id share the lines that any of them holds; an empty table gives
-    no rows; columns may have any names but those beginning with two underscores.
+    are; equal rows are one document, and rows with a null or repeated id and different texts are
+    documents each; an empty table gives no rows; columns may have any names but those beginning with
+    two underscores.
     """
-    drop = line_classes(docs, edits, doc_id, text, least).where("not kept").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__lines"))
-    df = docs.join(drop, F.col(doc_id).eqNullSafe(F.col("__of")), "left")
+    keyed = docs.withColumn("__row", F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text")))
+    drop = line_classes(keyed, edits, "__row", text, least).where("not kept").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__lines"))
+    df = keyed.join(drop, F.col("__row").eqNullSafe(F.col("__of")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
     df = df.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(left))
     return df.where(F.col("__lines").isNull() | (F.col(text) != "")).select(*docs.columns)

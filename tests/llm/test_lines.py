@@ -5,6 +5,9 @@ import itertools
 import random
 import struct
 
+import numpy as np
+import pytest
+
 from test_joins import distance, documents
 
 from lodeline.llm import line_dedup, queries
@@ -23,7 +26,9 @@ def varied(rng, lengths, times, most):
     return out
 
 
-def test_longer_lines_may_differ_more(spark):
+@pytest.mark.parametrize("size", [line_dedup.CROWD, 1])
+def test_longer_lines_may_differ_more(spark, size, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", size)
     lines = varied(random.Random(5), [21, 39, 41, 59, 62, 80, 83, 100, 212], 9, 6)
     df = documents(spark, ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)])
     long = sorted({x for x in lines if len(x) >= 20})
@@ -40,8 +45,10 @@ def named(line):
     return struct.unpack("<qq", hashlib.blake2b(line.encode(), digest_size=16).digest())
 
 
-def test_every_place_of_the_edits(spark):
+@pytest.mark.parametrize("size", [line_dedup.CROWD, 1])
+def test_every_place_of_the_edits(spark, size, monkeypatch):
     """Lines at the ends of length classes, with all edits at one place, wherever it lies."""
+    monkeypatch.setattr(line_dedup, "CROWD", size)
     rng = random.Random(8)
     want, lines = set(), set()
     for k, sizes in ((1, (20, 23, 24, 28, 39)), (2, (40, 47, 48, 59)), (3, (60, 71, 72, 79)), (4, (80, 95, 96, 115, 300))):
@@ -83,3 +90,36 @@ def test_short_lines_have_rows_and_classes(spark, tmp_path):
     assert out[1] == texts[1] and out[5] == "x" * 19 and out[6] == texts[6]
     short = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(df).collect()}
     assert short == {0: texts[0], 1: "Of,", 2: None, 3: "", 4: texts[4], 5: "", 6: " "} or short == {0: texts[0], 1: "Of,", 2: None, 3: "", 4: texts[4], 6: " "}
+
+
+def crowd(n, seed=0, width=40):
+    rng = np.random.RandomState(seed)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), width)) for _ in range(n)]
+    return ["the same beginning of every line, in 48 letters. " + x for x in made]
+
+
+def test_a_crowd_meets_by_finer_segments(spark):
+    lines = crowd(1500)
+    rng = np.random.RandomState(1)
+    near = []
+    for x in lines[:60]:
+        y = list(x)
+        for _ in range(rng.randint(1, 5)):
+            i = rng.randint(len(y))
+            y[i : i + rng.randint(0, 2)] = [chr(97 + rng.randint(26))] * rng.randint(0, 2)
+        near.append("".join(y))
+    every = list(dict.fromkeys(lines + near))
+    df = documents(spark, ["\n".join(every[i::7]) for i in range(7)])
+    of = {named(x): x for x in every}
+    found = {tuple(sorted((of[tuple(r.a)], of[tuple(r.b)]))) for r in line_dedup.line_links(df).collect()}
+    want = {tuple(sorted((x, y))) for x, y in zip(lines[:60], near) if x != y and distance(x, y) <= line_dedup.allowed(x, y, None)}
+    assert len(want) > 40 and want <= found and all(distance(*p) <= line_dedup.allowed(*p, None) for p in found)
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    a, b, c = ("a line of text that is long enough to count " + x for x in ("one " * 9, "2 " * 20, "drei"))
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, f"{b}\n{b}"), (7, "only here"), (7, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id is None, r.text) for r in line_dedup.without_duplicate_lines(df).collect())
+    kept = [line for _, t in out for line in t.split("\n")]
+    assert sorted(kept) == sorted([a, b, c, "only here", "only here"])
