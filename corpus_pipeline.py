@@ -17,7 +17,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each line once, at its first document; documents of which nothing is left go, null and empty texts stay as they are."""
+    """Each line once, at its first document; documents of which nothing is left go, null and empty texts stay as they are. Rows of one id with different texts are documents each."""
     visible(spark)
     return _sized(line_dedup.without_duplicate_lines(docs))
 
@@ -30,8 +30,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets replaced by a mark; who holds a value is counted over the documents that are left. Null texts stay null."""
-    return _sized(secret_scans.redacted(docs))
+    """Secrets replaced by a mark; owners (sources) and repositories (what one holds in a language) of a value are counted over the documents that are left. Null texts stay null, repeated rows stay, no rows give none."""
+    held = docs.withColumn("__repository", F.concat_ws("/", "source", "lang"))
+    return _sized(secret_scans.redacted(held, repository="__repository").drop("__repository"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
