@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import encode_value_segment, value_path
+from ..functions.identity import anonymous_id, encode_value_segment, value_path
+from .precedence import occurrences
 
 KEYS = "artifact_id string, keys array<string>, value string, kind string, line int, column int, duplicate boolean, status string"
 
@@ -187,6 +188,22 @@ def template_calls(actions: DataFrame) -> DataFrame:
     return each.select("artifact_id", "line", F.regexp_extract("c", r"^(\w+)", 1).alias("kind"), F.when(name != "", name).alias("name"))
 
 
+def lookup_references(actions: DataFrame) -> DataFrame:
+    """(artifact_id, line, api, resource, namespace, name) of what actions look up in a cluster; arguments as written, quotes off."""
+    argument = r'"(?:[^"\\]|\\.)*+"|`[^`]*+`|\([^()]*\)|[^\s()|]+'
+    call = rf"\blookup\s+({argument})\s+({argument})\s+({argument})\s+({argument})"
+    names = ("api", "resource", "namespace", "name")
+    parts = [F.regexp_extract_all("action", F.lit(call), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    each = actions.where(F.contains("action", F.lit("lookup"))).select("artifact_id", "line", F.explode(F.arrays_zip(*parts)).alias("x"))
+    return each.select("artifact_id", "line", *(F.regexp_replace(f"x.{n}", r'^["`]|["`]$', "").alias(n) for n in names))
+
+
+def numbered_facts(facts: DataFrame, kind: str, into: str, order: list[str]) -> DataFrame:
+    """Facts (artifact_id, line) with an identity by place; of several on one line, the later ones in ``order`` carry their number."""
+    df = occurrences(facts, ["artifact_id", "line"], order, "__nth")
+    return df.withColumn(into, anonymous_id(F.col("artifact_id"), kind, F.col("line"), F.lit(1), F.col("__nth"))).drop("__nth")
+
+
 def named_templates(actions: DataFrame) -> DataFrame:
     """(artifact_id, line, name, start, nth, empty) of ``define`` and ``block`` actions, with whether nothing stands in the body.
 

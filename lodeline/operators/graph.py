@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import SEMANTIC, encode_segment
+from ..functions.identity import SEMANTIC, encode_segment, semantic_id
 from .facts import containment, dangling, duplicates, stale
 
 #: Relationships of the graph that an analysis makes and may take away; fixed values.
@@ -20,7 +20,7 @@ RELATIONSHIPS = (
 SHARED = ("HAS_ARTIFACT", "DEFINES_CONFIG")
 #: Labels that an analysis adds to nodes which others know too; the others are whole nodes of its own.
 FACETS = ("IaCApplication IaCArtifact HelmArtifact HelmChart HelmRequirements HelmLock HelmValues HelmValuesSchema HelmTemplate HelmCRD HelmIgnore IaCValue HelmValue").split()
-OWN_LABELS = ("HelmDependency HelmChartReference HelmNamedTemplate HelmTemplateCall HelmValueReference HelmResourceTemplate HelmLookupReference HelmRenderProfile HelmValueLayer HelmRender IaCDiagnostic").split()
+OWN_LABELS = ("HelmDependency HelmChartReference HelmNamedTemplate HelmTemplateCall HelmValueReference HelmResourceTemplate HelmLookupReference HelmRenderProfile HelmValueLayer HelmRender IaCDiagnostic IaCIdentityAlias").split()
 #: Beginnings of the properties that go with these facets.
 PREFIXES = ("iac_", "helm_")
 
@@ -122,10 +122,23 @@ def strongest_class(labels: Column, strength: dict[str, int]) -> Column:
     return F.coalesce(F.array_max(F.transform(labels, lambda x: F.coalesce(F.try_element_at(known, x), F.lit(0)))), F.lit(0))
 
 
-def project(tables: dict[str, DataFrame], app: str) -> tuple[DataFrame, DataFrame]:
+#: Tables of template facts with their id, label, family and properties.
+TEMPLATE_FACTS = (
+    ("templates", "template", "HelmNamedTemplate", "iac_defines_template", ("name", "line", "empty")),
+    ("calls", "call", "HelmTemplateCall", "iac_has_template_call", ("name", "kind", "line")),
+    ("references", "reference", "HelmValueReference", "iac_has_value_reference", ("path", "dynamic", "line")),
+    ("regions", "region", "HelmResourceTemplate", "iac_has_resource_template", ("nth", "start", "stop")),
+    ("lookups", "lookup", "HelmLookupReference", "iac_has_lookup_reference", ("api", "resource", "namespace", "name", "line")),
+)
+#: Who stamps the nodes.
+PRODUCER = "lodeline"
+
+
+def project(tables: dict[str, DataFrame], app: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, labels, properties) and relationships (type, src, dst) of an analysis.
 
-    A file's facet lies on the file's own node; absent values are left out of the properties.
+    A file's facet lies on the file's own node; absent values are left out of the properties. With a
+    ``version``, nodes say who made them.
     """
 
     def node(df: DataFrame, id_: str, labels: Column, *names: str) -> DataFrame:
@@ -149,13 +162,26 @@ def project(tables: dict[str, DataFrame], app: str) -> tuple[DataFrame, DataFram
     found = tables["diagnostics"].where("artifact_id IS NOT NULL")
     nodes = nodes.unionByName(node(found, "id", F.array(F.lit("IaCDiagnostic")), "code", "severity", "phase", "message"))
     edges = edges.unionByName(edge(found, "iac_has_diagnostic", "artifact_id", "id"))
+    # What templates say: a node at its place in the file, and a relationship from the file to it.
+    for table, id_, label, family, names in TEMPLATE_FACTS:
+        nodes = nodes.unionByName(node(tables[table], id_, F.array(F.lit(label)), *names))
+        edges = edges.unionByName(edge(tables[table], family, "artifact_id", id_))
+    # A chart is known by its folder too.
+    alias = semantic_id(F.lit(app), "helm", F.lit("chart"), F.col("directory"))
+    named = tables["charts"].withColumn("alias", alias)
+    nodes = nodes.unionByName(node(named, "alias", F.array(F.lit("IaCIdentityAlias")), "name"))
+    edges = edges.unionByName(edge(named, "iac_alias_of", "alias", "chart")).unionByName(edge(named, "iac_has_alias", "chart", "alias"))
     if "value_targets" in tables:
-        edges = edges.unionByName(edge(tables["value_targets"], "iac_references_value", "artifact_id", "key"))
-        edges = edges.unionByName(edge(tables["dependencies"], "iac_resolves_to_chart", "dependency", "chart")).unionByName(edge(tables["dependencies"], "iac_identified_by_package", "dependency", "package"))
-        nodes = nodes.unionByName(node(tables["dependencies"], "dependency", F.array(F.lit("HelmDependency")), "name", "status"))
-        edges = edges.unionByName(edge(tables["dependencies"], "iac_declares_dependency", "owner", "dependency"))
-        packages = tables["dependencies"].where("package IS NOT NULL").select("package").distinct()
+        edges = edges.unionByName(edge(tables["value_targets"], "iac_references_value", "reference", "key")).unionByName(edge(tables["call_targets"], "iac_calls_template", "call", "target"))
+        # A dependency aims at a reference, which says what it is found to be.
+        d = tables["dependencies"].withColumn("reference", semantic_id(F.lit(app), "helm", F.lit("chart-reference"), F.col("dependency")))
+        nodes = nodes.unionByName(node(d, "dependency", F.array(F.lit("HelmDependency")), "name", "alias", "status")).unionByName(node(d, "reference", F.array(F.lit("HelmChartReference")), "name", "constraint", "repository"))
+        for family, src, dst in (("iac_declares_dependency", "owner", "dependency"), ("iac_targets_chart_reference", "dependency", "reference"), ("iac_resolves_to_chart", "reference", "chart"), ("iac_identified_by_package", "reference", "package")):
+            edges = edges.unionByName(edge(d, family, src, dst))
+        packages = d.where("package IS NOT NULL").select("package").distinct()
         nodes = nodes.unionByName(node(packages, "package", F.array(F.lit("Package")), "package"))
+    if version is not None:
+        nodes = stamped(nodes, app, PRODUCER, version)
     return nodes, edge_rows(edges)
 
 

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import document_queries, queries, template_queries  # noqa: E402, F401
+from . import document_queries, graph_queries, queries, template_queries  # noqa: E402, F401

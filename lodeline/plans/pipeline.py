@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import base_name, config_key_id, parent_dir
+from ..functions.identity import anonymous_id, base_name, config_key_id, parent_dir
 from ..functions.tables import written
 from ..functions.values import priority
 from ..functions.workers import visible
-from ..operators import detection, diagnostics, documents, enablement, facts, ownership, resolution
+from ..operators import detection, diagnostics, documents, enablement, facts, ownership, regions, resolution
 
 LEVELS = (1, 2)
 
@@ -61,10 +61,14 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
         "unreadable": parsed.where("keys IS NULL").select("artifact_id", "value", "status"),
         "config_keys": keys,
         "actions": actions,
-        "references": documents.value_references(actions),
-        "calls": documents.template_calls(actions),
-        "templates": documents.named_templates(actions),
+        "references": documents.numbered_facts(documents.value_references(actions), "value-reference", "reference", ["path", "dynamic"]),
+        "calls": documents.numbered_facts(documents.template_calls(actions), "template-call", "call", ["kind", "name"]),
+        "lookups": documents.numbered_facts(documents.lookup_references(actions), "lookup-reference", "lookup", ["api", "resource", "namespace", "name"]),
+        "templates": documents.named_templates(actions).withColumn("template", anonymous_id(F.col("artifact_id"), "named-template", F.col("line"), F.col("start"))),
     }
+    bearing = F.arrays_overlap("roles", F.array(*(F.lit(r) for r in ("resource", "test", "hook"))))
+    found = regions.template_regions(detections.where("kind = 'helm_template'").where(bearing))
+    out["regions"] = written(found.withColumn("region", anonymous_id(F.col("artifact_id"), "resource-template", F.col("first_line"), F.col("start"))), "regions")
     if level < 2:
         out["diagnostics"] = diagnostics.of(app, artifacts, out)
         return out
@@ -92,18 +96,17 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     possible = ways.where("choice IS NOT NULL").groupBy("choice").agg(F.count_distinct("child").alias("alternatives"))
     groups = sources.where("group IS NOT NULL").select("tree", "group").distinct().withColumn("choice", F.element_at(F.split("group", r"\|"), -1)).join(possible, "choice").drop("choice")
     groups = written(groups, "groups")
-    templates = out["templates"].withColumn("template", F.concat_ws("#", "artifact_id", "start"))
-    defined = sources.join(templates.select(F.col("artifact_id").alias("source"), "name", F.col("template").alias("target"), "start", "empty"), "source")
+    defined = sources.join(out["templates"].select(F.col("artifact_id").alias("source"), "name", F.col("template").alias("target"), "start", "empty"), "source")
     outcomes = written(resolution.possible_winners(sources, defined, groups), "outcomes")
     out["outcomes"] = outcomes
     callers = resolution.certain_callers(sources, groups)
     calls = out["calls"].where("name IS NOT NULL AND kind <> 'tpl'").join(sources.select("tree", F.col("source").alias("artifact_id")).distinct(), "artifact_id")
-    calls = calls.select("tree", "name", "artifact_id", "line").distinct().join(callers.select("tree", F.col("source").alias("artifact_id"), F.lit(True).alias("certain")), ["tree", "artifact_id"], "left")
+    calls = calls.select("tree", "call", "name", "artifact_id", "line").join(callers.select("tree", F.col("source").alias("artifact_id"), F.lit(True).alias("certain")), ["tree", "artifact_id"], "left")
     # A call of a file that is there in any case has the target that wins in any case; every call has its possible ones.
     won = outcomes.where("outcomes = 1 AND NOT absent").select("tree", "name", "target")
     aimed = calls.join(won, ["tree", "name"], "left").withColumn("target", F.when(F.col("certain"), F.col("target")))
-    out["call_targets"] = aimed.select("tree", "name", "artifact_id", "line", F.substring_index("target", "#", 1).alias("template"), "target")
-    out["possible_targets"] = calls.join(outcomes.where("target IS NOT NULL"), ["tree", "name"]).select("tree", "name", "artifact_id", "line", F.coalesce("certain", F.lit(False)).alias("certain"), "target", "outcomes", "absent")
+    out["call_targets"] = aimed.select("tree", "call", "name", "artifact_id", "line", F.substring_index("target", "/named-template@", 1).alias("template"), "target")
+    out["possible_targets"] = calls.join(outcomes.where("target IS NOT NULL"), ["tree", "name"]).select("tree", "call", "name", "artifact_id", "line", F.coalesce("certain", F.lit(False)).alias("certain"), "target", "outcomes", "absent")
     shared = sources.where("group IS NULL").groupBy("tree", "file").agg(F.count_distinct("source").alias("n")).where("n > 1")
     out["shared_places"] = shared
     out["diagnostics"] = diagnostics.of(app, artifacts, out)
@@ -124,7 +127,7 @@ def _dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame
     each = each.where("name <> '' AND version <> ''").join(tags, ["artifact_id", "nth"], "left").join(owners, "artifact_id")
     each = each.select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "artifact_id", "owner", "name", "alias", F.col("version").alias("constraint"), "repository", "condition", "tags")
     found = resolution.dependency_targets(each, children, listed=True)
-    return each.select("dependency", "artifact_id", "owner", "name", "alias", "condition", "tags").join(found, "dependency")
+    return each.select("dependency", "artifact_id", "owner", "name", "alias", "constraint", "repository", "condition", "tags").join(found, "dependency")
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
