@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import graph
+
 #: Ownership of a label by its declared properties: nobody's, a facet on others' nodes, an analysis's own.
 NEUTRAL, FACET, OWN = 0, 1, 2
 #: What a property's text must look like to be of a declared type.
@@ -128,3 +130,33 @@ def unsafe_removals(removals: DataFrame, catalog: Catalog) -> DataFrame:
     each = removals.select("action", "id", F.explode(F.split("names", ",")).alias("name"))
     good = F.when(F.col("action") == "remove labels", F.col("name").isin(*own)).otherwise(F.col("name").isin(*sorted(ours)))
     return each.where(~good).select("action", "id", F.concat(F.lit("not a facet: "), "name").alias("reason"))
+
+
+#: Labels that the relationships of an analysis begin and end at; fixed values.
+ENDS = {
+    "HAS_ARTIFACT": (["IaCApplication"], ["Artifact"]), "DEFINES_CONFIG": (["Artifact"], ["ConfigKey"]), "IAC_PART_OF_CHART": (["HelmArtifact"], ["HelmChart"]),
+    "IAC_DECLARES_DEPENDENCY": (["HelmChart"], ["HelmDependency"]), "IAC_TARGETS_CHART_REFERENCE": (["HelmDependency"], ["HelmChartReference"]),
+    "IAC_RESOLVES_TO_CHART": (["HelmChartReference"], ["HelmChart"]), "IAC_IDENTIFIED_BY_PACKAGE": (["HelmChartReference"], ["Package"]),
+    "IAC_DEFINES_TEMPLATE": (["HelmTemplate"], ["HelmNamedTemplate"]), "IAC_HAS_TEMPLATE_CALL": (["HelmTemplate"], ["HelmTemplateCall"]), "IAC_CALLS_TEMPLATE": (["HelmTemplateCall"], ["HelmNamedTemplate"]),
+    "IAC_HAS_VALUE_REFERENCE": (["HelmTemplate"], ["HelmValueReference"]), "IAC_REFERENCES_VALUE": (["HelmValueReference"], ["HelmValue"]),
+    "IAC_HAS_RESOURCE_TEMPLATE": (["HelmTemplate"], ["HelmResourceTemplate"]), "IAC_HAS_LOOKUP_REFERENCE": (["HelmTemplate"], ["HelmLookupReference"]),
+    "IAC_DECLARES_PROFILE": (["IaCArtifact", "HelmChart"], ["HelmRenderProfile"]), "IAC_RENDERS_CHART": (["HelmRenderProfile"], ["HelmChart"]),
+    "IAC_HAS_VALUE_LAYER": (["HelmRenderProfile"], ["HelmValueLayer"]), "IAC_READS_FROM": (["HelmValueLayer"], ["Artifact", "ConfigKey"]),
+    "IAC_HAS_DIAGNOSTIC": (["Artifact"], ["IaCDiagnostic"]), "IAC_HAS_ALIAS": (["Artifact"], ["IaCAlias"]), "IAC_ALIAS_OF": (["IaCAlias"], ["Artifact"]),
+}
+#: What the nodes of an analysis say, by label; all else is text.
+SAID = {
+    "Application": ("name",), "Artifact": ("path",), "IaCArtifact": ("kind", "role_list"), "ConfigKey": ("path", "value", "kind"), "Package": ("package",), "IdentityAlias": ("name",), "IaCDiagnostic": ("code", "severity", "phase", "message"),
+    "HelmDependency": ("name", "alias", "status"), "HelmChartReference": ("name", "constraint", "repository"), "HelmRenderProfile": ("name", "namespace", "release"), "HelmValueLayer": ("ordinal", "kind", "path", "value"),
+} | {label: names for _, _, label, _, names in graph.TEMPLATE_FACTS}
+NUMBERS, FLAGS = ("line", "nth", "start", "stop", "ordinal"), ("empty", "dynamic")
+
+
+def of_analysis() -> Catalog:
+    """The catalog of what ``graph.project`` makes."""
+    stamps = {graph.FACET_STAMP: graph.FACETS, graph.OWN_STAMP: graph.OWN_LABELS}
+    kind = lambda n: "integer" if n in NUMBERS else "boolean" if n in FLAGS else "string"
+    neutral = ("Application", "Artifact", "ConfigKey", "IdentityAlias", "Package")
+    labels = [*neutral, *graph.FACETS, *graph.OWN_LABELS]
+    own = {x: {n: kind(n) for n in (*SAID.get(x, ()), *(n for names, those in stamps.items() if x in those for n in names))} for x in labels}
+    return Catalog({x: graph.MERGED_ON.get(x, x) for x in labels}, own, ENDS, [f"CREATE CONSTRAINT {m.lower()}_id IF NOT EXISTS FOR (n:{m}) REQUIRE n.id IS UNIQUE" for m in sorted({graph.MERGED_ON.get(x, x) for x in labels})])

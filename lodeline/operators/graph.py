@@ -19,8 +19,8 @@ RELATIONSHIPS = (
 #: Relationships that others make too, never taken away.
 SHARED = ("HAS_ARTIFACT", "DEFINES_CONFIG")
 #: Labels that an analysis adds to nodes which others know too; the others are whole nodes of its own.
-FACETS = ("IaCApplication IaCArtifact HelmArtifact HelmChart HelmRequirements HelmLock HelmValues HelmValuesSchema HelmTemplate HelmCRD HelmIgnore IaCValue HelmValue").split()
-OWN_LABELS = ("HelmDependency HelmChartReference HelmNamedTemplate HelmTemplateCall HelmValueReference HelmResourceTemplate HelmLookupReference HelmRenderProfile HelmValueLayer HelmRender IaCDiagnostic IaCIdentityAlias").split()
+FACETS = ("IaCApplication IaCArtifact HelmArtifact HelmChart HelmRequirements HelmLock HelmValues HelmValuesSchema HelmTemplate HelmCRD HelmIgnore IaCValue HelmValue IaCAlias").split()
+OWN_LABELS = ("HelmDependency HelmChartReference HelmNamedTemplate HelmTemplateCall HelmValueReference HelmResourceTemplate HelmLookupReference HelmRenderProfile HelmValueLayer HelmRender IaCDiagnostic").split()
 #: Beginnings of the properties that go with these facets.
 PREFIXES = ("iac_", "helm_")
 
@@ -130,8 +130,9 @@ TEMPLATE_FACTS = (
     ("regions", "region", "HelmResourceTemplate", "iac_has_resource_template", ("nth", "start", "stop")),
     ("lookups", "lookup", "HelmLookupReference", "iac_has_lookup_reference", ("api", "resource", "namespace", "name", "line")),
 )
-#: Who stamps the nodes.
+#: Who stamps the nodes, and the names of the stamps on nodes of its own and beside facets.
 PRODUCER = "lodeline"
+OWN_STAMP, FACET_STAMP = ("producer", "analyzer_version", "iac_app_id"), ("iac_producer", "iac_analyzer_version", "iac_app_id")
 
 
 def project(tables: dict[str, DataFrame], app: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +170,7 @@ def project(tables: dict[str, DataFrame], app: str, version: str | None = None)
     # A chart is known by its folder too.
     alias = semantic_id(F.lit(app), "helm", F.lit("chart"), F.col("directory"))
     named = tables["charts"].withColumn("alias", alias)
-    nodes = nodes.unionByName(node(named, "alias", F.array(F.lit("IaCIdentityAlias")), "name"))
+    nodes = nodes.unionByName(node(named, "alias", F.array(F.lit("IdentityAlias"), F.lit("IaCAlias")), "name"))
     edges = edges.unionByName(edge(named, "iac_alias_of", "alias", "chart")).unionByName(edge(named, "iac_has_alias", "chart", "alias"))
     if "value_targets" in tables:
         edges = edges.unionByName(edge(tables["value_targets"], "iac_references_value", "reference", "key")).unionByName(edge(tables["call_targets"], "iac_calls_template", "call", "target"))
@@ -200,7 +201,7 @@ def disallowed(nodes: DataFrame, catalog: DataFrame, labels: str = "labels", lab
 
 def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(rule, id) of whatever the graph must not hold: nodes twice, unknown labels and families, dangling ends, files outside the application."""
-    labels = [*FACETS, *OWN_LABELS, "Application", "Artifact", "ConfigKey", "Package"]
+    labels = [*FACETS, *OWN_LABELS, "Application", "Artifact", "ConfigKey", "IdentityAlias", "Package"]
     has = edges.where("type = 'HAS_ARTIFACT'")
     found = [
         duplicates(nodes, ["id"]).select(F.lit("node twice").alias("rule"), "id"),
@@ -213,7 +214,8 @@ def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: The label that a node is merged on, by its first facet or own label; other labels of the catalog merge on themselves.
-MERGED_ON = {"IaCApplication": "Application", "IaCValue": "ConfigKey", "HelmValue": "ConfigKey"} | {x: "Artifact" for x in FACETS if x not in ("IaCApplication", "IaCValue", "HelmValue")}
+_ELSEWHERE = {"IaCApplication": "Application", "IaCValue": "ConfigKey", "HelmValue": "ConfigKey", "IaCAlias": "IdentityAlias"}
+MERGED_ON = _ELSEWHERE | {x: "Artifact" for x in FACETS if x not in _ELSEWHERE}
 #: Properties that a neutral label declares: written when a node is made, never again.
 NEUTRAL = {"Artifact": ("format", "id", "path", "sha256", "size_bytes", "source"), "ConfigKey": ("id", "name", "path", "span_json"), "Application": ("id",), "Package": ("id", "purl")}
 
@@ -241,10 +243,10 @@ def stamped(nodes: DataFrame, app: str, producer: str, version: str) -> DataFram
     facet = F.arrays_overlap("labels", F.array(*(F.lit(x) for x in FACETS)))
     whole = F.arrays_overlap("labels", F.array(*(F.lit(x) for x in OWN_LABELS)))
 
-    def of(first: str, second: str) -> Column:
-        return F.create_map(F.lit(first), F.lit(producer), F.lit(second), F.lit(version), F.lit("iac_app_id"), F.lit(app))
+    def of(names: tuple[str, ...]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in zip(names, (producer, version, app), strict=True) for x in pair))
 
-    stamp = F.when(whole, of("producer", "analyzer_version")).when(facet, of("iac_producer", "iac_analyzer_version"))
+    stamp = F.when(whole, of(OWN_STAMP)).when(facet, of(FACET_STAMP))
     kept = F.map_filter("properties", lambda k, v: ~F.coalesce(F.map_contains_key(stamp, k), F.lit(False)))
     return nodes.withColumn("properties", F.when(stamp.isNull(), F.col("properties")).otherwise(F.map_concat(kept, stamp)))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog
-from ..sources import sinks
+from ..functions.tables import written
+from ..operators import catalog, graph
+from ..sources import sinks, workspace
+from . import pipeline
 from .catalog import query
 
 c = F.col
@@ -50,3 +52,28 @@ def grouped_statements(t):
     text = F.split_part("statement", F.lit("] AS "), F.lit(1))
     shape = F.split_part("statement", F.lit("] AS "), F.lit(2))
     return each.groupBy("phase", shape.alias("shape")).agg(F.sum("n").alias("rows"), F.sum(F.length(text) - F.length(F.lit("UNWIND [")) - 2 * (c("n") - 1)).alias("bytes"))
+
+
+def _whole_workspace(t):
+    """A chart for each supplier with one below it, values, templates of every kind and, for some, a package and a key that is there twice."""
+    k = c("s_suppkey")
+    at = F.concat(F.lit("s"), k.cast("string"))
+    cache = F.when(k % 2 == 0, "  - name: cache\n    version: '1'\n    repository: oci://reg.io/charts\n").otherwise("")
+    chart = F.concat(F.lit("apiVersion: v2\nname: "), at, F.lit("\nversion: 1.0.0\ndependencies:\n  - name: db\n    version: ^1\n    repository: https://charts.example.com\n"), cache)
+    template = 'x: {{ .Values.b.c }}\ny: {{ include "n" . }}\n---\nz: {{ lookup "v1" "Pod" "ns" "p" }}\n'
+    texts = {"Chart.yaml": chart, "charts/db/Chart.yaml": F.lit("apiVersion: v2\nname: db\nversion: 1.2.0\n"), "values.yaml": F.concat(F.lit("b:\n  c: x\n"), F.when(k % 7 == 1, "b: 2\n").otherwise("")), "templates/t.yaml": F.lit(template), "templates/_h.tpl": F.lit('{{ define "n" }}y{{ end }}')}
+    each = t("supplier").select(at.alias("at"), F.explode(F.array(*(F.struct(F.lit(p).alias("p"), x.alias("x")) for p, x in texts.items()))).alias("f"))
+    return each.select(F.concat_ws("/", "at", "f.p").alias("path"), c("f.x").cast("binary").alias("content"), F.lit(None).cast("string").alias("problem"))
+
+
+@query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS even, count(*) FILTER (s_suppkey % 7 = 1) AS twice FROM supplier)
+          SELECT type, rows FROM (SELECT unnest(['HAS_ARTIFACT', 'DEFINES_CONFIG', 'IAC_PART_OF_CHART', 'IAC_DECLARES_DEPENDENCY', 'IAC_TARGETS_CHART_REFERENCE', 'IAC_RESOLVES_TO_CHART', 'IAC_IDENTIFIED_BY_PACKAGE', 'IAC_DEFINES_TEMPLATE', 'IAC_HAS_TEMPLATE_CALL', 'IAC_CALLS_TEMPLATE',
+            'IAC_HAS_VALUE_REFERENCE', 'IAC_REFERENCES_VALUE', 'IAC_HAS_RESOURCE_TEMPLATE', 'IAC_HAS_LOOKUP_REFERENCE', 'IAC_ALIAS_OF', 'IAC_HAS_ALIAS', 'IAC_HAS_DIAGNOSTIC', 'violations']) AS type,
+            unnest([5 * n, 2 * n, 3 * n, n + even, n + even, n, even, n, n, n, n, n, 2 * n, n, 2 * n, 2 * n, twice, 0]) AS rows FROM s) WHERE rows > 0 OR type = 'violations'""")
+def graph_families(t):
+    """Relationships by family of the whole graph of a workspace with a chart for each supplier, and how often it breaks its catalog."""
+    tables = pipeline.analyse(workspace.artifacts(_whole_workspace(t), "shop"), "shop", level=2)
+    nodes, edges = (written(df, "graph") for df in graph.project(tables, "shop", version="1"))
+    rules = catalog.of_analysis()
+    bad = catalog.node_violations(nodes, rules).unionByName(catalog.edge_violations(edges, nodes, rules)).select("rule", "id").unionByName(graph.graph_violations(nodes, edges))
+    return edges.groupBy("type").agg(F.count("*").alias("rows")).unionByName(bad.agg(F.count("*").alias("rows")).select(F.lit("violations").alias("type"), "rows"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.tables import written
 from ..operators.catalog import Catalog, classified, edge_violations, node_violations, unsafe_removals
 from ..operators.graph import PRODUCER, graph_violations, unsafe
 
@@ -168,6 +169,8 @@ def published(spark: SparkSession, path: str, verified: bool = False) -> dict[st
 
 def write_generation(nodes: DataFrame, edges: DataFrame, catalog: Catalog, path: str, plan: DataFrame | None = None, existing: DataFrame | None = None, removals: DataFrame | None = None, app: str = "") -> str:
     """Publishes a graph with the statements that bring it about; raises before anything is written if it breaks the catalog or the plan takes what isn't its own."""
+    # Made once, as they are checked and written several times.
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     found = [tuple(r) for r in graph_violations(nodes, edges).select("rule", "id").unionByName(node_violations(nodes, catalog).select("rule", "id")).unionByName(edge_violations(edges, nodes, catalog).select("rule", "id")).take(5)]
     if plan is not None:
         if existing is None:
