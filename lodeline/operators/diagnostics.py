@@ -36,6 +36,7 @@ def of(app: str, artifacts: DataFrame, tables: dict[str, DataFrame]) -> DataFram
     invalid = tables["invalid_charts"]
     versions = diagnostic(invalid.where("problem = 'api version'"), app, "IAC_HELM_UNSUPPORTED_API_VERSION", "error", "parse", F.lit("neither v1 nor v2"))
     found += [versions, diagnostic(invalid.where("problem <> 'api version'"), app, "IAC_HELM_INVALID_CHART", "error", "parse", F.col("problem"))]
+    found.append(diagnostic(tables["problems"], app, "IAC_HELM_INVALID_CONFIG", "error", "load", F.col("message"), about=F.col("about")))
     found.append(diagnostic(keys.where("duplicate"), app, "IAC_HELM_DUPLICATE_VALUE_PATH", "error", "parse", F.col("path"), line=F.col("line"), about=F.col("path")))
     twice = templates.groupBy("artifact_id", "name").agg(F.count("*").alias("n"), F.min("line").alias("line")).where("n > 1")
     found.append(diagnostic(twice, app, "IAC_HELM_DUPLICATE_TEMPLATE_DEFINITION", "error", "parse", F.format_string("%s is defined %d times", "name", "n"), line=F.col("line"), about=F.col("name")))

@@ -156,7 +156,10 @@ def project(tables: dict[str, DataFrame], app: str, version: str | None = None)
     facet = F.concat_ws("", F.transform(F.split("kind", "_"), F.initcap))
     facet = F.regexp_replace(F.regexp_replace(facet, "^HelmCrd$", "HelmCRD"), "^HelmValuesSchema$", "HelmValuesSchema")
     nodes = every.select(home.alias("id")).distinct().select("id", F.array(F.lit("Application"), F.lit("IaCApplication")).alias("labels"), F.create_map(F.lit("name"), F.lit(app)).alias("properties"))
-    nodes = nodes.unionByName(node(every.join(d.select("artifact_id"), "artifact_id", "left_anti"), "artifact_id", F.array(F.lit("Artifact")), "path"))
+    configs = tables["profiles"].where("config <> chart").select(F.col("config").alias("artifact_id")).distinct().withColumn("configures", F.lit(True))
+    plain = every.join(d.select("artifact_id"), "artifact_id", "left_anti").join(configs, "artifact_id", "left")
+    labels = F.when(F.col("configures"), F.array(F.lit("Artifact"), F.lit("IaCArtifact"))).otherwise(F.array(F.lit("Artifact")))
+    nodes = nodes.unionByName(node(plain, "artifact_id", labels, "path"))
     nodes = nodes.unionByName(node(d, "artifact_id", F.array(F.lit("Artifact"), F.lit("IaCArtifact"), F.lit("HelmArtifact"), facet), "path", "kind", "role_list"))
     nodes = nodes.unionByName(node(keys, "key", F.array(F.lit("ConfigKey"), F.lit("IaCValue"), F.lit("HelmValue")), "path", "value", "kind"))
     edges = edge(every, "has_artifact", "application", "artifact_id").unionByName(edge(d.where("chart <> artifact_id"), "iac_part_of_chart", "artifact_id", "chart")).unionByName(edge(keys, "defines_config", "artifact_id", "key"))
@@ -172,6 +175,12 @@ def project(tables: dict[str, DataFrame], app: str, version: str | None = None)
     named = tables["charts"].withColumn("alias", alias)
     nodes = nodes.unionByName(node(named, "alias", F.array(F.lit("IdentityAlias"), F.lit("IaCAlias")), "name"))
     edges = edges.unionByName(edge(named, "iac_alias_of", "alias", "chart")).unionByName(edge(named, "iac_has_alias", "chart", "alias"))
+    # What configurations and charts declare to be rendered, and the layers of values.
+    own, layers, said = tables["profiles"], tables["layers"], tables["set_keys"]
+    nodes = nodes.unionByName(node(own, "profile", F.array(F.lit("HelmRenderProfile")), "name", "namespace", "release")).unionByName(node(layers, "layer", F.array(F.lit("HelmValueLayer")), "ordinal"))
+    nodes = nodes.unionByName(node(said, "key", F.array(F.lit("ConfigKey")), "path"))
+    edges = edges.unionByName(edge(said, "defines_config", "artifact_id", "key")).unionByName(edge(own, "iac_declares_profile", "config", "profile")).unionByName(edge(own, "iac_renders_chart", "profile", "chart"))
+    edges = edges.unionByName(edge(layers, "iac_has_value_layer", "profile", "layer")).unionByName(edge(layers, "iac_reads_from", "layer", "source"))
     if "value_targets" in tables:
         edges = edges.unionByName(edge(tables["value_targets"], "iac_references_value", "reference", "key")).unionByName(edge(tables["call_targets"], "iac_calls_template", "call", "target"))
         # A dependency aims at a reference, which says what it is found to be.

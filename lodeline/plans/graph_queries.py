@@ -68,8 +68,8 @@ def _whole_workspace(t):
 
 @query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS even, count(*) FILTER (s_suppkey % 7 = 1) AS twice FROM supplier)
           SELECT type, rows FROM (SELECT unnest(['HAS_ARTIFACT', 'DEFINES_CONFIG', 'IAC_PART_OF_CHART', 'IAC_DECLARES_DEPENDENCY', 'IAC_TARGETS_CHART_REFERENCE', 'IAC_RESOLVES_TO_CHART', 'IAC_IDENTIFIED_BY_PACKAGE', 'IAC_DEFINES_TEMPLATE', 'IAC_HAS_TEMPLATE_CALL', 'IAC_CALLS_TEMPLATE',
-            'IAC_HAS_VALUE_REFERENCE', 'IAC_REFERENCES_VALUE', 'IAC_HAS_RESOURCE_TEMPLATE', 'IAC_HAS_LOOKUP_REFERENCE', 'IAC_ALIAS_OF', 'IAC_HAS_ALIAS', 'IAC_HAS_DIAGNOSTIC', 'violations']) AS type,
-            unnest([5 * n, 2 * n, 3 * n, n + even, n + even, n, even, n, n, n, n, n, 2 * n, n, 2 * n, 2 * n, twice, 0]) AS rows FROM s) WHERE rows > 0 OR type = 'violations'""")
+            'IAC_HAS_VALUE_REFERENCE', 'IAC_REFERENCES_VALUE', 'IAC_HAS_RESOURCE_TEMPLATE', 'IAC_HAS_LOOKUP_REFERENCE', 'IAC_ALIAS_OF', 'IAC_HAS_ALIAS', 'IAC_DECLARES_PROFILE', 'IAC_RENDERS_CHART', 'IAC_HAS_DIAGNOSTIC', 'violations']) AS type,
+            unnest([5 * n, 2 * n, 3 * n, n + even, n + even, n, even, n, n, n, n, n, 2 * n, n, 2 * n, 2 * n, 2 * n, 2 * n, twice, 0]) AS rows FROM s) WHERE rows > 0 OR type = 'violations'""")
 def graph_families(t):
     """Relationships by family of the whole graph of a workspace with a chart for each supplier, and how often it breaks its catalog."""
     tables = pipeline.analyse(workspace.artifacts(_whole_workspace(t), "shop"), "shop", level=2)

@@ -11,7 +11,7 @@ from ..functions.identity import anonymous_id, base_name, config_key_id, parent_
 from ..functions.tables import written
 from ..functions.values import priority
 from ..functions.workers import visible
-from ..operators import detection, diagnostics, documents, enablement, facts, ownership, regions, resolution
+from ..operators import detection, diagnostics, documents, enablement, facts, ownership, profiles, regions, resolution
 
 LEVELS = (1, 2)
 
@@ -28,18 +28,23 @@ def _charts(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return charts, said.where(~F.coalesce(fits, F.lit(False))).select("artifact_id", problem.alias("problem"))
 
 
-def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
+def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame | None = None, configurations: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of level 1 (detections, config_keys, actions, calls, references) and 2 (what they resolve to).
 
     Files are parsed once: what was read is written as tables, of which the others are plans. Each
     level adds tables and changes none of those below; ``overrides`` (artifact_id) names values
-    files that a configuration applies. Plans above ``level`` are not built.
+    files that a configuration applies, ``configurations`` (artifact_id) the files that declare profiles;
+    what these apply is an override too. Plans above ``level`` are not built.
     """
     if level not in LEVELS:
         raise ValueError(f"level {level} is none of {LEVELS}")
     visible(artifacts.sparkSession)
     artifacts = written(artifacts, "artifacts")
     charts, invalid = (written(df, tag) for df, tag in zip(_charts(artifacts), ("charts", "invalid-charts"), strict=True))
+    declared = _profiles(artifacts, charts, app, configurations)
+    applied = declared["layers"].where("key IS NULL").select(F.col("source").alias("artifact_id"))
+    if configurations is not None:
+        overrides = applied if overrides is None else overrides.select("artifact_id").unionByName(applied)
     files = artifacts.where(~detection.excluded(F.col("path")) & (F.col("source") != ""))
     owned = ownership.nearest_ancestor(files, "path", charts, "directory", "chart").where("chart IS NOT NULL").join(charts, "chart")
     relative = F.when(F.col("directory") == ".", F.col("path")).otherwise(F.substr(F.col("path"), F.length("directory") + 2))
@@ -58,6 +63,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
         "detections": detections.drop("source"),
         "charts": charts,
         "invalid_charts": invalid,
+        **declared,
         "unreadable": parsed.where("keys IS NULL").select("artifact_id", "value", "status"),
         "config_keys": keys,
         "actions": actions,
@@ -73,14 +79,14 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
         out["diagnostics"] = diagnostics.of(app, artifacts, out)
         return out
     of = detections.join(charts.select("chart", "type"), "chart").select("artifact_id", "chart", "type", F.col("path").alias("file"), "roles")
-    declared = keys.where(~F.col("duplicate")).join(of, "artifact_id").select("chart", "path", "key", priority(F.col("roles")).alias("priority"), "kind", F.col("value").alias("text"))
+    spoken = keys.where(~F.col("duplicate")).join(of, "artifact_id").select("chart", "path", "key", priority(F.col("roles")).alias("priority"), "kind", F.col("value").alias("text"))
     asked = out["references"].join(of.select("artifact_id", "chart"), "artifact_id")
-    out["value_targets"] = resolution.value_targets(asked, declared.drop("kind", "text"))
+    out["value_targets"] = resolution.value_targets(asked, spoken.drop("kind", "text"))
     children = written(ownership.vendored_children(charts).join(charts.select(F.col("chart").alias("child"), F.col("name").alias("child_name"), "version"), "child"), "children")
     out["dependencies"] = written(_dependencies(artifacts, detections, charts, children), "dependencies")
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
     ways = written(enablement.links(children, out["dependencies"]), "ways")
-    trees = enablement.trees(ways, roots, out["dependencies"], written(enablement.switches(declared), "switches"))
+    trees = enablement.trees(ways, roots, out["dependencies"], written(enablement.switches(spoken), "switches"))
     # Where a chart stands in a tree, and all the templates that may stand at a place there.
     named = charts.select(F.col("chart").alias("tree"), F.col("name").alias("root"))
     here = trees.join(named, "tree").withColumn("at", F.concat_ws("/", F.array("root"), F.transform("names", lambda n: F.concat(F.lit("charts/"), n))))
@@ -113,6 +119,19 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     return out
 
 
+def _profiles(artifacts: DataFrame, charts: DataFrame, app: str, configurations: DataFrame | None) -> dict[str, DataFrame]:
+    """Tables of the profiles of configurations and, without any, of every chart; see profiles.configured_profiles."""
+    chosen = artifacts.limit(0) if configurations is None else artifacts.join(configurations.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    keys = written(documents.yaml_keys(chosen), "configurations")
+    found = profiles.configured_profiles(keys, artifacts, charts, app)
+    if configurations is not None:
+        unread = configurations.select("artifact_id").distinct().join(artifacts.select("artifact_id"), "artifact_id", "left_anti")
+        if unread.take(1):
+            raise ValueError(f"configurations that are not in the inventory: {[r[0] for r in unread.take(5)]}")
+    found["profiles"] = found["profiles"].unionByName(profiles.default_profiles(charts, artifacts, app))
+    return {name: written(df, name) for name, df in found.items()}
+
+
 def _dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame, children: DataFrame) -> DataFrame:
     """What charts declare in Chart.yaml and, of apiVersion v1, in the requirements.yaml beside it."""
     older = detections.where("kind = 'helm_requirements'").select("artifact_id", F.col("chart").alias("owner"))
