@@ -40,6 +40,10 @@ def of(app: str, artifacts: DataFrame, tables: dict[str, DataFrame]) -> DataFram
     found.append(diagnostic(keys.where("duplicate"), app, "IAC_HELM_DUPLICATE_VALUE_PATH", "error", "parse", F.col("path"), line=F.col("line"), about=F.col("path")))
     twice = templates.groupBy("artifact_id", "name").agg(F.count("*").alias("n"), F.min("line").alias("line")).where("n > 1")
     found.append(diagnostic(twice, app, "IAC_HELM_DUPLICATE_TEMPLATE_DEFINITION", "error", "parse", F.format_string("%s is defined %d times", "name", "n"), line=F.col("line"), about=F.col("name")))
+    if "conflict" in artifacts.columns:
+        found.append(diagnostic(artifacts.where("conflict"), app, "IAC_ARTIFACT_HASH_CONFLICT", "error", "load", F.concat(F.lit("another content is known of "), "path"), about=F.lit("hash")))
+    found.append(diagnostic(tables["unbalanced"], app, "IAC_HELM_TEMPLATE_PARSE", "error", "parse", F.format_string("%d blocks are left open at the end", "opened"), line=F.col("line")))
+    found.append(diagnostic(tables["invalid_dependencies"], app, "IAC_HELM_INVALID_DEPENDENCY", "error", "parse", F.concat(F.lit("no name or version: "), "nth"), about=F.col("nth")))
     if "value_targets" in tables:
         several = tables["value_targets"].where("status = 'ambiguous'")
         found.append(diagnostic(several, app, "IAC_HELM_AMBIGUOUS_VALUE_REFERENCE", "warning", "resolve", F.format_string("%s has %d declarations of one rank", "path", "candidates"), line=F.col("line"), about=F.col("path")))
@@ -58,3 +62,20 @@ def of(app: str, artifacts: DataFrame, tables: dict[str, DataFrame]) -> DataFram
 def by_code(diagnostics: DataFrame) -> DataFrame:
     """(code, severity, n) of a table of diagnostics."""
     return diagnostics.groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+class Failed(Exception):
+    """An analysis that is complete but counts as a failure: its diagnostics by code."""
+
+    def __init__(self, counts: dict[str, int]):
+        super().__init__(f"{sum(counts.values())} errors: {', '.join(f'{code} ({n})' for code, n in sorted(counts.items()))}")
+        self.counts = counts
+
+
+def judge(diagnostics: DataFrame, strict: bool = False) -> None:
+    """Raises on an unusable configuration, and if ``strict`` on any error; what was written stays."""
+    counts = {r.code: r.n for r in by_code(diagnostics.where("severity = 'error'")).collect()}
+    if "IAC_HELM_INVALID_CONFIG" in counts:
+        raise Failed({"IAC_HELM_INVALID_CONFIG": counts["IAC_HELM_INVALID_CONFIG"]})
+    if strict and counts:
+        raise Failed(counts)

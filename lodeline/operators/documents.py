@@ -204,6 +204,15 @@ def numbered_facts(facts: DataFrame, kind: str, into: str, order: list[str]) ->
     return df.withColumn(into, anonymous_id(F.col("artifact_id"), kind, F.col("line"), F.lit(1), F.col("__nth"))).drop("__nth")
 
 
+def unbalanced(actions: DataFrame) -> DataFrame:
+    """(artifact_id, line, opened) of files whose blocks aren't all closed, or are closed before they open; line of the last action, opened: how many are left."""
+    kind = F.regexp_extract("action", r"^(define|block|if|range|with|end)\b", 1)
+    step = F.when(kind == "end", -1).when(kind != "", 1).otherwise(0)
+    sofar = F.sum(step).over(Window.partitionBy("artifact_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    each = actions.select("artifact_id", "line", "nth", sofar.alias("level")).groupBy("artifact_id").agg(F.min("level").alias("least"), F.max_by("level", "nth").alias("opened"), F.max("line").alias("line"))
+    return each.where("least < 0 OR opened <> 0").select("artifact_id", "line", "opened")
+
+
 def named_templates(actions: DataFrame) -> DataFrame:
     """(artifact_id, line, name, start, nth, empty) of ``define`` and ``block`` actions, with whether nothing stands in the body.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import identity as ids
 from ..functions.workers import visible
-from ..operators import documents, trees
+from ..operators import documents, profiles, trees
 from .catalog import query
 
 c = F.col
@@ -45,3 +46,22 @@ def tree_digests(t):
     rows = orders.unionByName(lines.select(c("l_orderkey").alias("tree"), F.explode(each).alias("x")).join(t("orders").select(c("o_orderkey").alias("tree")), "tree", "left_semi"))
     visible(rows.sparkSession)
     return trees.tree_digests(rows.select("tree", "x.*"))
+
+
+@query(r"""WITH x AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS s FROM customer WHERE c_nationkey % 5 <> 0 AND c_mktsegment <> 'MACHINERY'),
+           p AS (SELECT k, 'main' || k AS name, 'can://artifact/app/c' || n || '/Chart.yaml' AS chart, NULL AS ordinal, NULL AS source, NULL AS value FROM x
+                 UNION ALL SELECT k, 'second' || k, 'can://artifact/app/c1/Chart.yaml', 0, 'can://artifact/app/' || lower(s) || '.yaml', NULL FROM x
+                 UNION ALL SELECT k, 'second' || k, 'can://artifact/app/c1/Chart.yaml', 1, 'can://artifact/app/r' || k || '.yaml@key/renders.1.set.owner', n::VARCHAR FROM x)
+           SELECT 'can://artifact/app/r' || k || '.yaml' AS config, name, chart, ordinal::INTEGER AS ordinal, source, value FROM p""")
+def configured_profiles(t):
+    """Two profiles that each customer's configuration declares, of which one has a layer from a file and one of its own; charts of some nations and one file aren't there."""
+    app = F.lit("app")
+    k, segment = c("c_custkey").cast("string"), F.lower("c_mktsegment")
+    text = F.concat(F.lit("renders:\n  - name: main"), k, F.lit("\n    chart: c"), c("c_nationkey").cast("string"), F.lit("/Chart.yaml\n  - name: second"), k, F.lit("\n    chart: c1/Chart.yaml\n    values: ["), segment, F.lit(".yaml]\n    set: {owner: '"), c("c_nationkey").cast("string"), F.lit("'}\n"))
+    configs = t("customer").select(ids.artifact_id(app, F.concat(F.lit("r"), k, F.lit(".yaml"))).alias("artifact_id"), text.alias("source"))
+    visible(configs.sparkSession)
+    charts = t("nation").where("n_nationkey % 5 <> 0").select(ids.artifact_id(app, F.concat(F.lit("c"), c("n_nationkey").cast("string"), F.lit("/Chart.yaml"))).alias("chart"), c("n_name").alias("name"))
+    values = t("customer").where("c_mktsegment <> 'MACHINERY'").select(ids.artifact_id(app, F.concat(segment, F.lit(".yaml"))).alias("artifact_id")).distinct()
+    artifacts = values.unionByName(charts.select(c("chart").alias("artifact_id"))).withColumn("sha256", F.sha2(c("artifact_id").cast("binary"), 256))
+    found = profiles.configured_profiles(documents.yaml_keys(configs), artifacts, charts, "app")
+    return found["profiles"].join(found["layers"], "profile", "left").select("config", "name", "chart", "ordinal", "source", "value")

@@ -11,7 +11,8 @@ from ..functions.identity import anonymous_id, base_name, config_key_id, parent_
 from ..functions.tables import written
 from ..functions.values import priority
 from ..functions.workers import visible
-from ..operators import detection, diagnostics, documents, enablement, facts, ownership, profiles, regions, resolution
+from ..operators import catalog, detection, diagnostics, documents, enablement, facts, graph, ownership, profiles, regions, resolution
+from ..sources import sinks
 
 LEVELS = (1, 2)
 
@@ -72,6 +73,9 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
         "lookups": documents.numbered_facts(documents.lookup_references(actions), "lookup-reference", "lookup", ["api", "resource", "namespace", "name"]),
         "templates": documents.named_templates(actions).withColumn("template", anonymous_id(F.col("artifact_id"), "named-template", F.col("line"), F.col("start"))),
     }
+    out["unbalanced"] = documents.unbalanced(actions)
+    read = _declared_dependencies(artifacts, detections, charts)
+    out["invalid_dependencies"] = read.where("NOT valid").select("artifact_id", "nth")
     bearing = F.arrays_overlap("roles", F.array(*(F.lit(r) for r in ("resource", "test", "hook"))))
     found = regions.template_regions(detections.where("kind = 'helm_template'").where(bearing))
     out["regions"] = written(found.withColumn("region", anonymous_id(F.col("artifact_id"), "resource-template", F.col("first_line"), F.col("start"))), "regions")
@@ -83,7 +87,8 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     asked = out["references"].join(of.select("artifact_id", "chart"), "artifact_id")
     out["value_targets"] = resolution.value_targets(asked, spoken.drop("kind", "text"))
     children = written(ownership.vendored_children(charts).join(charts.select(F.col("chart").alias("child"), F.col("name").alias("child_name"), "version"), "child"), "children")
-    out["dependencies"] = written(_dependencies(artifacts, detections, charts, children), "dependencies")
+    found = resolution.dependency_targets(read.where("valid"), children, listed=True)
+    out["dependencies"] = written(read.where("valid").select("dependency", "artifact_id", "owner", "name", "alias", "constraint", "repository", "condition", "tags").join(found, "dependency"), "dependencies")
     roots = charts.join(children.select(F.col("child").alias("chart")), "chart", "left_anti").select(F.col("chart").alias("root"))
     ways = written(enablement.links(children, out["dependencies"]), "ways")
     trees = enablement.trees(ways, roots, out["dependencies"], written(enablement.switches(spoken), "switches"))
@@ -132,21 +137,38 @@ def _profiles(artifacts: DataFrame, charts: DataFrame, app: str, configurations:
     return {name: written(df, name) for name, df in found.items()}
 
 
-def _dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame, children: DataFrame) -> DataFrame:
-    """What charts declare in Chart.yaml and, of apiVersion v1, in the requirements.yaml beside it."""
+def _declared_dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame) -> DataFrame:
+    """What charts declare in Chart.yaml and, of apiVersion v1, in the requirements.yaml beside it; valid: with a name and a version."""
     older = detections.where("kind = 'helm_requirements'").select("artifact_id", F.col("chart").alias("owner"))
     owners = charts.select(F.col("chart").alias("artifact_id"), F.col("chart").alias("owner")).unionByName(older)
     keys = written(documents.yaml_keys(artifacts.join(owners, "artifact_id", "left_semi")), "declared")
-    item = keys.where((F.size("keys") == 3) & (F.get("keys", F.lit(0)) == "dependencies") & ~F.col("duplicate"))
-    field = item.withColumn("field", F.get("keys", F.lit(2)))
+    inside = (F.get("keys", F.lit(0)) == "dependencies") & ~F.col("duplicate")
     nth = F.get("keys", F.lit(1)).alias("nth")
-    each = field.groupBy("artifact_id", nth).pivot("field", ["name", "version", "alias", "repository", "condition"]).agg(F.first("value"))
-    tag = keys.where((F.size("keys") == 4) & (F.get("keys", F.lit(0)) == "dependencies") & (F.get("keys", F.lit(2)) == "tags") & F.col("value").isNotNull())
+    items = keys.where((F.size("keys") == 2) & inside).select("artifact_id", nth)
+    field = keys.where((F.size("keys") == 3) & inside).withColumn("field", F.get("keys", F.lit(2)))
+    each = field.groupBy("artifact_id", nth).pivot("field", ["name", "version", "alias", "repository", "condition"]).agg(F.first(F.trim("value")))
+    tag = keys.where((F.size("keys") == 4) & inside & (F.get("keys", F.lit(2)) == "tags") & F.col("value").isNotNull())
     tags = tag.groupBy("artifact_id", nth).agg(F.array_sort(F.collect_set("value")).alias("tags"))
-    each = each.where("name <> '' AND version <> ''").join(tags, ["artifact_id", "nth"], "left").join(owners, "artifact_id")
-    each = each.select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "artifact_id", "owner", "name", "alias", F.col("version").alias("constraint"), "repository", "condition", "tags")
-    found = resolution.dependency_targets(each, children, listed=True)
-    return each.select("dependency", "artifact_id", "owner", "name", "alias", "constraint", "repository", "condition", "tags").join(found, "dependency")
+    each = items.join(each, ["artifact_id", "nth"], "left").join(tags, ["artifact_id", "nth"], "left").join(owners, "artifact_id")
+    valid = (F.coalesce("name", F.lit("")) != "") & (F.coalesce("version", F.lit("")) != "")
+    return written(each.select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "artifact_id", "nth", "owner", "name", "alias", F.col("version").alias("constraint"), "repository", "condition", "tags", valid.alias("valid")), "declared")
+
+
+def run(artifacts: DataFrame, app: str, path: str, version: str = "1", strict: bool = False, **options) -> str:
+    """The whole way: analyses an inventory, publishes its graph below ``path``, then judges the diagnostics.
+
+    Raises before anything is written where the analysis or the graph breaks a rule, and after it where
+    a configuration is unusable or, if ``strict``, there is any error. Returns the generation.
+    """
+    tables = analyse(artifacts, app, **options)
+    broken = violations(tables).take(5)
+    if broken:
+        raise ValueError(f"the analysis is inconsistent: {[tuple(r) for r in broken]}")
+    nodes, edges = graph.project(tables, app, version)
+    found = written(tables["diagnostics"], "diagnostics")
+    generation = sinks.write_generation(nodes, edges, catalog.of_analysis(), path, app=app)
+    diagnostics.judge(found, strict)
+    return generation
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
