@@ -25,15 +25,13 @@ def identity_segments(t):
     return t("part").select("p_partkey", ids.encode_segment(c("p_name")).alias("segment"), ids.encode_value_segment(F.concat_ws(".", "p_type", "p_name")).alias("value_segment"), F.concat(F.lit("can://iac/shop/"), ids.encode_segment(c("p_brand")), F.lit("/"), ids.encode_segment(c("p_type"))).alias("semantic"))
 
 
-@query("""SELECT doc_id, 'can://artifact/corpus/' || url_encode(source) || '/' || url_encode(lang) || '/' || url_encode(left(text, 12)) AS artifact,
-          'can://iac/corpus/text/' || url_encode(source) || '/' || url_encode(left(text, 12)) AS semantic,
-          'can://artifact/corpus/' || url_encode(source) || '@key/' || url_encode(replace(url_encode(left(text, 12)), '.', '%2E')) AS key
-          FROM documents WHERE NOT contains(left(text, 12), '/') AND left(text, 12) NOT IN ('', '.', '..') AND NOT contains(left(text, 12), chr(92))""")
+@query(r"""SELECT doc_id, 'can://artifact/corpus/' || url_encode(source) || '/' || url_encode(lang) || '/' || url_encode(seg) AS artifact, 'can://iac/corpus/text/' || url_encode(source) || '/' || url_encode(seg) AS semantic,
+          'can://artifact/corpus/' || url_encode(source) || '@key/' || url_encode(replace(url_encode(seg), '.', '%2E')) AS key FROM (SELECT *, 't' || regexp_replace(text, '[/\\\x00]', ' ', 'g') AS seg FROM documents)""")
 def artifact_identities(t):
-    head = F.substring("text", 1, 12)
-    d = t("documents").where(~F.contains(head, F.lit("/")) & ~head.isin("", ".", "..") & ~F.contains(head, F.lit("\\")))
+    """Identities whose last segment is the whole text of a document; what no segment may hold is a space there."""
+    seg = F.concat(F.lit("t"), F.regexp_replace("text", r"[/\\\x00]", " "))
     app = F.lit("corpus")
-    return d.select("doc_id", ids.artifact_id(app, F.concat_ws("/", "source", "lang", head)).alias("artifact"), ids.semantic_id(app, "text", c("source"), head).alias("semantic"), ids.config_key_id(ids.artifact_id(app, c("source")), ids.encode_value_segment(head)).alias("key"))
+    return t("documents").select("doc_id", ids.artifact_id(app, F.concat("source", F.lit("/"), "lang", F.lit("/"), seg)).alias("artifact"), ids.semantic_id(app, "text", c("source"), seg).alias("semantic"), ids.config_key_id(ids.artifact_id(app, c("source")), ids.encode_value_segment(seg)).alias("key"))
 
 
 @query("""SELECT doc_id, 'can://artifact/corpus/' || s || '/' || l || '/' || coalesce(doc_id::VARCHAR, 'none') || '-' || d AS artifact, 'can://iac/corpus/text/' || s || '/' || d AS semantic, 'can://artifact/corpus/' || s || '@key/' || d AS key
@@ -576,9 +574,11 @@ def template_calls(t):
     return documents.template_calls(documents.template_actions(_templates(t)))
 
 
-@query("""SELECT 1 AS phase, 'd' || doc_id AS id, 'MERGE (n {id: ''d' || doc_id || '''}) SET n:' || upper(lang) || ':Text, n += {`head`: ''' || replace(replace(replace(left(text, 40), '\\', '\\\\'), '''', '\\'''), chr(10), '\\n') || '''};' AS statement FROM documents""")
+@query(r"""SELECT 1 AS phase, 'p' || page_id AS id, 'MERGE (n {id: ''p' || page_id || '''}) SET n:Page, n += {`html`: ''' || replace(replace(replace(replace(replace(replace(replace(html, '\', '\\'), '''', '\'''), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), chr(8), '\b'), chr(12), '\f')
+          || ''', `url`: ''' || replace(replace(url, '\', '\\'), '''', '\''') || '''};' AS statement FROM pages""")
 def upsert_statements(t):
-    nodes = t("documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"), F.array(F.upper("lang"), F.lit("Text")).alias("labels"), F.create_map(F.lit("head"), F.substring("text", 1, 40)).alias("properties"))
+    """A statement for each page, with its whole source."""
+    nodes = t("pages").select(F.concat(F.lit("p"), c("page_id").cast("string")).alias("id"), F.array(F.lit("Page")).alias("labels"), F.create_map(F.lit("url"), c("url"), F.lit("html"), c("html")).alias("properties"))
     return sinks.statements(nodes, nodes.where("false").select(F.lit("x").alias("type"), c("id").alias("src"), c("id").alias("dst")))
 
 
