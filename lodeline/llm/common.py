@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Java regular expression of the white space that ends a word: space and 09 to 0D.
 SPACES = r"[ \t-\r]+"
 #: Bytes of text that one vectorised step inside a task takes (a longer document is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def visible(spark: SparkSession) -> None:

@@ -35,7 +35,7 @@ CROWD = 512
 #: How many times more of these there are, and their least characters.
 FINER, NARROW = 3, 5
 #: Bytes of lines whose finer segments are made at a time.
-STEP = 1 << 18
+STEP = 1 << 16
 #: Lines of one segment that are one block, where even the finer ones are crowded.
 BLOCK = 1024
 #: Lines of candidate pairs up to which their texts are found by broadcast; beyond, by a shuffled join.
