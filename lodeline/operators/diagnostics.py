@@ -44,6 +44,7 @@ def of(app: str, artifacts: DataFrame, tables: dict[str, DataFrame]) -> DataFram
         found.append(diagnostic(artifacts.where("conflict"), app, "IAC_ARTIFACT_HASH_CONFLICT", "error", "load", F.concat(F.lit("another content is known of "), "path"), about=F.lit("hash")))
     found.append(diagnostic(tables["unbalanced"], app, "IAC_HELM_TEMPLATE_PARSE", "error", "parse", F.format_string("%d blocks are left open at the end", "opened"), line=F.col("line")))
     found.append(diagnostic(tables["invalid_dependencies"], app, "IAC_HELM_INVALID_DEPENDENCY", "error", "parse", F.concat(F.lit("no name or version: "), "nth"), about=F.col("nth")))
+    found.append(diagnostic(tables["invalid_resources"], app, "IAC_HELM_INVALID_CRD", "error", "parse", F.lit("a document is no complete definition of a resource")))
     if "value_targets" in tables:
         several = tables["value_targets"].where("status = 'ambiguous'")
         found.append(diagnostic(several, app, "IAC_HELM_AMBIGUOUS_VALUE_REFERENCE", "warning", "resolve", F.format_string("%s has %d declarations of one rank", "path", "candidates"), line=F.col("line"), about=F.col("path")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import anonymous_id, encode_value_segment, value_path
 from .precedence import occurrences
 
-KEYS = "artifact_id string, keys array<string>, value string, kind string, line int, column int, duplicate boolean, status string"
+KEYS = "artifact_id string, keys array<string>, value string, kind string, line int, column int, duplicate boolean, document int, status string"
 
 
 #: Parses at most that a broken document may cost.
@@ -68,17 +68,17 @@ def recovered(source: str) -> tuple[list, str | None, int]:
 
 
 def _keys_of(events: list) -> Iterator[tuple]:
-    """(keys, value, kind, line, column, duplicate) of each key and index of all documents.
+    """(keys, value, kind, line, column, duplicate, document) of each key and index of all documents, which count from 0.
 
     An alias is a value of its kind and isn't followed, so what it stands for is there once and no
     document grows or never ends. A key that is there already is a duplicate.
     """
     import yaml
 
-    resolver, seen, stack = yaml.resolver.Resolver(), set(), []
+    resolver, seen, stack, document = yaml.resolver.Resolver(), set(), [], -1
     for e in events:
         if isinstance(e, yaml.DocumentStartEvent):
-            stack = []
+            stack, document = [], document + 1
         elif isinstance(e, yaml.CollectionEndEvent):
             stack.pop()
         elif isinstance(e, yaml.NodeEvent):
@@ -101,7 +101,7 @@ def _keys_of(events: list) -> Iterator[tuple]:
                         kind = tag.rpartition(":")[2]
                     else:
                         kind = "alias" if isinstance(e, yaml.AliasEvent) else "map" if isinstance(e, yaml.MappingStartEvent) else "seq"
-                    yield list(path), e.value if scalar else None, kind, mark.line + 1, mark.column + 1, path in seen
+                    yield list(path), e.value if scalar else None, kind, mark.line + 1, mark.column + 1, path in seen, document
                     seen.add(path)
             elif top is not None:
                 path = None
@@ -125,14 +125,23 @@ def yaml_keys(documents: DataFrame) -> DataFrame:
                 events, problem, _ = recovered(source or "")
                 status = "complete" if problem is None else "partial" if events else "failed"
                 if problem is not None:
-                    out.append((artifact, None, problem, None, None, None, False, status))
+                    out.append((artifact, None, problem, None, None, None, False, None, status))
                 out += [(artifact, *row, status) for row in _keys_of(events)]
-            types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+            types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     return documents.select("artifact_id", "source").mapInArrow(run, KEYS).withColumn("path", value_path(F.col("keys")))
 
 
+def custom_resources(keys: DataFrame) -> DataFrame:
+    """(artifact_id, document, name, group, kind, plural, valid) of the documents of files that define resources; valid: all four are there and it is such a definition."""
+    places = {"kind": "type", "metadata.name": "name", "spec.group": "group", "spec.names.kind": "resource", "spec.names.plural": "plural"}
+    own = keys.where("keys IS NOT NULL").groupBy("artifact_id", "document").pivot("path", list(places)).agg(F.first("value"))
+    own = own.select("artifact_id", "document", *(F.coalesce(F.col(f"`{p}`"), F.lit("")).alias(n) for p, n in places.items()))
+    valid = (F.col("type") == "CustomResourceDefinition") & (F.least(*(F.length(n) for n in ("name", "group", "resource", "plural"))) > 0)
+    return own.select("artifact_id", "document", "name", "group", F.col("resource").alias("kind"), "plural", valid.alias("valid"))
+
+
 #: An action that isn't a comment; strings and raw strings inside it may hold braces.
 ACTION = r"""(?s)\{\{-?\s*(?!/\*)(?:[^"`'}]++|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|'(?:[^'\\]++|\\.)*+'|\}(?!\}))*+\}\}"""
 

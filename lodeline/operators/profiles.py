@@ -14,6 +14,11 @@ from ..functions.values import release_name
 TOP = {"version": "int", "renders": "seq"}
 FIELDS = {"name": "text", "chart": "text", "release_name": "text", "namespace": "text", "values": "seq", "set": "map", "kube_version": "text", "api_versions": "seq"}
 VERSION, NAMESPACE = 1, "default"
+#: The tables besides profiles that configured_profiles makes.
+TABLES = {
+    "layers": "profile string, layer string, ordinal int, source string, key string, value string", "set_keys": "artifact_id string, key string, path string, line int",
+    "api_versions": "profile string, nth int, api_version string", "problems": "artifact_id string, about string, message string",
+}
 _NO_TEXT = ("map", "seq", "alias")
 
 

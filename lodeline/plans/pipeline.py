@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import anonymous_id, base_name, config_key_id, parent_dir
@@ -54,7 +54,7 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     kind = detection.kind_and_roles(relative, F.col("apiVersion"), F.col("type"), F.coalesce("override", F.lit(False)), detection.is_hook(F.col("source")))
     detections = owned.withColumn("k", kind).where("k IS NOT NULL").select("artifact_id", "path", "chart", "k.kind", "k.roles", "source")
     detections = written(detections, "detections")
-    parsed = written(documents.yaml_keys(detections.where("kind IN ('helm_values', 'helm_requirements')")), "keys")
+    parsed = written(documents.yaml_keys(detections.where("kind IN ('helm_values', 'helm_requirements', 'helm_lock', 'helm_crd')")), "keys")
     values = detections.where("kind = 'helm_values'").select("artifact_id")
     keys = parsed.where("keys IS NOT NULL").join(values, "artifact_id", "left_semi")
     keys = keys.withColumn("key", config_key_id(F.col("artifact_id"), F.col("path")))
@@ -75,7 +75,17 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     }
     out["unbalanced"] = documents.unbalanced(actions)
     read = _declared_dependencies(artifacts, detections, charts)
-    out["invalid_dependencies"] = read.where("NOT valid").select("artifact_id", "nth")
+    of_kind = lambda kind: parsed.where("keys IS NOT NULL").join(detections.where(F.col("kind") == kind).select("artifact_id"), "artifact_id", "left_semi")
+    locked = _items(of_kind("helm_lock"), ["name", "version", "repository"])
+    locked = locked.withColumn("valid", _named(locked))
+    out["locked"] = locked.where("valid").drop("valid")
+    out["invalid_dependencies"] = read.where("NOT valid").select("artifact_id", "nth").unionByName(locked.where("NOT valid").select("artifact_id", "nth"))
+    resources = documents.custom_resources(of_kind("helm_crd"))
+    out["custom_resources"] = resources.where("valid").drop("valid")
+    # A file without any is no definition either, unless it couldn't be read at all.
+    empty = detections.where("kind = 'helm_crd'").select("artifact_id").join(parsed.where("status <> 'complete'"), "artifact_id", "left_anti").join(resources.where("valid"), "artifact_id", "left_anti")
+    out["invalid_resources"] = resources.where("NOT valid").select("artifact_id").unionByName(empty.select("artifact_id")).distinct()
+    out["import_values"] = _imports(read)
     bearing = F.arrays_overlap("roles", F.array(*(F.lit(r) for r in ("resource", "test", "hook"))))
     found = regions.template_regions(detections.where("kind = 'helm_template'").where(bearing))
     out["regions"] = written(found.withColumn("region", anonymous_id(F.col("artifact_id"), "resource-template", F.col("first_line"), F.col("start"))), "regions")
@@ -126,17 +136,36 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
 
 def _profiles(artifacts: DataFrame, charts: DataFrame, app: str, configurations: DataFrame | None) -> dict[str, DataFrame]:
     """Tables of the profiles of configurations and, without any, of every chart; see profiles.configured_profiles."""
-    chosen = artifacts.limit(0) if configurations is None else artifacts.join(configurations.select("artifact_id").distinct(), "artifact_id", "left_semi")
-    keys = written(documents.yaml_keys(chosen), "configurations")
+    own = profiles.default_profiles(charts, artifacts, app)
+    if configurations is None:
+        spark = artifacts.sparkSession
+        return {"profiles": own, **{name: spark.createDataFrame([], schema) for name, schema in profiles.TABLES.items()}}
+    unread = configurations.select("artifact_id").distinct().join(artifacts.select("artifact_id"), "artifact_id", "left_anti").take(5)
+    if unread:
+        raise ValueError(f"configurations that are not in the inventory: {[r[0] for r in unread]}")
+    keys = written(documents.yaml_keys(artifacts.join(configurations.select("artifact_id").distinct(), "artifact_id", "left_semi")), "configurations")
     found = profiles.configured_profiles(keys, artifacts, charts, app)
-    if configurations is not None:
-        unread = configurations.select("artifact_id").distinct().join(artifacts.select("artifact_id"), "artifact_id", "left_anti")
-        if unread.take(1):
-            raise ValueError(f"configurations that are not in the inventory: {[r[0] for r in unread.take(5)]}")
-    found["profiles"] = found["profiles"].unionByName(profiles.default_profiles(charts, artifacts, app))
+    found["profiles"] = found["profiles"].unionByName(own)
     return {name: written(df, name) for name, df in found.items()}
 
 
+def _items(keys: DataFrame, fields: list[str]) -> DataFrame:
+    """(artifact_id, nth and fields) of the entries of the list of dependencies."""
+    inside = (F.get("keys", F.lit(0)) == "dependencies") & ~F.col("duplicate")
+    nth = F.get("keys", F.lit(1)).alias("nth")
+    said = keys.where((F.size("keys") == 3) & inside).withColumn("field", F.get("keys", F.lit(2))).groupBy("artifact_id", nth).pivot("field", fields).agg(F.first(F.trim("value")))
+    return keys.where((F.size("keys") == 2) & inside).select("artifact_id", nth).join(said, ["artifact_id", "nth"], "left")
+
+
+def _named(items: DataFrame) -> Column:
+    return (F.coalesce("name", F.lit("")) != "") & (F.coalesce("version", F.lit("")) != "")
+
+
+def _imports(declared: DataFrame) -> DataFrame:
+    """(dependency, item, name, child, parent) of the values that dependencies lend their owner."""
+    return declared.where("valid").select("dependency", F.explode("imports").alias("x")).select("dependency", "x.*")
+
+
 def _declared_dependencies(artifacts: DataFrame, detections: DataFrame, charts: DataFrame) -> DataFrame:
     """What charts declare in Chart.yaml and, of apiVersion v1, in the requirements.yaml beside it; valid: with a name and a version."""
     older = detections.where("kind = 'helm_requirements'").select("artifact_id", F.col("chart").alias("owner"))
@@ -144,14 +173,18 @@ def _declared_dependencies(artifacts: DataFrame, detections: DataFrame, charts:
     keys = written(documents.yaml_keys(artifacts.join(owners, "artifact_id", "left_semi")), "declared")
     inside = (F.get("keys", F.lit(0)) == "dependencies") & ~F.col("duplicate")
     nth = F.get("keys", F.lit(1)).alias("nth")
-    items = keys.where((F.size("keys") == 2) & inside).select("artifact_id", nth)
-    field = keys.where((F.size("keys") == 3) & inside).withColumn("field", F.get("keys", F.lit(2)))
-    each = field.groupBy("artifact_id", nth).pivot("field", ["name", "version", "alias", "repository", "condition"]).agg(F.first(F.trim("value")))
-    tag = keys.where((F.size("keys") == 4) & inside & (F.get("keys", F.lit(2)) == "tags") & F.col("value").isNotNull())
-    tags = tag.groupBy("artifact_id", nth).agg(F.array_sort(F.collect_set("value")).alias("tags"))
-    each = items.join(each, ["artifact_id", "nth"], "left").join(tags, ["artifact_id", "nth"], "left").join(owners, "artifact_id")
-    valid = (F.coalesce("name", F.lit("")) != "") & (F.coalesce("version", F.lit("")) != "")
-    return written(each.select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "artifact_id", "nth", "owner", "name", "alias", F.col("version").alias("constraint"), "repository", "condition", "tags", valid.alias("valid")), "declared")
+    each = _items(keys, ["name", "version", "alias", "repository", "condition"])
+    listed = lambda name: keys.where((F.size("keys") == 4) & inside & (F.get("keys", F.lit(2)) == name) & F.col("value").isNotNull())
+    nth = F.get("keys", F.lit(1)).alias("nth")
+    tags = listed("tags").groupBy("artifact_id", nth).agg(F.array_sort(F.collect_set("value")).alias("tags"))
+    # Values to import are names, or pairs of a child and a parent.
+    pairs = keys.where((F.size("keys") == 5) & inside & (F.get("keys", F.lit(2)) == "import-values")).groupBy("artifact_id", nth, F.get("keys", F.lit(3)).alias("item")).pivot(F.get("keys", F.lit(4)), ["child", "parent"]).agg(F.first("value"))
+    single = listed("import-values").select("artifact_id", nth, F.get("keys", F.lit(3)).alias("item"), F.col("value").alias("name"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("string").alias("parent"))
+    every = single.unionByName(pairs.select("artifact_id", "nth", "item", F.lit(None).cast("string").alias("name"), "child", "parent"))
+    imports = every.groupBy("artifact_id", "nth").agg(F.array_sort(F.collect_list(F.struct(F.col("item").cast("int").alias("item"), "name", "child", "parent"))).alias("imports"))
+    each = each.join(tags, ["artifact_id", "nth"], "left").join(imports, ["artifact_id", "nth"], "left").join(owners, "artifact_id")
+    valid = _named(each)
+    return written(each.select(F.concat_ws("#", "artifact_id", "nth").alias("dependency"), "artifact_id", "nth", "owner", "name", "alias", F.col("version").alias("constraint"), "repository", "condition", "tags", "imports", valid.alias("valid")), "declared")
 
 
 def run(artifacts: DataFrame, app: str, path: str, version: str = "1", strict: bool = False, **options) -> str:

@@ -7,7 +7,7 @@ from lodeline.operators import documents
 
 def keys(source):
     events, problem, attempts = documents.recovered(source)
-    return [(".".join(k), v, kind, dup) for k, v, kind, *_, dup in documents._keys_of(events)], problem, attempts
+    return [(".".join(k), v, kind, dup) for k, v, kind, *_, dup, _ in documents._keys_of(events)], problem, attempts
 
 
 def test_aliases_are_leaves():
@@ -43,3 +43,10 @@ def test_rows_say_how_far_a_document_is_good(spark):
     df = spark.createDataFrame([("a", "x: 1\ny: [\n"), ("b", "y: [\n"), ("c", "x: 1\n"), ("d", None)], "artifact_id string, source string")
     rows = {(r.artifact_id, r.status, r.path, r.value is None) for r in documents.yaml_keys(df).collect()}
     assert rows == {("a", "partial", None, False), ("a", "partial", "x", False), ("b", "failed", None, False), ("c", "complete", "x", False)}
+
+
+def test_documents_that_define_resources(spark):
+    good = "kind: CustomResourceDefinition\nmetadata: {name: a.b.c}\nspec: {group: b.c, names: {kind: A, plural: as}}\n"
+    df = spark.createDataFrame([("x", f"{good}---\n{good.replace('plural: as', '')}---\nkind: Pod\n"), ("y", "")], "artifact_id string, source string")
+    rows = {(r.artifact_id, r.document, r.name, r.kind, r.valid) for r in documents.custom_resources(documents.yaml_keys(df)).collect()}
+    assert rows == {("x", 0, "a.b.c", "A", True), ("x", 1, "a.b.c", "A", False), ("x", 2, "", "", False)}

@@ -75,62 +75,75 @@ def test_sets_follow_without_a_fold(spark):
     assert got == want and {len(v) for v in want.values()} >= {1, 2, 3} and sum(None in v for v in want.values()) > 20
 
 
-def worker(a, b, parent="", use='{{ include "shared" . }} {{ include "parent.only" . }}', extra=()):
+def worker(at, a, b, parent="", use='{{ include "shared" . }} {{ include "parent.only" . }}', extra=()):
     files = {
-        "root/Chart.yaml": chart("root", "  - name: worker\n    alias: background\n    version: 1.x\n    repository: file://charts/background\n"),
-        "root/templates/_helpers.tpl": f'{{{{ define "parent.only" }}}}parent{{{{ end }}}}{parent}\n',
-        "root/templates/use.yaml": use,
-        "root/charts/a/Chart.yaml": chart("worker"), "root/charts/a/templates/_helpers.tpl": a,
-        "root/charts/b/Chart.yaml": chart("worker").replace("1.0.0", "1.1.0"), "root/charts/b/templates/_helpers.tpl": b,
-        "root/charts/c/Chart.yaml": chart("worker").replace("1.0.0", "9.0.0"), "root/charts/c/templates/_helpers.tpl": '{{ define "shared" }}c{{ end }}',
+        "Chart.yaml": chart(at, "  - name: worker\n    alias: background\n    version: 1.x\n    repository: file://charts/background\n"),
+        "templates/_helpers.tpl": f'{{{{ define "parent.only" }}}}parent{{{{ end }}}}{parent}\n',
+        "templates/use.yaml": use,
+        "charts/a/Chart.yaml": chart("worker"), "charts/a/templates/_helpers.tpl": a,
+        "charts/b/Chart.yaml": chart("worker").replace("1.0.0", "1.1.0"), "charts/b/templates/_helpers.tpl": b,
+        "charts/c/Chart.yaml": chart("worker").replace("1.0.0", "9.0.0"), "charts/c/templates/_helpers.tpl": '{{ define "shared" }}c{{ end }}',
     }
-    return files | dict(extra)
+    return {f"{at}/{p}": x for p, x in (files | dict(extra)).items()}
 
 
 DEFINES = ['{{ define "shared" }}x{{ end }}', "# nothing"]
+CHOICES = [(0, 0), (0, 1), (1, 0)]
 
 
-@pytest.mark.parametrize("a, b", [(0, 0), (0, 1), (1, 0)])
-def test_a_call_that_depends_on_the_choice_has_no_target(spark, a, b):
-    out = analysed(spark, worker(DEFINES[a], DEFINES[b]))
-    assert {r.name: r.template for r in out["call_targets"].collect()} == {"shared": None, "parent.only": f"{AT}root/templates/_helpers.tpl"}
-    possible = {(r.name, r.target.split("#")[0].removeprefix(AT)) for r in out["possible_targets"].collect()}
-    assert possible == {("parent.only", "root/templates/_helpers.tpl"), *(("shared", f"root/charts/{x}/templates/_helpers.tpl") for x, i in (("a", a), ("b", b), ("c", 1 - a - b)) if i == 0)}
+def collisions():
+    both = item("one", alias="same", repository="file://x") + item("two", alias="same", repository="file://y")
+    return {
+        "both/Chart.yaml": chart("both", both), "both/templates/use.yaml": '{{ include "shared" . }}{{ include "only" . }}',
+        "both/charts/one/Chart.yaml": chart("one"), "both/charts/one/templates/_h.tpl": DEFINES[0] + '{{ define "only" }}1{{ end }}',
+        "both/charts/two/Chart.yaml": chart("two"), "both/charts/two/templates/_h.tpl": DEFINES[0],
+    }
+
+
+@pytest.fixture(scope="module")
+def out(spark):
+    """Every case as a chart of its own in one workspace."""
+    calls, files = '{{ include "parent.only" . }}', collisions()
+    for a, b in CHOICES:
+        files |= worker(f"open{a}{b}", DEFINES[a], DEFINES[b]) | worker(f"won{a}{b}", DEFINES[a], DEFINES[b], parent='{{ define "shared" }}parent{{ end }}')
+    files |= worker("broken", DEFINES[0] * 2, DEFINES[1]) | worker("calls", DEFINES[0], DEFINES[0], extra=[("charts/a/templates/a.yaml", calls), ("charts/b/templates/b.yaml", calls)])
+    tables = analysed(spark, files)
+    assert not pipeline.violations(tables).take(1)
+    return {k: [r for r in tables[k].collect()] for k in ("call_targets", "possible_targets", "outcomes", "diagnostics")}
+
+
+def of(out, table, at):
+    return [r for r in out[table] if (r.artifact_id if table == "diagnostics" else r.tree).startswith(f"{AT}{at}/")]
+
+
+@pytest.mark.parametrize("a, b", CHOICES)
+def test_a_call_that_depends_on_the_choice_has_no_target(out, a, b):
+    at = f"open{a}{b}"
+    assert {r.name: r.template for r in of(out, "call_targets", at)} == {"shared": None, "parent.only": f"{AT}{at}/templates/_helpers.tpl"}
+    possible = {(r.name, r.target.split("/named-template@")[0].removeprefix(f"{AT}{at}/")) for r in of(out, "possible_targets", at)}
+    assert possible == {("parent.only", "templates/_helpers.tpl"), *(("shared", f"charts/{x}/templates/_helpers.tpl") for x, i in (("a", a), ("b", b), ("c", 1 - a - b)) if i == 0)}
     # The third one doesn't fit, but is a chart of its own; it loads first.
-    assert all(not r.absent and r.outcomes == 2 for r in out["possible_targets"].where("name = 'shared'").collect())
-    codes = {r.code for r in out["diagnostics"].collect()}
-    assert {"IAC_HELM_AMBIGUOUS_VENDORED_DEPENDENCY", "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET"} <= codes
-    assert not pipeline.violations(out).take(1)
+    assert all(not r.absent and r.outcomes == 2 for r in of(out, "possible_targets", at) if r.name == "shared")
+    assert {r.code for r in of(out, "diagnostics", at)} == {"IAC_HELM_AMBIGUOUS_VENDORED_DEPENDENCY", "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET"}
 
 
-@pytest.mark.parametrize("a, b", [(0, 0), (0, 1), (1, 0)])
-def test_the_parent_wins_whatever_is_chosen(spark, a, b):
-    out = analysed(spark, worker(DEFINES[a], DEFINES[b], parent='{{ define "shared" }}parent{{ end }}'))
-    assert {r.name: r.template for r in out["call_targets"].collect()} == dict.fromkeys(("shared", "parent.only"), f"{AT}root/templates/_helpers.tpl")
-    assert "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET" not in {r.code for r in out["diagnostics"].collect()}
+@pytest.mark.parametrize("a, b", CHOICES)
+def test_the_parent_wins_whatever_is_chosen(out, a, b):
+    at = f"won{a}{b}"
+    assert {r.name: r.template for r in of(out, "call_targets", at)} == dict.fromkeys(("shared", "parent.only"), f"{AT}{at}/templates/_helpers.tpl")
+    assert "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET" not in {r.code for r in of(out, "diagnostics", at)}
 
 
-def test_a_choice_that_breaks_the_tree_leaves_it_without_winners(spark):
-    out = analysed(spark, worker(DEFINES[0] * 2, DEFINES[1]))
-    assert {r.template for r in out["call_targets"].collect()} == {None} and not out["outcomes"].take(1)
+def test_a_choice_that_breaks_the_tree_leaves_it_without_winners(out):
+    assert {r.template for r in of(out, "call_targets", "broken")} == {None} and not of(out, "outcomes", "broken")
 
 
-def test_calls_of_possible_charts_have_no_target(spark):
-    calls = '{{ include "parent.only" . }}'
-    out = analysed(spark, worker(DEFINES[0], DEFINES[0], extra=[("root/charts/a/templates/a.yaml", calls), ("root/charts/b/templates/b.yaml", calls)]))
-    found = {r.artifact_id.removeprefix(AT): r.template for r in out["call_targets"].where("name = 'parent.only'").collect()}
-    assert found == {"root/templates/use.yaml": f"{AT}root/templates/_helpers.tpl", "root/charts/a/templates/a.yaml": None, "root/charts/b/templates/b.yaml": None}
+def test_calls_of_possible_charts_have_no_target(out):
+    found = {r.artifact_id.removeprefix(f"{AT}calls/"): r.template for r in of(out, "call_targets", "calls") if r.name == "parent.only"}
+    assert found == {"templates/use.yaml": f"{AT}calls/templates/_helpers.tpl", "charts/a/templates/a.yaml": None, "charts/b/templates/b.yaml": None}
 
 
-def test_a_place_with_two_files_is_open_by_name(spark):
-    both = item("one", alias="same", repository="file://x") + item("two", alias="same", repository="file://y")
-    files = {
-        "root/Chart.yaml": chart("root", both), "root/templates/use.yaml": '{{ include "shared" . }}{{ include "only" . }}',
-        "root/charts/one/Chart.yaml": chart("one"), "root/charts/one/templates/_h.tpl": DEFINES[0] + '{{ define "only" }}1{{ end }}',
-        "root/charts/two/Chart.yaml": chart("two"), "root/charts/two/templates/_h.tpl": DEFINES[0],
-    }
-    out = analysed(spark, files)
-    assert {(r.name, r.template) for r in out["call_targets"].collect()} == {("shared", None), ("only", None)}
-    found = {(r.name, r.outcomes, r.absent) for r in out["outcomes"].collect()}
-    assert found == {("shared", 2, False), ("only", 2, True)}
-    assert sum(r.code == "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET" for r in out["diagnostics"].collect()) == 3
+def test_a_place_with_two_files_is_open_by_name(out):
+    assert {(r.name, r.template) for r in of(out, "call_targets", "both")} == {("shared", None), ("only", None)}
+    assert {(r.name, r.outcomes, r.absent) for r in of(out, "outcomes", "both")} == {("shared", 2, False), ("only", 2, True)}
+    assert sum(r.code == "IAC_HELM_AMBIGUOUS_TEMPLATE_TARGET" for r in of(out, "diagnostics", "both")) == 3

@@ -20,6 +20,7 @@ def inventory(spark, files):
 
 FAULTY = {
     "a/Chart.yaml": chart("a", item("db") + "  - version: '1'\n  - name: cache\n"), "a/values.yaml": "x: 1\ny: [\n",
+    "a/Chart.lock": "dependencies:\n  - name: db\n    version: 1.2.3\n    repository: oci://reg.io\n  - name: cache\n", "a/crds/c.yaml": "kind: Pod\n", "a/crds/d.yaml": "# nothing\n",
     "a/templates/t.yaml": "{{ if .Values.x }}\nk: 1\n", "a/templates/u.yaml": '{{ end }}{{ if 1 }}\n{{ include "n" . }}\n', "a/templates/_h.tpl": '{{ define "n" }}{{ end }}',
 }
 
@@ -27,10 +28,10 @@ FAULTY = {
 def test_a_run_is_published_before_it_is_judged(spark, tmp_path):
     with pytest.raises(diagnostics.Failed) as failed:
         pipeline.run(inventory(spark, FAULTY), "app", str(tmp_path), strict=True)
-    assert failed.value.counts == {"IAC_HELM_YAML_PARSE": 1, "IAC_HELM_TEMPLATE_PARSE": 2, "IAC_HELM_INVALID_DEPENDENCY": 2}
+    assert failed.value.counts == {"IAC_HELM_YAML_PARSE": 1, "IAC_HELM_TEMPLATE_PARSE": 2, "IAC_HELM_INVALID_DEPENDENCY": 3, "IAC_HELM_INVALID_CRD": 2}
     shown = sinks.published(spark, str(tmp_path), verified=True)
     # What stands before the fault is there.
-    assert shown["nodes"].where("array_contains(labels, 'HelmValue')").count() == 1 and shown["nodes"].where("array_contains(labels, 'IaCDiagnostic')").count() == 5
+    assert shown["nodes"].where("array_contains(labels, 'HelmValue')").count() == 1 and shown["nodes"].where("array_contains(labels, 'IaCDiagnostic')").count() == 8
     assert shown["edges"].where("type = 'IAC_DECLARES_DEPENDENCY'").count() == 1 and shown["statements"].count() > 10
     assert all(r.properties["iac_app_id"] == "app" and r.properties.get("producer", r.properties.get("iac_producer")) == "lodeline" for r in shown["nodes"].where("NOT array_contains(labels, 'Package') AND size(labels) > 1 OR array_contains(labels, 'IaCDiagnostic')").collect())
 
@@ -46,3 +47,11 @@ def test_an_unusable_configuration_is_a_failure_of_its_own(spark, tmp_path):
     with pytest.raises(diagnostics.Failed, match="IAC_HELM_INVALID_CONFIG"):
         pipeline.run(inventory(spark, files), "app", str(tmp_path), level=1, configurations=spark.createDataFrame([(AT + "r.yaml",)], "artifact_id string"))
     assert os.path.exists(tmp_path / "manifest")
+
+
+def test_locks_imports_and_resources(spark):
+    crd = "kind: CustomResourceDefinition\nmetadata: {name: a.b.c}\nspec: {group: b.c, names: {kind: A, plural: as}}\n"
+    files = {"a/Chart.yaml": chart("a", item("db", **{"import-values": "[data, {child: x, parent: y}]"})), "a/Chart.lock": "dependencies:\n  - {name: db, version: 1.2.3}\n", "a/crds/c.yaml": f"{crd}---\n{crd}"}
+    out = pipeline.analyse(inventory(spark, files), "app", level=1)
+    assert [(r.name, r.version) for r in out["locked"].collect()] == [("db", "1.2.3")] and out["custom_resources"].count() == 2 and not out["diagnostics"].take(1)
+    assert [(r.item, r.name, r.child, r.parent) for r in out["import_values"].orderBy("item").collect()] == [(0, "data", None, None), (1, None, "x", "y")]
