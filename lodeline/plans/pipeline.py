@@ -178,7 +178,7 @@ def _declared_dependencies(artifacts: DataFrame, detections: DataFrame, charts:
     nth = F.get("keys", F.lit(1)).alias("nth")
     tags = listed("tags").groupBy("artifact_id", nth).agg(F.array_sort(F.collect_set("value")).alias("tags"))
     # Values to import are names, or pairs of a child and a parent.
-    pairs = keys.where((F.size("keys") == 5) & inside & (F.get("keys", F.lit(2)) == "import-values")).groupBy("artifact_id", nth, F.get("keys", F.lit(3)).alias("item")).pivot(F.get("keys", F.lit(4)), ["child", "parent"]).agg(F.first("value"))
+    pairs = keys.where((F.size("keys") == 5) & inside & (F.get("keys", F.lit(2)) == "import-values")).withColumn("field", F.get("keys", F.lit(4))).groupBy("artifact_id", nth, F.get("keys", F.lit(3)).alias("item")).pivot("field", ["child", "parent"]).agg(F.first("value"))
     single = listed("import-values").select("artifact_id", nth, F.get("keys", F.lit(3)).alias("item"), F.col("value").alias("name"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("string").alias("parent"))
     every = single.unionByName(pairs.select("artifact_id", "nth", "item", F.lit(None).cast("string").alias("name"), "child", "parent"))
     imports = every.groupBy("artifact_id", "nth").agg(F.array_sort(F.collect_list(F.struct(F.col("item").cast("int").alias("item"), "name", "child", "parent"))).alias("imports"))
