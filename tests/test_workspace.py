@@ -119,7 +119,8 @@ def test_graph_and_script(spark, root, tmp_path):
     nodes, edges = graph.project(out, "app")
     nodes, edges = nodes.cache(), edges.cache()
     assert not facts.dangling(edges, nodes).take(1) and not facts.duplicates(nodes, ["id"]).take(1)
-    assert {r[0] for r in edges.select("type").distinct().collect()} == {"HAS_ARTIFACT", "IAC_PART_OF_CHART", "DEFINES_CONFIG", "IAC_REFERENCES_VALUE", "IAC_RESOLVES_TO_CHART", "IAC_IDENTIFIED_BY_PACKAGE", "IAC_DECLARES_DEPENDENCY", "IAC_HAS_DIAGNOSTIC"}
+    assert {r[0] for r in edges.select("type").distinct().collect()} == {"HAS_ARTIFACT", "IAC_PART_OF_CHART", "DEFINES_CONFIG", "IAC_REFERENCES_VALUE", "IAC_RESOLVES_TO_CHART", "IAC_IDENTIFIED_BY_PACKAGE", "IAC_DECLARES_DEPENDENCY", "IAC_HAS_DIAGNOSTIC"} | {
+        "IAC_TARGETS_CHART_REFERENCE", "IAC_HAS_VALUE_REFERENCE", "IAC_ALIAS_OF", "IAC_HAS_ALIAS", "IAC_DEFINES_TEMPLATE", "IAC_HAS_TEMPLATE_CALL", "IAC_CALLS_TEMPLATE", "IAC_HAS_RESOURCE_TEMPLATE", "IAC_DECLARES_PROFILE", "IAC_RENDERS_CHART"}
     sinks.write_graph(nodes, edges, str(tmp_path / "g"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "g/script")).collect()]
     assert len(lines) == nodes.count() + edges.count() and spark.read.parquet(str(tmp_path / "g/edges")).count() == edges.count()
