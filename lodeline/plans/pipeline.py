@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import anonymous_id, base_name, config_key_id, parent_dir
 from ..functions.tables import written
-from ..functions.values import priority
+from ..functions.values import digest, priority
 from ..functions.workers import visible
 from ..operators import catalog, detection, diagnostics, documents, enablement, facts, graph, ownership, profiles, regions, resolution
 from ..sources import sinks
@@ -40,6 +40,8 @@ def analyse(artifacts: DataFrame, app: str, level: int = 2, overrides: DataFrame
     if level not in LEVELS:
         raise ValueError(f"level {level} is none of {LEVELS}")
     visible(artifacts.sparkSession)
+    if "sha256" not in artifacts.columns:
+        artifacts = artifacts.withColumn("sha256", digest(F.col("source")))
     artifacts = written(artifacts, "artifacts")
     charts, invalid = (written(df, tag) for df, tag in zip(_charts(artifacts), ("charts", "invalid-charts"), strict=True))
     declared = _profiles(artifacts, charts, app, configurations)
