@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Characters that the canonical text escapes besides those of every JSON text; fixed values.
 ESCAPED = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
@@ -73,29 +76,70 @@ def _before(parent: list, key: str) -> str:
     return ("" if first else ",") + (_quoted(key) + ":" if parent[1] == "}" else "")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, keys, kind, value), parents before children, with a place that sorts canonically: steps below a sequence are padded.
+
+    A node's own row, if there is one, is the first of its rows. So the row where a level's step last
+    changed tells whether it is a sequence; of what came before only the last row is kept.
+    """
+    last, known = None, np.zeros(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # The last row of what came before stands in front.
+        both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        ids, keys = both.column(0).to_pylist(), both.column(1)
+        size = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+        steps, first = keys.flatten(), np.cumsum(size) - size
+        code = steps.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        seq = pc.fill_null(pc.equal(both.column(2), "seq"), False).to_numpy(zero_copy_only=False)
+        at = np.arange(len(size))
+        new = np.ones(len(size), bool)
+        new[1:] = np.fromiter(map(operator.ne, ids[1:], ids[:-1]), bool, len(size) - 1)
+        items, ahead = np.zeros(len(code), bool), np.zeros(size[-1] + 1, bool)
+        for level in range(int(size.max()) + 1):
+            # Rows that reach this level; a step that begins here is new where it or one above it is.
+            if level:
+                deep = np.flatnonzero(size >= level)
+                step = np.full(len(size), -1, np.int64)
+                step[deep] = code[first[deep] + level - 1]
+                new[1:] |= step[1:] != step[:-1]
+            begun = np.maximum.accumulate(np.where(new, at, 0))
+            inside = seq[begun] & (size[begun] == level)
+            if last is not None and level < len(known):
+                inside[begun == 0] = known[level]
+            below = np.flatnonzero(size > level)
+            items[first[below] + level] = inside[below]
+            if level < len(ahead):
+                ahead[level] = inside[-1]
+        place = pc.if_else(pa.array(items), pc.utf8_lpad(steps, 12, "0"), steps)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), place)
+        out = pa.RecordBatch.from_arrays([*both.columns, places], [*both.schema.names, "place"])
+        yield out if last is None else out.slice(1)
+        last, known = both.slice(len(size) - 1), ahead
+
+
 def tree_digests(rows: DataFrame, tree: str = "tree", keys: str = "keys", kind: str = "kind", value: str = "value") -> DataFrame:
     """(tree, digest): SHA-256 of the canonical text of each tree of (tree, keys, kind, value), a row for each key.
 
     ``keys`` is the way from the root, [] for the root itself, which is a map where it has no row; kinds
     are map, seq, null, bool, int, float, and anything else for strings. The canonical text is JSON
     without spaces, with the keys of maps in the order of their bytes. Trees aren't put together
-    anywhere: Spark sorts their rows, parents before children and items by number, and each tree's text
+    anywhere: Spark shuffles their rows once and sorts them twice within partitions, parents before children to
+    tell items of sequences from keys of maps, then items by number, and each tree's text
     streams into its digest. Keys are there once; null trees take no part.
     """
     own = rows.where(F.col(tree).isNotNull()).select(F.col(tree).alias("tree"), F.col(keys).alias("keys"), F.col(kind).alias("kind"), F.col(value).alias("value"))
-    # Items of sequences sort by number: a step below a sequence is padded.
-    seqs = own.where("kind = 'seq'").select("tree", F.col("keys").alias("above"), F.lit(True).alias("items"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("keys")), lambda i: F.struct(i.alias("i"), F.slice("keys", F.lit(1), i - 1).alias("above"), F.get("keys", i - 1).alias("key")))
-    deep = own.where(F.size("keys") > 0).select("tree", "keys", F.explode(steps).alias("s")).select("tree", "keys", "s.*").join(seqs, ["tree", "above"], "left")
-    place = F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("items"), F.lpad("key", 12, "0")).otherwise(F.col("key")).alias("key")))), lambda x: x["key"])
-    order = deep.groupBy("tree", "keys").agg(place.alias("place"))
-    sorted_ = own.join(order, ["tree", "keys"], "left").withColumn("place", F.coalesce("place", F.array().cast("array<string>")))
-    sorted_ = sorted_.repartition("tree").sortWithinPartitions("tree", "place").select("tree", "keys", "kind", "value")
+    above = own.repartition("tree").sortWithinPartitions("tree", "keys")
+    placed = above.mapInArrow(_placed, StructType([*above.schema.fields, StructField("place", ArrayType(StringType()))]))
+    sorted_ = placed.sortWithinPartitions("tree", "place").select("tree", "keys", "kind", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                steps, ends = batch.column(1).flatten().to_pylist(), np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)).tolist()
+                ways = (steps[a:b] for a, b in zip([0, *ends], ends, strict=False))
+                yield from zip(batch.column(0).to_pylist(), ways, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
 
         rows, done = each(), []
         ahead = next(rows, None)

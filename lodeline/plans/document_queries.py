@@ -41,9 +41,10 @@ def tree_digests(t):
     )
     orders = t("orders").select(c("o_orderkey").alias("tree"), F.explode(own).alias("x"))
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")) - 1
-    lines = t("lineitem").withColumn("nth", nth.cast("string"))
+    known = t("orders").select(c("o_orderkey").alias("l_orderkey"))
+    lines = t("lineitem").join(known, "l_orderkey", "left_semi").withColumn("nth", nth.cast("string"))
     each = F.array(row(at("lines", c("nth")), "map", none), row(at("lines", c("nth"), "part"), "int", c("l_partkey")), row(at("lines", c("nth"), "flag & <x>"), "str", c("l_returnflag")))
-    rows = orders.unionByName(lines.select(c("l_orderkey").alias("tree"), F.explode(each).alias("x")).join(t("orders").select(c("o_orderkey").alias("tree")), "tree", "left_semi"))
+    rows = orders.unionByName(lines.select(c("l_orderkey").alias("tree"), F.explode(each).alias("x")))
     visible(rows.sparkSession)
     return trees.tree_digests(rows.select("tree", "x.*"))
 
