@@ -13,20 +13,47 @@ from .precedence import resolve_references, winner_fold
 def dependency_targets(dependencies: DataFrame, children: DataFrame, listed: bool = False) -> DataFrame:
     """dependency, target chart, package and status of (dependency, owner, name, alias, constraint, repository).
 
-    Candidates share owner and name with the dependency and have a version within its constraint: an
-    equi-join, then the ranges that distinct constraints are compiled to. One candidate is the target; several are ambiguous; without one, the
+    Candidates share owner and name with the dependency and have a version within its constraint. One
+    candidate is the target; several are ambiguous; without one, the
     package names it where the repository is a container registry. ``incompatible`` counts children
     that bear its name or lie in a folder of its name or alias but don't fit; ``listed`` names the candidates.
+
+    Dependencies that ask the same are one question, and children of one owner, name, version and folder
+    one answer with their number and smallest. Only those meet, in an equi-join, then the ranges that
+    distinct constraints are compiled to; many copies on both sides don't multiply. A dependency or child
+    that is there with several of these stands alone, so nothing is counted twice.
     """
-    d = dependencies.select("dependency", "owner", "name", "alias", "constraint", "repository")
-    c = children.where("not hidden").select(F.col("parent").alias("owner"), F.col("child"), F.col("child_name"), F.col("version"), "folder")
-    by_name = d.join(c, (d.owner == c.owner) & (d.name == c.child_name)).select("dependency", "child", "version", "constraint", F.lit(True).alias("same"), F.lit(True).alias("named"))
-    asked = d.select("dependency", "owner", "name", "constraint", F.explode(F.array_distinct(F.filter(F.array("name", "alias"), lambda x: x.isNotNull()))).alias("folder"))
-    by_folder = asked.join(c, ["owner", "folder"]).select("dependency", "child", "version", "constraint", F.coalesce(F.col("child_name") == F.col("name"), F.lit(False)).alias("same"), F.lit(False).alias("named"))
+    asks, alike = ["owner", "name", "alias", "constraint"], ["owner", "child_name", "version", "folder"]
+    d = dependencies.select("dependency", *asks, "repository")
+    own = d.where("dependency IS NOT NULL").groupBy("dependency", *asks).agg(F.count("*").alias("times"))
+    own = own.withColumn("apart", F.when(F.count("*").over(Window.partitionBy("dependency")) > 1, F.col("dependency"))).withColumn("ask", F.when(F.col("apart").isNull(), F.struct(*asks)))
+    # The times of a question asked alone are those of each who asks.
+    q = own.groupBy("apart", "ask", *asks).agg(F.max(F.when(F.col("apart").isNotNull(), F.col("times")).otherwise(1)).alias("times"))
+    c = children.where("not hidden AND child IS NOT NULL").select(F.col("parent").alias("owner"), "child", "child_name", "version", "folder")
+    c = c.groupBy("child", *alike).agg(F.count("*").alias("n"))
+    c = c.withColumn("lone", F.when(F.count("*").over(Window.partitionBy("child")) > 1, F.col("child")))
+    c = c.groupBy("lone", *alike).agg(F.sum("n").alias("n"), F.count("*").alias("children"), F.min("child").alias("first"), *([F.collect_set("child").alias("every")] if listed else []))
+    c = c.withColumn("answer", F.struct(*alike))
+    kept = ["apart", "ask", "constraint", "times", "lone", "answer", "version", "n", "children", "first", *(["every"] if listed else [])]
+    by_name = q.join(c.withColumnRenamed("owner", "__owner"), (F.col("owner") == F.col("__owner")) & (F.col("name") == F.col("child_name"))).select(*kept, F.lit(True).alias("same"), F.lit(True).alias("named"))
+    asked = q.withColumn("folder", F.explode(F.array_distinct(F.filter(F.array("name", "alias"), lambda x: x.isNotNull()))))
+    by_folder = asked.join(c, ["owner", "folder"]).select(*kept, F.coalesce(F.col("child_name") == F.col("name"), F.lit(False)).alias("same"), F.lit(False).alias("named"))
     each = version_met(by_name.unionByName(by_folder), "version", "constraint").withColumn("fits", F.col("fits") & F.col("same"))
-    fit = F.when(F.col("fits") & F.col("named"), F.col("child"))
-    met = each.groupBy("dependency").agg(F.count(fit).alias("candidates"), F.min(fit).alias("chart"), F.array_sort(F.collect_set(fit)).alias("candidate_charts"), F.count_distinct(F.when(~F.col("fits"), F.col("child"))).alias("incompatible"))
-    df = d.join(met, "dependency", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("incompatible", F.coalesce("incompatible", F.lit(0)))
+    fit = F.col("fits") & F.col("named")
+    # By whom a question is asked, an answer counts once as a misfit and each time as a candidate.
+    each = each.groupBy("apart", "ask", "lone", "answer").agg(
+        F.coalesce(F.sum(F.when(fit, F.col("times") * F.col("n"))), F.lit(0)).alias("candidates"), F.min(F.when(fit, F.col("first"))).alias("chart"),
+        F.max(F.when(~F.col("fits"), F.col("children"))).alias("misfits"), *([F.first(F.when(fit, F.col("every")), ignorenulls=True).alias("every")] if listed else []),
+    )
+    bad = F.col("misfits").isNotNull()
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("every"))))
+    met = each.groupBy("apart", "ask").agg(
+        F.sum("candidates").alias("candidates"), F.min("chart").alias("chart"), *([every.alias("candidate_charts")] if listed else []),
+        (F.coalesce(F.sum(F.when(F.col("lone").isNull(), F.col("misfits"))), F.lit(0)) + F.count_distinct(F.when(bad, F.col("lone")))).alias("incompatible"),
+    )
+    of = own.select("dependency", "apart", "ask", "times").join(met.withColumnsRenamed({"apart": "__apart", "ask": "__ask"}), F.col("apart").eqNullSafe(F.col("__apart")) & F.col("ask").eqNullSafe(F.col("__ask")))
+    of = of.select("dependency", (F.col("candidates") * F.when(F.col("apart").isNull(), F.col("times")).otherwise(1)).alias("candidates"), "chart", "incompatible", *(["candidate_charts"] if listed else [])).dropDuplicates(["dependency"])
+    df = d.join(of, "dependency", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("incompatible", F.coalesce("incompatible", F.lit(0)))
     df = df.withColumn("chart", F.when(F.col("candidates") == 1, F.col("chart"))).withColumn("package", F.when(F.col("candidates") == 0, package_url(F.col("repository"), F.col("name"))))
     status = F.when(F.col("candidates") == 1, "vendored").when(F.col("candidates") > 1, "ambiguous").when(F.col("package").isNotNull(), "package").when(F.col("incompatible") > 0, "incompatible").otherwise("missing")
     return df.select("dependency", "chart", "package", "candidates", "incompatible", status.alias("status"), *(["candidate_charts"] if listed else []))
