@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.identity import ancestors, base_name, parent_dir
+from ..functions.tables import written
 
 
 def nearest_ancestor(df: DataFrame, path: str, anchors: DataFrame, directory: str, anchor: str) -> DataFrame:
@@ -53,3 +56,43 @@ def walk(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str
               FROM t JOIN edges_{tag} e ON e.p = t.node WHERE NOT array_contains(t.path, e.c))
             SELECT root, node, depth, path{", names" if name else ""}{", group, alternative" if choice else ""} FROM t"""
     )
+
+
+def _on_circles(edges: DataFrame) -> DataFrame:
+    """Edges (parent, child) but those that lead nowhere or that nothing leads to, round after round; what lies on a circle stays."""
+    for end, other in (("child", "parent"), ("parent", "child")):
+        left = edges.count()
+        while left:
+            edges = written(edges.join(edges.select(F.col(other).alias(end)).distinct(), end, "left_semi").select("parent", "child"), "edges")
+            before, left = left, edges.count()
+            if left == before:
+                break
+    return edges
+
+
+def ways(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root") -> DataFrame:
+    """(root, node, depth, ways): on how many ways ``walk`` reaches each node in each depth.
+
+    Ways are counted level by level and not listed: all that reach one node go on as one row with their
+    number. Only where nodes may lie on a circle is it kept which of those a way has met, as it ends
+    where it meets itself. Each level is a table of its own, so work and tables grow with the nodes that are reached.
+    """
+    kind = roots.schema[root].dataType
+    own = edges.select(F.col(parent).cast(kind).alias("parent"), F.col(child).cast(kind).alias("child")).where("parent <> child")
+    own = written(own.groupBy("parent", "child").agg(F.count("*").alias("n")), "edges")
+    circles = _on_circles(own.select("parent", "child"))
+    on = circles.select(F.explode(F.array("parent", "child")).alias("node"), F.lit(True).alias("on")).distinct()
+    own = written(own.join(on.withColumnRenamed("node", "child"), "child", "left").select("parent", "child", "n", F.coalesce("on", F.lit(False)).alias("on")), "edges")
+    none = F.array().cast(ArrayType(kind))
+    start = roots.groupBy(F.col(root).alias("node")).agg(F.count("*").alias("ways")).join(on, "node", "left")
+    at = written(start.select(F.col("node").alias("root"), "node", F.when(F.col("on"), F.array("node")).otherwise(none).alias("met"), "ways"), "ways")
+    levels, depth = [], 0
+    while not at.isEmpty():
+        levels.append(at.groupBy("root", "node").agg(F.sum("ways").alias("ways")).select("root", "node", F.lit(depth).alias("depth"), "ways"))
+        if len(levels) == 64:
+            levels = [written(reduce(DataFrame.unionByName, levels), "ways")]
+        further = at.join(own, F.col("node") == F.col("parent")).where(~F.col("on") | ~F.array_contains("met", F.col("child")))
+        met = F.when(F.col("on"), F.array_sort(F.array_append("met", F.col("child")))).otherwise(F.col("met"))
+        at = written(further.groupBy("root", F.col("child").alias("node"), met.alias("met")).agg(F.sum(F.col("ways") * F.col("n")).alias("ways")), "ways")
+        depth += 1
+    return reduce(DataFrame.unionByName, levels) if levels else at.select("root", "node", F.lit(0).alias("depth"), "ways")

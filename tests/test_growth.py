@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodeline.operators import resolution
+from lodeline.operators import ownership, resolution
 
 DEPENDENCY = "dependency string, owner long, name string, alias string, constraint string, repository string"
 CHILD = "parent long, child string, child_name string, version string, folder string, hidden boolean"
@@ -58,3 +58,23 @@ def test_dependencies_and_children_alike_are_not_paired(spark):
     rows = resolution.dependency_targets(d, c).collect()
     assert len(rows) == n and {(r.candidates, r.incompatible, r.status) for r in rows} == {(n // 2, n // 2, "ambiguous")}
     assert most_rows(spark) < 10 * n
+
+
+def test_ways_are_those_of_the_walk(spark):
+    """Circles, a loop, edges that are there twice, a root that is there twice or nowhere, nodes below circles."""
+    rng = random.Random(3)
+    for pairs in ([(rng.randint(0, 6), rng.randint(0, 9)) for _ in range(16)], [(i // 2, i) for i in range(1, 30)] + [(i // 3, i) for i in range(1, 30)] + [(3, 3)], [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (3, 4), (None, 5), (4, None)]):
+        edges = spark.createDataFrame(pairs, "parent int, child int")
+        roots = spark.createDataFrame([(0,), (2,), (2,), (77,), (None,)], "root long")
+        expected = ownership.walk(edges, roots).groupBy("root", "node", "depth").agg(F.count("*").alias("ways"))
+        got = ownership.ways(edges, roots)
+        assert got.schema.simpleString() == expected.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert ownership.ways(edges, roots.limit(0)).count() == 0
+
+
+def test_more_ways_than_could_be_listed(spark):
+    """Every step doubles the ways."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] * 2, "parent long, child long")
+    rows = ownership.ways(edges, spark.createDataFrame([(0,)], "root long")).collect()
+    assert {(r.node, r.depth): r.ways for r in rows} == {(i, i): 2**i for i in range(21)}
