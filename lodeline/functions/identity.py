@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 #: Prefixes of identities.
 ARTIFACT, SEMANTIC = "can://artifact/", "can://iac/"
-_PLAIN = r"^[A-Za-z0-9._~-]*\z"
-
-
-def _encoded(text: Column, plain: str) -> Column:
-    """Every UTF-8 byte outside ``plain`` (a regular expression of hex pairs) as % and two hex digits."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
-    return F.array_join(F.transform(pairs, lambda h: F.when(h.rlike(plain), F.decode(F.unhex(h), "UTF-8")).otherwise(F.concat(F.lit("%"), h))), "")
 
 
 def encode_segment(text: Column) -> Column:
     """A path segment: letters, digits and ``-._~`` stand, other bytes are encoded."""
-    return F.when(text.rlike(_PLAIN), text).otherwise(_encoded(text, "^(2D|2E|5F|7E|3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])$"))
+    # What forms encode otherwise: a space is a plus there, a star stands and a tilde doesn't; their signs come from nothing else.
+    form = F.url_encode(text)
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def decode_segment(text: Column) -> Column:

@@ -1,9 +1,11 @@
 """Work that grows with the tables, not with products of copies in them."""
 
 import random
+from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
+from lodeline.functions import identity
 from lodeline.operators import ownership, resolution
 
 DEPENDENCY = "dependency string, owner long, name string, alias string, constraint string, repository string"
@@ -78,3 +80,15 @@ def test_more_ways_than_could_be_listed(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] * 2, "parent long, child long")
     rows = ownership.ways(edges, spark.createDataFrame([(0,)], "root long")).collect()
     assert {(r.node, r.depth): r.ways for r in rows} == {(i, i): 2**i for i in range(21)}
+
+
+def test_segments_of_every_character(spark):
+    texts = ["".join(map(chr, range(256))), "a+b *~%7E%2A%20+", "", "x.y_z-~", "\u2028日本\U0001f600", None] + [chr(i) for i in range(128)]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", identity.encode_segment(F.col("s")).alias("e")).collect()
+    assert [r.e for r in rows] == [None if r.s is None else quote(r.s, safe="~") for r in rows]
+
+
+def test_whole_texts_are_not_taken_apart(spark):
+    """No array with an item for each byte of a text."""
+    df = spark.createDataFrame([("x y",)], "s string").select(identity.config_key_id(F.col("s"), identity.encode_value_segment(F.col("s"))).alias("e"))
+    assert df.first().e == "x y@key/x%2520y" and "transform" not in df._jdf.queryExecution().optimizedPlan().toString()
