@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
+from ..functions.tables import written
 from ..functions.workers import visible
 from ..operators import documents, profiles, trees
 from .catalog import query
@@ -64,5 +65,7 @@ def configured_profiles(t):
     charts = t("nation").where("n_nationkey % 5 <> 0").select(ids.artifact_id(app, F.concat(F.lit("c"), c("n_nationkey").cast("string"), F.lit("/Chart.yaml"))).alias("chart"), c("n_name").alias("name"))
     values = t("customer").where("c_mktsegment <> 'MACHINERY'").select(ids.artifact_id(app, F.concat(segment, F.lit(".yaml"))).alias("artifact_id")).distinct()
     artifacts = values.unionByName(charts.select(c("chart").alias("artifact_id"))).withColumn("sha256", F.sha2(c("artifact_id").cast("binary"), 256))
-    found = profiles.configured_profiles(documents.yaml_keys(configs), artifacts, charts, "app")
+    # Texts are spread over all tasks, however the table's file is cut, and parsed once for all that is asked of their keys.
+    keys = written(documents.yaml_keys(configs.repartition("artifact_id")), "keys")
+    found = profiles.configured_profiles(keys, artifacts, charts, "app")
     return found["profiles"].join(found["layers"], "profile", "left").select("config", "name", "chart", "ordinal", "source", "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import identity
 from lodeline.operators import ownership, resolution
+from lodeline.plans import catalog
 
 DEPENDENCY = "dependency string, owner long, name string, alias string, constraint string, repository string"
 CHILD = "parent long, child string, child_name string, version string, folder string, hidden boolean"
@@ -92,3 +93,10 @@ def test_whole_texts_are_not_taken_apart(spark):
     """No array with an item for each byte of a text."""
     df = spark.createDataFrame([("x y",)], "s string").select(identity.config_key_id(F.col("s"), identity.encode_value_segment(F.col("s"))).alias("e"))
     assert df.first().e == "x y@key/x%2520y" and "transform" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_configurations_are_parsed_once(spark):
+    """What asks for keys reads a table of them."""
+    df = catalog.QUERIES["configured_profiles"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
