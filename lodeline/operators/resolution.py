@@ -90,28 +90,37 @@ def possible_winners(sources: DataFrame, definitions: DataFrame, groups: DataFra
     defines the name, not empty, ends all that came before; others add theirs. Empty definitions count
     only while the name may be undefined: until the first place that defines it in any case. So the set
     of winners follows from the last place that ends and the first one that defines, without a fold.
-    A tree in which one source defines a name twice, neither empty, has no winners.
+    A tree in which one source defines a name twice, neither empty, has no winners. Rows are shuffled
+    once, by tree; all that is counted of a tree's files and names are windows over its rows there.
     """
-    at = ["tree", "file", "source", "group", "alternative"]
-    sources = sources.select(*at).distinct()
-    one = definitions.groupBy(*at, "name").agg(F.count_if(~F.col("empty")).alias("full"), F.max_by("target", F.struct(~F.col("empty"), "start", "target")).alias("target"))
-    one = one.join(one.where("full > 1").select("tree").distinct(), "tree", "left_anti").withColumn("full", F.col("full") > 0)
-    present = sources.groupBy("tree", "file", "group").agg(F.count("*").alias("n"), F.count_distinct("alternative").alias("present")).join(groups, ["tree", "group"], "left")
-    always = F.coalesce(F.bool_or(F.col("group").isNull() | (F.col("present") == F.col("alternatives"))), F.lit(False))
-    places = present.groupBy("tree", "file").agg(F.sum("n").alias("sources"), always.alias("always"))
-    said = one.groupBy("tree", "file", "name").agg(F.count("*").alias("defined"), F.count_if("full").alias("full_ones")).join(places, ["tree", "file"])
+    at, over = ["tree", "file", "source", "group", "alternative"], Window.partitionBy
+    type_of = {f.name: f.dataType for f in (*sources.schema, *definitions.schema)}
+    lacks = lambda *names: [F.lit(None).cast(type_of[n]).alias(n) for n in names]
+    ours = definitions.where("tree IS NOT NULL").select(*at, "name", "target", "start", "empty", F.lit(None).cast("long").alias("alternatives"), F.lit("definition").alias("what"))
+    there = sources.where("tree IS NOT NULL").select(*at, *lacks("name", "target", "start", "empty"), F.lit(None).cast("long").alias("alternatives"), F.lit("source").alias("what"))
+    choices = groups.where("tree IS NOT NULL AND group IS NOT NULL").select("tree", *lacks("file", "source"), "group", *lacks("alternative", "name", "target", "start", "empty"), F.col("alternatives").cast("long").alias("alternatives"), F.lit("group").alias("what"))
+    each = ours.unionByName(there).unionByName(choices).repartition("tree").groupBy("what", *at, "name").agg(
+        F.count_if(~F.col("empty")).alias("full"), F.max_by("target", F.struct(~F.col("empty"), "start", "target")).alias("target"), F.max("alternatives").alias("alternatives")
+    )
+    defined, is_source = F.col("what") == "definition", F.col("what") == "source"
+    each = each.withColumn("alternatives", F.max("alternatives").over(over("tree", "group"))).withColumn("broken", F.max(F.when(defined, F.col("full"))).over(over("tree"))).where("what <> 'group' AND file IS NOT NULL")
+    # An alternative counts at its first source.
+    each = each.withColumn("nth", F.row_number().over(over("tree", "file", "group", "alternative").orderBy(F.desc("what"), "source", "name")))
+    other = is_source & (F.col("nth") == 1) & F.col("alternative").isNotNull()
+    each = each.withColumn("present", F.count_if(other).over(over("tree", "file", "group")))
+    always = F.max(is_source & (F.col("group").isNull() | F.coalesce(F.col("present") == F.col("alternatives"), F.lit(False)))).over(over("tree", "file"))
+    each = each.withColumn("always", always).withColumn("sources", F.count_if(is_source).over(over("tree", "file")))
+    each = each.where("what = 'definition' AND broken <= 1").withColumn("full", F.col("full") > 0)
     # The later a place loads, the smaller this is.
     load = F.struct(F.size(F.split("file", "/")), F.col("file"))
-    ends = F.when(F.col("always") & (F.col("full_ones") == F.col("sources")), load)
-    defines = F.when(F.col("always") & (F.col("defined") == F.col("sources")), load)
-    names = said.groupBy("tree", "name").agg(F.min(ends).alias("ends"), F.max(defines).alias("defines"))
-    each = one.join(names, ["tree", "name"])
+    said = over("tree", "file", "name")
+    each = each.withColumn("ends", F.when(F.col("always") & (F.count_if("full").over(said) == F.col("sources")), load)).withColumn("defines", F.when(F.col("always") & (F.count("*").over(said) == F.col("sources")), load))
+    of = over("tree", "name")
+    each = each.withColumn("ends", F.min("ends").over(of)).withColumn("defines", F.max("defines").over(of)).withColumn("placed", F.max(F.col("sources") > 0).over(of)).where("placed")
     fits = F.when(F.col("full"), F.col("ends").isNull() | (load <= F.col("ends"))).otherwise(F.col("ends").isNull() & (F.col("defines").isNull() | (load >= F.col("defines"))))
-    won = each.where(fits).select("tree", "name", "target").distinct()
-    names = names.select("tree", "name", (F.col("ends").isNull() & F.col("defines").isNull()).alias("absent"))
-    counted = names.join(won.groupBy("tree", "name").agg(F.count("*").alias("n")), ["tree", "name"], "left")
-    counted = counted.select("tree", "name", "absent", (F.coalesce("n", F.lit(0)) + F.col("absent").cast("int")).alias("outcomes"))
-    return counted.join(won, ["tree", "name"], "left").select("tree", "name", "target", "outcomes", "absent")
+    each = each.withColumn("fits", fits & F.col("name").isNotNull()).withColumn("absent", F.col("ends").isNull() & F.col("defines").isNull())
+    won = each.groupBy("tree", "name", "absent", "fits", F.when(F.col("fits"), F.col("target")).alias("target")).agg(F.lit(1).alias("one")).withColumn("n", F.count_if("fits").over(of))
+    return won.where("fits OR n = 0").select("tree", "name", "target", (F.col("n") + F.col("absent").cast("int")).alias("outcomes"), "absent")
 
 
 def certain_callers(sources: DataFrame, groups: DataFrame) -> DataFrame:

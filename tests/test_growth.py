@@ -100,3 +100,15 @@ def test_configurations_are_parsed_once(spark):
     df = catalog.QUERIES["configured_profiles"](spark, "/root/testdata/sf0.001")
     assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_possible_winners_shuffle_once(spark):
+    """One shuffle by tree; a name without a place isn't there, and neither is what a tree without a file says of another."""
+    source = "tree long, file string, source long, group string, alternative string"
+    sources = spark.createDataFrame([(1, "a", 1, None, None), (1, "b", 2, "g", "x"), (2, "a", 1, None, None)], source)
+    said = [(1, "a", 1, None, None, "n", "t1", 0, False), (1, "b", 2, "g", "x", "n", "t2", 0, False), (1, "c", 3, None, None, "lost", "t3", 0, False), (2, "a", 1, None, None, "n", "t4", 0, False)]
+    said += [(2, None, 9, None, None, "m", "t5", i, False) for i in range(2)]
+    definitions = spark.createDataFrame(said, f"{source}, name string, target string, start int, empty boolean")
+    df = resolution.possible_winners(sources, definitions, spark.createDataFrame([(1, "g", 2)], "tree long, group string, alternatives int"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [tuple(r) for r in df.collect()] == [(1, "n", "t1", 1, False)]
